@@ -43,3 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text, and the extra columns, of a table that may hold more; null texts become empty, rows without doc_id go."""
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+
+
+def tokenizer(name: str, folder: str | None = None) -> str:
+    """Path of a vocabulary file: in the folder given, that of LOOMFIELD_TOKENIZERS, or /opt/tokenizers."""
+    return os.path.join(folder or os.environ.get("LOOMFIELD_TOKENIZERS", "/opt/tokenizers"), name)
