@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, pieces, sharding
+from . import chat, decontam, langid, neardup, pieces, sharding, store
 from .common import table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.Pieces.load(tokenizer("piece_bpe_32k.model")))
 
 
+def op9_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.verify(store.build(table(spark, sf_dir, "documents"), pieces.Pieces.load(tokenizer("piece_bpe_32k.model"))))
+
+
+def op10_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.trees(table(spark, sf_dir, "conversations"), pieces.Pieces.load(tokenizer("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
