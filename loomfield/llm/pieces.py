@@ -322,8 +322,12 @@ class Encoded:
         return self.begin[self.row]
 
     def scores(self) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(self.top[self.inverse])]
-        return total[self.row[1:]] - total[self.row[:-1]]
+        out = np.zeros(len(self.row) - 1)
+        some = np.flatnonzero(np.diff(self.row) > 0)
+        if len(some):
+            # Summed row by row, so that a text's score doesn't depend on those beside it.
+            out[some] = np.add.reduceat(self.top[self.inverse], self.row[some])
+        return out
 
     def text(self, part: int) -> str:
         return self.u[self.start[part] : self.start[part] + self.size[part]].tobytes().decode("utf-32-le")
