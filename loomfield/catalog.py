@@ -359,7 +359,7 @@ def merge_neighbor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(merge_neighbors(vector_search.scored(index, q, Params(k=200, exact=True)), 10))
 
 
-@_register("SELECT id, list_transform(t, lambda x: round(x / n, 5)) AS v FROM (SELECT vec_id AS id, embedding[:16]::DOUBLE[] AS t, sqrt(list_inner_product(embedding[:16]::DOUBLE[], embedding[:16]::DOUBLE[])) AS n FROM embeddings)")
+@_register("SELECT id, list_transform(t, lambda x: round((x / n)::FLOAT::DOUBLE, 5)) AS v FROM (SELECT vec_id AS id, embedding[:16]::DOUBLE[] AS t, sqrt(list_inner_product(embedding[:16]::DOUBLE[], embedding[:16]::DOUBLE[])) AS n FROM embeddings)")
 def vec_truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.transform(vectors.truncated(F.col("embedding"), 16), lambda x: F.round(x.cast("double"), 5)).alias("v"))
