@@ -145,6 +145,15 @@ def _keys(bands: dict[int, tuple[int, int]]):
     return emit
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of one byte a hash, enough for the estimate: two unequal minima look equal once in 256."""
+    for batch in batches:
+        if batch.num_rows:
+            sig = _sigs(batch.column(2)).astype(np.uint8)
+            binary = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer((np.arange(len(sig) + 1) * HASHES).astype(np.int32)), pa.py_buffer(sig.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary], ["doc_id", "n", "sig"])
+
+
 def _estimate(t: float):
     """Of candidates with both signatures, those whose estimated containment may reach t, within two standard errors."""
 
@@ -152,7 +161,7 @@ def _estimate(t: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q, x = _sigs(batch.column("q_sig")), _sigs(batch.column("x_sig"))
+            q, x = (tv.strings(batch.column(c))[0].reshape(-1, HASHES) for c in ("q_sig", "x_sig"))
             nq, nx = batch.column("nq").to_numpy().astype(float), batch.column("nx").to_numpy().astype(float)
             same = (q == x).mean(axis=1)
             least = t * nq / (nx + (1 - t) * nq)
@@ -166,7 +175,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = tv.strings(batch.column(1))
         for lo, hi in tv.slices(off):
             value, counts = shingles(tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
-            at = np.r_[0, np.cumsum(counts)] * 8
+            # The upper halves stay sorted, and two shingles of one document that share theirs are rare enough to count as one.
+            value = (value >> tv.U(32)).astype(np.uint32)
+            at = np.r_[0, np.cumsum(counts)] * 4
             col = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(value.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), col], ["id", "shingles"])
 
@@ -176,7 +187,7 @@ def _contain(t: float):
         for batch in batches:
             out = []
             for q, x in zip(batch.column("q_set"), batch.column("x_set"), strict=True):
-                a, b = np.frombuffer(q.as_buffer(), tv.U), np.frombuffer(x.as_buffer(), tv.U)
+                a, b = np.frombuffer(q.as_buffer(), np.uint32), np.frombuffer(x.as_buffer(), np.uint32)
                 at = np.searchsorted(b, a)
                 out.append(float((b[np.minimum(at, len(b) - 1)] == a).sum()) / max(1, len(a)) if len(b) else 0.0)
             value = np.array(out)
@@ -220,11 +231,16 @@ def groups(docs: DataFrame, t: float = T) -> DataFrame:
     reps = sigs.join(members.where("doc_id = rep").select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi")
     pairs = materialise(candidates(reps, t))
     free_shuffles(docs.sparkSession)
-    side = sigs.select("doc_id", "n", "sig").dropDuplicates(["doc_id", "n"])
+    repeated = not sigs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    side = sigs.select("doc_id", "n", "sig").mapInArrow(_short, "doc_id long, n int, sig binary")
+    if repeated:
+        side = side.dropDuplicates(["doc_id", "n"])
     both = pairs.join(side.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("sig").alias("q_sig")), ["q", "nq"]).join(side.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("x_sig")), ["x", "nx"])
     likely = materialise(both.select("q", "x", "nq", "nx", "q_sig", "x_sig").mapInArrow(_estimate(t), "q long, x long, nq int, nx int"))
     ids = likely.select(F.explode(F.array("q", "x")).alias("doc_id")).distinct()
-    sets = materialise(only(texts(docs), ids).mapInArrow(_sets, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles")))
+    free_shuffles(docs.sparkSession)
+    sets = only(texts(docs), ids).mapInArrow(_sets, "id long, shingles binary")
+    sets = materialise(sets.groupBy("id").agg(F.max("shingles").alias("shingles")) if repeated else sets)
     checked = likely.join(sets.select(F.col("id").alias("q"), F.col("shingles").alias("q_set")), "q").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("x_set")), "x")
     found = checked.select("q", "x", "nx", "q_set", "x_set").mapInArrow(_contain(t), "q long, x long, nx int, containment double")
     best = materialise(found.groupBy("q").agg(F.max(F.struct("containment", "nx", (-F.col("x")).alias("x"), F.col("x").alias("to"))).alias("b")).select("q", F.col("b.to").alias("x"), F.col("b.containment").alias("containment")))
