@@ -3,11 +3,11 @@
 1. Statistics over all documents: passages of PASSAGE words give document frequencies of hashed
    terms and a sparse random-sign sketch S A of the passage-term count matrix A, summed over all
    tasks. Scaled by idf, the sketch's singular vectors are those of a randomised SVD of the TF-IDF
-   matrix; the sketch has a fixed size, whatever the corpus.
+   matrix; the sketch has a fixed size, whatever the corpus. What is folded in is whitened, and weighted by idf once more.
 2. Retrieval: a window of words is folded into the latent space by summing its words' vectors.
    Windows begin every BLOCK words and are as long as an item and a block or more, by classes of length. Each
    window of each document is held against every item by cosine; those of at least COSINE are candidates.
-3. Proof: the longest common subsequence of the item's words with the window and a block about it. An
+3. Proof: of candidates of which enough words are in the item at all, the longest common subsequence of the item's words with the window and a block about it. An
    item is present from a share of VERBATIM on; from PARAPHRASE on if its answer, the last ANSWER
    words, is there too, but for one word.
 
@@ -32,8 +32,8 @@ from .common import texts
 
 TERMS, SKETCH, RANK = 8192, 256, 64
 PASSAGE, BLOCK = 32, 8
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.55, 0.6, 0.4, 6
-ITEMS_AT_ONCE = 20_000
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.6, 0.5, 6
+ITEMS_AT_ONCE = 1_000
 #: Window lengths in blocks.
 CLASSES = (3, 5, 7, 9, 12, 16, 24, 32, 64, 128)
 #: First step of the sum over tasks, so that no group holds the sketch of very many of them.
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, rank: int = RANK) -> Space:
     top = top[values[top] > max(1e-9, values[top[0]] * 1e-10)]
     sigma = np.sqrt(values[top])
     right = (a.T @ left[:, top]) / sigma
-    return Space((idf[:, None] * right / np.sqrt(sigma / sigma.max() if len(sigma) else 1.0)).astype(np.float32))
+    return Space(((idf**2)[:, None] * right * (sigma.max() / sigma if len(sigma) else 1.0)).astype(np.float32))
 
 
 @dataclass
@@ -131,6 +131,9 @@ class Items:
     classes: dict[int, np.ndarray]
     keys: np.ndarray  # sorted (item, word) keys
     bits: np.ndarray  # positions of that word in that item, for items of up to 64 words
+    vocabulary: np.ndarray  # sorted words of all items
+    holds: np.ndarray  # items x (vocabulary + 1): whether the item has the word
+    likely: np.ndarray  # by the upper 20 bits of a word: whether it may be in the vocabulary
 
     @staticmethod
     def of(rows: list[tuple[int, str]], space: Space) -> Items:
@@ -154,7 +157,34 @@ class Items:
                 for i, key in enumerate(_key(h, np.full(len(h), k)).tolist()):
                     keys[key] = keys.get(key, 0) | 1 << i
         order = sorted(keys)
-        return Items(np.array(ids, np.int64), kept, np.array(vectors, np.float32).reshape(len(ids), -1), {c: np.array(x) for c, x in classes.items()}, np.array(order, tv.U), np.array([keys[x] for x in order], tv.U))
+        vocabulary = np.unique(np.concatenate(kept)) if kept else np.zeros(0, tv.U)
+        holds = np.zeros((len(ids), len(vocabulary) + 1), np.uint8)
+        for k, h in enumerate(kept):
+            holds[k, np.searchsorted(vocabulary, h) + 1] = 1
+        likely = np.zeros(1 << 20, bool)
+        likely[(vocabulary >> tv.U(44)).astype(np.int64)] = True
+        return Items(np.array(ids, np.int64), kept, np.array(vectors, np.float32).reshape(len(ids), -1), {c: np.array(x) for c, x in classes.items()}, np.array(order, tv.U), np.array([keys[x] for x in order], tv.U), vocabulary, holds, likely)
+
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word in the vocabulary, from 1 on; 0 for others."""
+        out = np.zeros(len(h), np.int32)
+        some = np.flatnonzero(self.likely[(h >> tv.U(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.vocabulary, h[some]), len(self.vocabulary) - 1)
+        out[some] = np.where(self.vocabulary[at] == h[some], at + 1, 0)
+        return out
+
+    def shared(self, item: np.ndarray, number: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many of the words lo..hi each item has: no common subsequence is longer."""
+        out = np.zeros(len(item), np.int32)
+        flat, width = self.holds.ravel(), self.holds.shape[1]
+        for a in range(0, len(item), 65_536):
+            base, start, end = item[a : a + 65_536] * width, lo[a : a + 65_536], hi[a : a + 65_536]
+            total = np.zeros(len(base), np.int32)
+            for j in range(int((end - start).max())):
+                at = start + j
+                total += flat[base + number[np.minimum(at, end - 1)]] * (at < end)
+            out[a : a + 65_536] = total
+        return out
 
 
 def _key(h: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -212,26 +242,36 @@ def search(items: Items, space: Space, w: tv.Words) -> tuple[np.ndarray, ...]:
     first_block = np.r_[0, np.cumsum(per_row)]
     place = np.arange(len(w.h)) - np.repeat(w.first[:-1], counts)
     starts = np.flatnonzero(place % BLOCK == 0)
-    rank = space.vectors.shape[1]
-    cum = np.zeros((len(starts) + 1, rank))
-    block_sums = np.empty((len(starts), rank), np.float32)
-    for lo in range(0, len(starts), 8192):
-        hi = min(len(starts), lo + 8192)
+    block_sums = np.empty((len(starts), space.vectors.shape[1]), np.float32)
+    for lo in range(0, len(starts), 2048):
+        hi = min(len(starts), lo + 2048)
         a, b = starts[lo], starts[hi] if hi < len(starts) else len(w.h)
         block_sums[lo:hi] = np.add.reduceat(space.embed(w.h[a:b]), starts[lo:hi] - a, axis=0)
-    np.cumsum(block_sums, axis=0, dtype=np.float64, out=cum[1:])
     row_of = np.repeat(np.arange(len(counts)), per_row)
     last = first_block[row_of + 1]
     index = np.arange(len(starts))
+    number = items.number(w.h)
+    size_of = np.array([len(x) for x in items.words])
+    need = np.minimum(np.ceil(VERBATIM * size_of), np.ceil(PARAPHRASE * size_of)).astype(np.int32)
     out = []
-    for size, members in items.classes.items():
-        # A window that would pass the row's end is left out, unless it is the row's first: the one before it holds its words.
+    sums, width = block_sums.copy(), 1
+    for size, members in sorted(items.classes.items()):
+        # Sums of `size` blocks from each, running on into the next row; those that do are used nowhere but for a row's first, which is summed anew.
+        while width < size:
+            if width < len(sums):
+                sums[:-width] += block_sums[width:]
+            width += 1
+        short = np.flatnonzero(per_row < size)
+        short = short[per_row[short] > 0]
         use = index[(index + size <= last) | (index == first_block[row_of])]
         end = np.minimum(use + size, last[use])
         of = items.vectors[members].T
-        for lo in range(0, len(use), 16_384):
-            i, e = use[lo : lo + 16_384], end[lo : lo + 16_384]
-            v = (cum[e] - cum[i]).astype(np.float32)
+        brief = np.isin(use, first_block[short], assume_unique=True) if len(short) else np.zeros(len(use), bool)
+        for lo in range(0, len(use), 8_192):
+            i, e = use[lo : lo + 8_192], end[lo : lo + 8_192]
+            v = sums[i]
+            for k in np.flatnonzero(brief[lo : lo + 8_192]):
+                v[k] = block_sums[i[k] : e[k]].sum(axis=0)
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             near = v @ of
             r, c = np.nonzero(near >= COSINE * np.maximum(norm, 1e-12)[:, None])
@@ -243,6 +283,8 @@ def search(items: Items, space: Space, w: tv.Words) -> tuple[np.ndarray, ...]:
     row = row_of[begin]
     lo = np.maximum(starts[begin] - BLOCK, w.first[row])
     hi = np.minimum(np.where(end < len(starts), starts[np.minimum(end, len(starts) - 1)], len(w.h)) + BLOCK, w.first[row + 1])
+    may = items.shared(item, number, lo, hi) >= need[item]
+    row, item, cosine, lo, hi = row[may], item[may], cosine[may], lo[may], hi[may]
     total, answer = lcs(items, item, w.h, lo, hi)
     size = np.array([len(items.words[k]) for k in item])
     share, reply = total / size, answer / np.minimum(size, ANSWER)
@@ -300,5 +342,3 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
-
-
