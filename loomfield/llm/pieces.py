@@ -133,11 +133,12 @@ class Encoder:
         for i in range(1, len(s) + 1):
             for j, _, w in arcs[i]:
                 best[i] = max(best[i], best[j] + w)
+        # Scores that are equal but for rounding go deepest first: breadth first their number would grow exponentially.
         out = []
         serial = 0
-        heap = [(-best[-1], 0, len(s), 0.0, None)]
+        heap = [(round(-best[-1], 6), len(s), 0, 0.0, None)]
         while heap and len(out) < n:
-            _, _, i, g, path = heapq.heappop(heap)
+            _, i, _, g, path = heapq.heappop(heap)
             if i == 0:
                 steps = []
                 while path:
@@ -147,7 +148,7 @@ class Encoder:
                 continue
             for j, k, w in arcs[i]:
                 serial += 1
-                heapq.heappush(heap, (-(g + w + best[j]), serial, j, g + w, ((j, i, k), path)))
+                heapq.heappush(heap, (round(-(g + w + best[j]), 6), j, serial, g + w, ((j, i, k), path)))
         return out
 
     def emit(self, s: str, steps: list[tuple[int, int, int]]) -> list[int]:
