@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,7 +74,7 @@ def matching(rows: list[list[tuple[int, float]]], n: int) -> float:
 @F.pandas_udf(T.DoubleType())
 def _matching(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for rows, n in parts:
-        yield pd.Series([matching([[(int(c["kwi"]), float(c["w"])) for c in r] for r in x], int(k)) for x, k in zip(rows, n, strict=True)], dtype=float)
+        yield pd.Series([matching([[(c["kwi"], float(c["w"])) for c in r] for r in json.loads(x)], int(k)) for x, k in zip(rows, n, strict=True)], dtype=float)
 
 
 def field_scores(found: DataFrame, most_words: int) -> DataFrame:
@@ -89,7 +90,7 @@ def field_scores(found: DataFrame, most_words: int) -> DataFrame:
     each = alike.groupBy(*key).agg(F.first("n").alias("n"), F.first("length").alias("length"), F.sum("c").alias("m"), F.flatten(F.collect_list(F.array_repeat("row", F.least("c", F.col("n")).cast("int")))).alias("rows"))
     weight = subsets(F.col("rows"), F.col("n"))
     if most_words > SUBSETS:
-        each = each.withColumn("a", F.when(F.col("n") <= SUBSETS, F.lit(None).cast("double")).otherwise(_matching("rows", "n")))
+        each = each.withColumn("a", F.when(F.col("n") <= SUBSETS, F.lit(None).cast("double")).otherwise(_matching(F.to_json("rows"), "n")))
         weight = F.coalesce("a", F.when(F.col("n") <= SUBSETS, weight))
     both = F.least(F.col("n").cast("long"), F.col("m"))
     unknown = F.greatest(F.lit(0), F.col("n") - both)

@@ -53,8 +53,9 @@ def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, s
     ids = tensors.get("id", np.arange(len(vectors), dtype=np.uint32))
     if ids.ndim != 1 or len(ids) != len(vectors):
         raise DataError("id must hold one number for each vector")
-    frame = pd.DataFrame({"id": ids.astype(np.int64), "n": np.arange(len(ids)), "embedding": list(vectors)})
-    return keyed(spark.createDataFrame(frame, "id long, n long, embedding array<float>")), meta
+    frame = pd.DataFrame({"id": ids.astype(np.int64), "n": np.arange(len(ids)), "embedding": vectors.tolist()})
+    rows = list(frame.itertuples(index=False, name=None))
+    return keyed(spark.createDataFrame(rows, "id long, n long, embedding array<float>")), meta
 
 
 def keyed(df: DataFrame, order: str = "n") -> DataFrame:
