@@ -18,6 +18,8 @@ An empty table gives empty tables. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free_shuffles, materialise, texts
+from .common import free_shuffles, release, shared_dir, texts
 from .pieces import SLICE, Pieces, encoder
 
 WINDOW, LEAST, MOST, BITS = 32, 64, 1024, 8
@@ -141,6 +143,7 @@ def cut(docs: DataFrame, model: Pieces) -> DataFrame:
                     _binary(nothing * k + [x[2] for x in chunks]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "recipe", "root", "digest", "n", "payload"])
+        release()
 
     return texts(docs).mapInArrow(run, _CUT)
 
@@ -153,12 +156,15 @@ class Store:
 
 def build(docs: DataFrame, model: Pieces) -> Store:
     """The store, as two tables in the shared folder."""
-    rows = materialise(cut(docs, model))
-    recipes = rows.where("digest is null").select("doc_id", "n_tokens", "recipe", "root").dropDuplicates(["doc_id", "root"])
-    chunks = rows.where("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
-    out = Store(materialise(chunks), recipes)
+    rows = cut(docs, model)
+    key = F.coalesce("digest", F.concat(F.encode(F.col("doc_id").cast("string"), "UTF-8"), F.lit(b"|"), "root"))
+    # One exchange for both kinds of rows; payloads are written twice in all, as shuffle files and as the store.
+    unique = rows.withColumn("chunk", F.col("digest").isNotNull()).withColumn("key", key).dropDuplicates(["chunk", "key"]).drop("key")
+    path = os.path.join(shared_dir(docs.sparkSession), f"store-{uuid.uuid4().hex}")
+    unique.write.partitionBy("chunk").option("compression", "zstd").parquet(path)
     free_shuffles(docs.sparkSession)
-    return out
+    held = docs.sparkSession.read.schema(_CUT + ", chunk boolean").parquet(path)
+    return Store(held.where("chunk").select("digest", "n", "payload"), held.where("not chunk").select("doc_id", "n_tokens", "recipe", "root"))
 
 
 def _intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
