@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import texts
+from .common import release, texts
 
 TERMS, SKETCH, RANK = 8192, 256, 64
 PASSAGE, BLOCK = 32, 8
@@ -302,6 +302,7 @@ def _finder(items: Items, space: Space, doc: int, text: int):
                 row, item, cosine, share, reply = search(items, space, w)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(items.ids[item]), pa.array(cosine), pa.array(share), pa.array(reply)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+        release()
 
     return find
 
@@ -339,6 +340,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, hi in tv.slices(off):
                     mask[search(items, space, tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))[0] + lo] = False
                 yield batch.filter(pa.array(mask))
+            release()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import release
 
 #: Bounds of the labelled sample for each language: bytes of symbols and documents looked at.
 PER_LANGUAGE, DOCUMENTS = 48_000, 60
@@ -174,6 +175,12 @@ class Parser:
 _parsers: dict[str, Parser] = {}
 
 
+def forget() -> None:
+    """Drop the tables at the end of a task; making them again takes a second, keeping them a hundred megabytes in every worker."""
+    _parsers.clear()
+    release()
+
+
 @dataclass
 class Model:
     """Labelled text by language and the limit of bits by length; small, so it travels with the tasks."""
@@ -265,6 +272,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
                 mean = np.where(v.phrases > 0, v.symbols / np.maximum(1, v.phrases), 0.0)
                 cols = [batch.column(0).slice(lo, hi - lo), language, pa.array(v.phrases), pa.array(v.symbols), pa.array(v.bits), pa.array(v.margin), pa.array(mean), pa.array(v.accepted)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "language", "phrases", "symbols", "bits", "margin", "mean_match", "accepted"])
+        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(parse, SCHEMA)
 
@@ -279,5 +287,6 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
             mask = [judge(model, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).accepted for lo, hi in tv.slices(off)]
             if mask:
                 yield batch.filter(pa.array(np.concatenate(mask)))
+        forget()
 
     return docs.mapInArrow(parse, docs.schema)

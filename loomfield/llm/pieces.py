@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .common import texts
+from .common import release, texts
 
 #: Added to the rank of a merge model's piece.
 ZIPF = 10.0
@@ -37,7 +37,8 @@ N_BEST = 4
 SPACE = 0x2581
 #: Longest part that is solved in numpy; the longer ones, without a place to split, one by one.
 WIDTHS = (4, 8, 12, 16, 24, 32)
-SLICE = 4 << 20
+#: Bytes of text encoded at a time: some hundred bytes of memory for each.
+SLICE = 3 << 19
 
 ENCODED = "doc_id long, ids array<int>, n_tokens int, score double, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, round_trip boolean"
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -437,6 +438,7 @@ def encode(docs: DataFrame, model: Pieces, n: int = N_BEST) -> DataFrame:
                     pa.array(_same(enc, e.ids, at, raw, off)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "score", "alternatives", "round_trip"])
+        release()
 
     return texts(docs).mapInArrow(run, ENCODED)
 
