@@ -123,12 +123,12 @@ class Parser:
         tables, base, at = [], [], 0
         for name in names:
             trans = automaton(texts[name])
-            root = np.full(alphabet, at * 4, np.int64)
+            root = np.full(alphabet, at * 4, np.int32)
             known = np.zeros(alphabet, bool)
             for c, to in trans[0].items():
                 if c:
                     root[code[c]], known[code[c]] = (at + to) * 4, True
-            whole = np.tile(root + np.where(known, 1, 2), (len(trans), 1))
+            whole = np.tile(root + np.where(known, 1, 2).astype(np.int32), (len(trans), 1))
             whole[0] = root + np.where(known, 0, 1)
             sizes = [len(t) for t in trans]
             froms = np.repeat(np.arange(len(trans)), sizes)
@@ -136,7 +136,7 @@ class Parser:
             to = np.fromiter((x for t in trans for x in t.values()), np.int64, sum(sizes))
             ok = symbol > 0
             whole[froms[ok], code[symbol[ok]]] = (at + to[ok]) * 4
-            tables.append(whole.astype(np.int32).ravel())
+            tables.append(whole.ravel())
             base.append(at)
             at += len(trans)
         return Parser(names, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(base, np.int64), code, alphabet, np.array([math.log2(max(2, len(texts[x]))) for x in names]))
