@@ -3,10 +3,15 @@
 A document is the set of its distinct SHINGLE-word shingles (one shingle of all its words if it has
 fewer; none if it has no words). Documents are partitioned by set size into octaves. A query of
 octave p is held against index partition p + d with the Jaccard threshold that containment T means
-there, T / (2^(d+1) + 1 - T), and each distance d has its own banding, tuned to that threshold
-(`tune`). In each bucket a document is a candidate for the bucket's largest document and for the next
-larger one, so that a bucket of any size costs time in proportion to it. Candidates pass a signature
-estimate, then the exact containment is computed from whole sets.
+there, T / (2^(d+1) + 1 - T), and each distance d up to FARTHEST has its own banding, tuned to that
+threshold (`tune`). In each bucket a document is a candidate for the bucket's largest document and for the
+next larger one, so that a bucket of any size costs time in proportion to it. Candidates pass a signature
+estimate.
+
+Where the ratio of sizes is larger, minima are too seldom equal. There an index is used, whose recall does not
+depend on the ratio: a document's SAMPLE shingles of least hash are sought among all shingles of all larger
+documents (`index`, `sought`), by the rarest of them, so many that one is met by every document that has enough
+of the sample, and paired with all that hold one. Of candidates of both ways the exact containment is computed from whole sets.
 
 A document whose containment in a larger one (ties: the one of smaller doc_id counts as larger) is at
 least T belongs to the best of those found, and through it to a root; a root with all that lead to it
@@ -36,6 +41,12 @@ SHINGLE = 5
 T = 0.7
 #: Hash functions of a signature, and the recall for which bandings are tuned.
 HASHES, RECALL = 64, 0.95
+#: The largest octave distance for which minima are compared.
+FARTHEST = 2
+#: Shingles by which a document is sought in the index, and the share of pairs at the threshold that they may miss.
+SAMPLE, MISSED = 16, 0.01
+#: Bits of the filter of sought shingles for each of them, and the logarithms of the fewest and most bits in all, and of those in a part.
+SPARSE, FILTER, PART = 16, (18, 30), 18
 #: Up to so many ids are broadcast (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -62,6 +73,14 @@ def ensemble(t: float = T) -> dict[int, tuple[int, int]]:
     return {d: tune(jaccard(t, 2.0 ** (d + 1))) for d in range(24)}
 
 
+def least_hits(m: int, t: float = T) -> int:
+    """How many of m sampled shingles a container has: of a whole set the share t, of a larger one's SAMPLE all but MISSED of the pairs at t have that many."""
+    if m < SAMPLE:
+        return max(1, math.ceil(t * m - 1e-9))
+    below = np.cumsum([math.comb(m, k) * t**k * (1 - t) ** (m - k) for k in range(m + 1)])
+    return max(1, int(np.searchsorted(below, MISSED, side="right")))
+
+
 def shingles(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted in each row, and how many each row has."""
     k, rows = SHINGLE, len(w.first) - 1
@@ -201,6 +220,79 @@ def _contain(t: float):
     return exact
 
 
+def _slots(value: np.ndarray, bits: int) -> np.ndarray:
+    return (tv.mix(value) >> tv.U(64 - bits)).astype(np.int64)
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample of each document with its size; a document without words has none."""
+    for batch in batches:
+        raw, off = tv.strings(batch.column(1))
+        for lo, hi in tv.slices(off):
+            value, counts = shingles(tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+            nth = np.arange(len(value)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(tv.signed(value[nth < SAMPLE]))], ["key"])
+    release()
+
+
+def _filter(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """One bit for each hash of a sought shingle, as bytes, and the logarithm of their number."""
+    bits = int(np.clip(math.ceil(math.log2(max(1, n * SAMPLE * SPARSE))), *FILTER))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _least(batches):
+            slot = np.unique(_slots(batch.column(0).to_numpy().view(tv.U), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> PART).astype(np.int32)), pa.array((slot & ((1 << PART) - 1)).astype(np.int32))], ["part", "slot"])
+
+    def gather(group: pa.Table) -> pa.Table:
+        some = np.zeros(1 << PART, np.uint8)
+        some[group.column("slot").to_numpy()] = 1
+        return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([np.packbits(some, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in docs.mapInArrow(place, "part int, slot int").groupBy("part").applyInArrow(gather, "part int, bits binary").toLocalIterator():
+        out[r.part << (PART - 3) : (r.part + 1) << (PART - 3)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out, bits
+
+
+def index(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n and keys of about n documents (doc_id, text): the shingles of each that any document is sought by, ascending, so that its own sample comes first."""
+    table, bits = _filter(docs, n)
+    table = docs.sparkSession.sparkContext.broadcast(table)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = tv.strings(batch.column(1))
+            for lo, hi in tv.slices(off):
+                value, counts = shingles(tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+                slot = _slots(value, bits)
+                held = (table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                sums = np.r_[0, np.cumsum(held)][np.r_[0, np.cumsum(counts)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int32)), tv.as_list(tv.signed(value[held]), np.diff(sums), pa.int64())], ["doc_id", "n", "keys"])
+        release()
+
+    return materialise(docs.mapInArrow(emit, "doc_id long, n int, keys array<long>").where("n > 0"))
+
+
+def sought(held: DataFrame, t: float = T) -> DataFrame:
+    """Pairs q, x with nq, nx of an index (doc_id, n, keys): x is more than FARTHEST octaves larger and has enough of q's sample."""
+    octave = F.floor(F.log2("n")).cast("int")
+    flat = held.select("doc_id", "n", octave.alias("octave"), F.posexplode("keys").alias("pos", "key"))
+    common = flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    least = F.element_at(F.array(*[F.lit(least_hits(m, t)) for m in range(1, SAMPLE + 1)]), F.least("n", F.lit(SAMPLE)))
+    by = Window.partitionBy("doc_id", "n").orderBy("df", "key")
+    own = flat.where(F.col("pos") < SAMPLE).join(common, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    # Who has `least` of m keys has one of any m - least + 1.
+    own = own.withColumn("nth", F.row_number().over(by)).where((F.col("nth") <= F.least("n", F.lit(SAMPLE)) - least + 1) & (F.col("df") > 1))
+    q = own.select("key", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("octave").alias("oq"))
+    x = flat.join(common.select("key"), "key", "left_semi").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("octave").alias("ox"))
+    larger = F.col("ox") > F.col("oq") + FARTHEST
+    pairs = q.join(x, "key").where(larger).select("q", "nq", "x", "nx").distinct()
+    pairs = pairs.join(held.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.slice("keys", 1, SAMPLE).alias("sample"), least.alias("least")), ["q", "nq"])
+    pairs = pairs.join(held.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), "keys"), ["x", "nx"])
+    return pairs.where(F.size(F.array_intersect("sample", "keys")) >= F.col("least")).select("q", "x", "nq", "nx").distinct()
+
+
 def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """The documents whose doc_id is among ids: a broadcast join for at most so many ids, else a shuffled one."""
     few = ids.limit(most + 1).count() <= most
@@ -213,7 +305,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame, t: float = T) -> DataFrame:
     """Pairs q, x with nq, nx: q may be contained in x, which is larger or of the same size and smaller id."""
-    bands = ensemble(t)
+    bands = {d: b for d, b in ensemble(t).items() if d <= FARTHEST}
     by = Window.partitionBy("key").orderBy(F.desc("n"), "doc_id")
     keyed = reps.select("doc_id", "n", "sig").mapInArrow(lambda it: _keys(bands)(b.select(["doc_id", "n", "sig"]) for b in it), "key long, doc_id long, n int")
     seen = keyed.select("key", "doc_id", "n", F.struct("doc_id", "n").alias("d"))
@@ -241,6 +333,9 @@ def groups(docs: DataFrame, t: float = T) -> DataFrame:
         side = side.dropDuplicates(["doc_id", "n"])
     both = pairs.join(side.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("sig").alias("q_sig")), ["q", "nq"]).join(side.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("x_sig")), ["x", "nx"])
     likely = materialise(both.select("q", "x", "nq", "nx", "q_sig", "x_sig").mapInArrow(_estimate(t), "q long, x long, nq int, nx int"))
+    held = index(only(texts(docs), reps.select("doc_id").distinct()), members.count())
+    likely = materialise(likely.unionByName(sought(held, t)).distinct())
+    free_shuffles(docs.sparkSession)
     ids = likely.select(F.explode(F.array("q", "x")).alias("doc_id")).distinct()
     free_shuffles(docs.sparkSession)
     sets = only(texts(docs), ids).mapInArrow(_sets, "id long, shingles binary")

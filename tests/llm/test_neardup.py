@@ -60,3 +60,17 @@ def test_edges(spark):
     assert ids == [1, 2, 3, 4, 5, 7, 8, None]
     assert neardup.keep_one(edges.empty(spark)).count() == 0
     assert neardup.groups(edges.empty(spark)).count() == 0
+
+
+def test_short_documents_within_long_ones(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    docs = []
+    for k in range(60):
+        short = [r.choice(words) for _ in range(80)]
+        long = [r.choice(words) for _ in range(80 * (12, 25, 45, 90, 175)[k % 5])]
+        docs += [(2 * k, " ".join(short)), (2 * k + 1, " ".join(long[:500] + short + long[500:]))]
+    gone = {r.doc_id for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect() if not r.kept}
+    assert all(d % 2 == 0 for d in gone)
+    for at in range(5):
+        assert sum(2 * k in gone for k in range(at, 60, 5)) >= 11
