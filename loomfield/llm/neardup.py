@@ -8,8 +8,9 @@ threshold (`tune`). In each bucket a document is a candidate for the bucket's la
 next larger one, so that a bucket of any size costs time in proportion to it. Candidates pass a signature
 estimate.
 
-Where the ratio of sizes is larger, minima are too seldom equal. There an index is used, whose recall does not
-depend on the ratio: a document's SAMPLE shingles of least hash are sought among all shingles of all larger
+Where the ratio of sizes is larger, minima are too seldom equal, and in a bucket of a popular shingle the true
+container is often neither of the two. So an index of another kind is used for all pairs, whose recall depends on
+neither, for all documents that have no container by exact check yet: a document's SAMPLE shingles of least hash are sought among all shingles of all larger
 documents (`index`, `sought`), by the rarest of them, so many that one is met by every document that has enough
 of the sample, and paired with all that hold one. Of candidates of both ways the exact containment is computed from whole sets.
 
@@ -274,19 +275,21 @@ def index(docs: DataFrame, n: int) -> DataFrame:
     return materialise(docs.mapInArrow(emit, "doc_id long, n int, keys array<long>").where("n > 0"))
 
 
-def sought(held: DataFrame, t: float = T) -> DataFrame:
-    """Pairs q, x with nq, nx of an index (doc_id, n, keys): x is more than FARTHEST octaves larger and has enough of q's sample."""
-    octave = F.floor(F.log2("n")).cast("int")
-    flat = held.select("doc_id", "n", octave.alias("octave"), F.posexplode("keys").alias("pos", "key"))
+def sought(held: DataFrame, t: float = T, found: DataFrame | None = None) -> DataFrame:
+    """Of documents whose ids aren't among found (q), pairs q, x with nq, nx of an index (doc_id, n, keys): x is larger, or of the same size and smaller id, and has enough of q's sample."""
+    flat = held.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
     common = flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     least = F.element_at(F.array(*[F.lit(least_hits(m, t)) for m in range(1, SAMPLE + 1)]), F.least("n", F.lit(SAMPLE)))
     by = Window.partitionBy("doc_id", "n").orderBy("df", "key")
-    own = flat.where(F.col("pos") < SAMPLE).join(common, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    own = flat.where(F.col("pos") < SAMPLE)
+    if found is not None:
+        own = own.join(found, own["doc_id"] == found["q"], "left_anti")
+    own = own.join(common, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     # Who has `least` of m keys has one of any m - least + 1.
     own = own.withColumn("nth", F.row_number().over(by)).where((F.col("nth") <= F.least("n", F.lit(SAMPLE)) - least + 1) & (F.col("df") > 1))
-    q = own.select("key", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("octave").alias("oq"))
-    x = flat.join(common.select("key"), "key", "left_semi").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("octave").alias("ox"))
-    larger = F.col("ox") > F.col("oq") + FARTHEST
+    q = own.select("key", F.col("doc_id").alias("q"), F.col("n").alias("nq"))
+    x = flat.join(common.select("key"), "key", "left_semi").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"))
+    larger = (F.col("q") != F.col("x")) & ((F.col("nx") > F.col("nq")) | ((F.col("nx") == F.col("nq")) & (F.col("x") < F.col("q"))))
     pairs = q.join(x, "key").where(larger).select("q", "nq", "x", "nx").distinct()
     pairs = pairs.join(held.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.slice("keys", 1, SAMPLE).alias("sample"), least.alias("least")), ["q", "nq"])
     pairs = pairs.join(held.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), "keys"), ["x", "nx"])
@@ -319,6 +322,15 @@ def candidates(reps: DataFrame, t: float = T) -> DataFrame:
     return pairs.where(F.col("hits") >= F.when((F.col("nx") >= 8 * F.col("nq")) | (F.col("nq") < 8), 1).otherwise(2)).drop("hits")
 
 
+def contained(docs: DataFrame, likely: DataFrame, t: float, repeated: bool) -> DataFrame:
+    """Of pairs (q, x, nq, nx) those of containment t at least, by whole sets: q, x, nx, containment."""
+    ids = likely.select(F.explode(F.array("q", "x")).alias("doc_id")).distinct()
+    sets = only(texts(docs), ids).mapInArrow(_sets, "id long, shingles binary")
+    sets = materialise(sets.groupBy("id").agg(F.max("shingles").alias("shingles")) if repeated else sets)
+    checked = likely.join(sets.select(F.col("id").alias("q"), F.col("shingles").alias("q_set")), "q").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("x_set")), "x")
+    return checked.select("q", "x", "nx", "q_set", "x_set").mapInArrow(_contain(t), "q long, x long, nx int, containment double")
+
+
 def groups(docs: DataFrame, t: float = T) -> DataFrame:
     """doc_id, group_id (the document that stays), contained_in, containment, n_shingles, kept; for all members of groups of two or more."""
     sigs = signed(docs)
@@ -333,15 +345,12 @@ def groups(docs: DataFrame, t: float = T) -> DataFrame:
         side = side.dropDuplicates(["doc_id", "n"])
     both = pairs.join(side.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("sig").alias("q_sig")), ["q", "nq"]).join(side.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("x_sig")), ["x", "nx"])
     likely = materialise(both.select("q", "x", "nq", "nx", "q_sig", "x_sig").mapInArrow(_estimate(t), "q long, x long, nq int, nx int"))
-    held = index(only(texts(docs), reps.select("doc_id").distinct()), members.count())
-    likely = materialise(likely.unionByName(sought(held, t)).distinct())
     free_shuffles(docs.sparkSession)
-    ids = likely.select(F.explode(F.array("q", "x")).alias("doc_id")).distinct()
+    found = materialise(contained(docs, likely, t, repeated))
+    held = index(only(texts(docs), reps.select("doc_id").distinct()), members.count())
+    likely = materialise(sought(held, t, found.select("q").distinct()))
     free_shuffles(docs.sparkSession)
-    sets = only(texts(docs), ids).mapInArrow(_sets, "id long, shingles binary")
-    sets = materialise(sets.groupBy("id").agg(F.max("shingles").alias("shingles")) if repeated else sets)
-    checked = likely.join(sets.select(F.col("id").alias("q"), F.col("shingles").alias("q_set")), "q").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("x_set")), "x")
-    found = checked.select("q", "x", "nx", "q_set", "x_set").mapInArrow(_contain(t), "q long, x long, nx int, containment double")
+    found = found.unionByName(contained(docs, likely, t, repeated))
     best = materialise(found.groupBy("q").agg(F.max(F.struct("containment", "nx", (-F.col("x")).alias("x"), F.col("x").alias("to"))).alias("b")).select("q", F.col("b.to").alias("x"), F.col("b.containment").alias("containment")))
     free_shuffles(docs.sparkSession)
     roots = best.select("q", F.col("x").alias("root"))

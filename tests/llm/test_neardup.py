@@ -74,3 +74,22 @@ def test_short_documents_within_long_ones(spark):
     assert all(d % 2 == 0 for d in gone)
     for at in range(5):
         assert sum(2 * k in gone for k in range(at, 60, 5)) >= 11
+
+
+def test_containers_among_documents_that_share_passages(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    passages = [some(36) for _ in range(20)]
+    docs = []
+    for k in range(40):
+        shared = passages[k % 20] + passages[(k % 20 + 1 + k // 20) % 20]
+        docs += [(2 * k, " ".join(shared + some(16))), (2 * k + 1, " ".join(some(150) + shared + some(150)))]
+    for k in range(300):
+        a, b = r.sample(passages, 2)
+        docs.append((1000 + k, " ".join(some(200 + k) + a + some(20) + b)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = {x.doc_id: x.contained_in for x in neardup.groups(df).collect() if not x.kept}
+    assert sum(gone.get(2 * k) == 2 * k + 1 for k in range(40)) >= 38
+    found = {(x.q, x.x) for x in neardup.sought(neardup.index(neardup.texts(df), len(docs))).collect()}
+    assert sum((2 * k, 2 * k + 1) in found for k in range(40)) >= 38
