@@ -89,7 +89,8 @@ def test_containers_among_documents_that_share_passages(spark):
         a, b = r.sample(passages, 2)
         docs.append((1000 + k, " ".join(some(200 + k) + a + some(20) + b)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    gone = {x.doc_id: x.contained_in for x in neardup.groups(df).collect() if not x.kept}
-    assert sum(gone.get(2 * k) == 2 * k + 1 for k in range(40)) >= 38
+    # Some of the 300 hold the same two passages, and so are containers too.
+    gone = {x.doc_id for x in neardup.groups(df).collect() if not x.kept}
+    assert sum(2 * k in gone for k in range(40)) >= 38
     found = {(x.q, x.x) for x in neardup.sought(neardup.index(neardup.texts(df), len(docs))).collect()}
     assert sum((2 * k, 2 * k + 1) in found for k in range(40)) >= 38
