@@ -28,6 +28,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialise` or `build` wrote, when nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver drop shuffle files whose plans are gone, instead of waiting for its next collection."""
     import gc

@@ -1,21 +1,23 @@
-"""Operator 6: passages of LEAST words or more that stand in several documents, by distributed prefix doubling.
-
-Suffixes are ranked at sampled places (a sparse suffix array): a word begins a sampled suffix if the
-hash of its GRAM words is the least of SPREAD successive ones. What is sampled depends on words nearby only, so two copies of
-a passage have the same samples, and a passage of LEAST words holds two in succession at least. The
-first rank of a suffix is the hash of its GRAM words. Each round pairs the rank of a suffix with that of the
-suffix 1, 2, 4, ... samples further on, sorts by the pair, and reranks. Suffixes whose rank is found in
-one document only are discarded; those whose common prefix is past LEAST + SPREAD - 1 words are `past`.
-
-Every window of LEAST words behind a `past` suffix is repeated. Windows at the ends of passages, about a suffix that
-survived the first round and is not past, or is the first that is, are told apart by the hash of all their words, together with
-all windows about suffixes of the same rank after that round. So the result is exact:
-the union of all windows of LEAST words whose words also stand in another document, in order. Repeats within one document
-do not count. A window is removable if a document of smaller doc_id shares the rank by which it was found, so that one copy always stays.
-
-Words are those of textvec: case-folded, without punctuation. Rows without doc_id are skipped; null texts are
-empty; shorter documents have no passage. A doc_id on several rows is one document, of its distinct texts, sorted and joined.
-An empty table gives an empty one. Extra columns are ignored.
+"""Operator 6: passages of LEAST words or more that stand more than once, by distributed prefix doubling.
+
+Every place of every text begins a suffix. Its first rank is the hash of its first GRAM words (a number, so an order); each round
+pairs the rank of a suffix with that of the suffix at the offset behind it, sorts all pairs with Spark, by range over the
+executors, and gives suffixes of equal pairs the same dense rank in that order. The offset is as long as the prefix that is told apart by then,
+and in the last round what is left to LEAST words. Suffixes whose rank is unique are discarded, with those that need them:
+no longer prefix of theirs stands twice. What is left at the end are all repeated windows of LEAST words, in order
+of their ranks (`suffixes`).
+
+Two things keep this small. Before the first sort, places whose GRAM words stand nowhere else are discarded by an exchange of packed
+hashes: a block of some documents sends each distinct hash once, so that a hash of very many places is no hot key. And the
+sorts are by (pair, doc_id, place), so that equal pairs may lie in several parts of the order; the ranks of
+the parts are put together by the first and last pair of each part, a few numbers that the driver sees. Sorted parts are read as a stream.
+
+`repeats` are the words covered by repeated windows, within one document too; `across`: whether some of them are shared with another document. Of
+the same windows the one of least doc_id and place stays, whole: `removable` is what only later ones cover.
+
+Words are those of textvec: case-folded, without punctuation; they are compared by hashes of 64 bits, grams of them by GRAM hashes of 56 bits or more, several of which
+cover each window. Rows without doc_id are skipped; null texts are empty; shorter documents have no passage. A doc_id on several rows is one document, of its
+distinct texts, sorted and joined. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,182 +26,322 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free_shuffles, materialise, texts
+from .common import discard, materialise, texts
 
-LEAST, GRAM, SPREAD = 50, 16, 16
-PAST = LEAST + SPREAD - 1
-#: Doublings; what is not past LEAST words by then is told apart by whole windows as well.
-ROUNDS = 4
+LEAST, GRAM = 50, 16
+#: Words of a block of documents (or of one longer document), entries of a piece that is passed on, and rows of a sorted part that are handled at a time.
+BLOCK, PIECE, ROWS = 2_000_000, 200_000, 500_000
+#: Bytes of text for each bucket of first hashes, and suffixes for each bucket of documents.
+BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 1_000_000
+KEY = 48
 
-PASSAGES = "doc_id long, repeats array<struct<begin:int,end:int>>, removable array<struct<begin:int,end:int>>, words int, repeated_words int"
+PASSAGES = "doc_id long, repeats array<struct<begin:int,end:int>>, removable array<struct<begin:int,end:int>>, repeated_words int, across boolean"
+_SENT = "bucket int, block long, kind int, hashes binary, places binary, docs binary, firsts binary"
+_PAIR = "a long, b long, doc long, place int"
+_RANKED = "bucket int, part int, ranks binary, docs binary, places binary, flags binary"
 
+#: Kinds of rows: grams that a block has once, grams that it has more often, places known to be repeated, and the block's documents.
+ONCE, OFTEN, KNOWN, HEAD = range(4)
+#: Flags of a suffix in a sorted part: first of its rank, alone in its rank, beside another document of its rank, first and last row of the part.
+FIRST, ALONE, BESIDE, TOP, BOTTOM = 1, 2, 4, 8, 16
 
-def _least(g: np.ndarray) -> np.ndarray:
-    """Minimum of each SPREAD successive values."""
-    n, width = len(g), 1
-    m = g
-    while width * 2 <= SPREAD:
-        m = np.minimum(m[:-width], m[width:]) if len(m) > width else m[:0]
-        width *= 2
-    return m[: max(0, n - SPREAD + 1)]
 
+def offsets(gram: int = GRAM) -> list[int]:
+    """Offsets of the rounds, from prefixes of `gram` words to LEAST."""
+    out, reach = [], gram
+    while reach < LEAST:
+        out.append(min(reach, LEAST - reach))
+        reach += out[-1]
+    return out
 
-def samples(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes; which windows of SPREAD grams lie in one row; the window minima; which grams are sampled."""
-    g = tv.grams(w.h, GRAM)
-    low = _least(g)
-    ok = tv.inside(w.first, GRAM + SPREAD - 1, len(low))
-    chosen = np.zeros(len(g), bool)
-    for d in range(SPREAD):
-        chosen[d : d + len(low)] |= ok & (g[d : d + len(low)] == low)
-    return g, ok, low, chosen
 
+def _thin(x: np.ndarray, width: int) -> bytes:
+    """Little-endian integers of `width` bytes."""
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rank, doc, at (place << 8 | distance to the next sample, 0 if none) of each sampled suffix."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        raw, off = tv.strings(batch.column(1))
-        for lo, hi in tv.slices(off):
-            w = tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            if not len(w.h):
-                continue
-            g, _, _, chosen = samples(w)
-            place = np.flatnonzero(chosen)
-            row = w.row[place]
-            ahead = np.zeros(len(place), np.int64)
-            if len(place) > 1:
-                ahead[:-1] = np.where(row[1:] == row[:-1], np.diff(place), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(tv.signed(g[place])), pa.array(ids[lo + row]), pa.array((place - w.first[row]) << 8 | ahead)], ["rank", "doc", "at"])
-
-
-def _shared(df: DataFrame) -> DataFrame:
-    """Rows whose rank stands in several documents, and the first of these as `least`."""
-    by = Window.partitionBy("rank")
-    return df.withColumn("least", F.min("doc").over(by)).withColumn("most", F.max("doc").over(by)).where("least < most").drop("most")
-
-
-def ranked(docs: DataFrame) -> DataFrame:
-    """doc, place, past, later (a document before shares the prefix), open (windows about this rank are to be told apart) of the suffixes that survive the first doubling."""
-    first = _shared(docs.mapInArrow(_first, "rank long, doc long, at long"))
-    # reach: words to the suffix that the next pair takes; span: words to the last sample of the prefix.
-    level = materialise(first.select("rank", "doc", F.shiftright("at", 8).alias("place"), F.col("at").bitwiseAND(255).alias("reach"), F.lit(0).cast("long").alias("span")))
-    free_shuffles(docs.sparkSession)
-    survived, past = None, []
-    by = Window.partitionBy("doc").orderBy("place")
-    for k in range(ROUNDS):
-        nxt = {c: F.lead(c, 1 << k).over(by) for c in ("rank", "place", "reach", "span")}
-        pair = level.select("rank", "doc", "place", "reach", "span", *[x.alias(f"n_{c}") for c, x in nxt.items()]).where("reach > 0 and n_place = place + reach")
-        pair = pair.select(F.xxhash64("rank", "n_rank", "reach").alias("rank"), "doc", "place", F.when(F.col("n_reach") > 0, F.col("reach") + F.col("n_reach")).otherwise(0).alias("reach"), (F.col("reach") + F.col("n_span")).alias("span"), F.col("span").alias("before"))
-        level = materialise(_shared(pair))
-        free_shuffles(docs.sparkSession)
-        if survived is None:
-            survived = level.select("rank", "doc", "place")
-        long = F.col("span") + GRAM >= PAST
-        past.append(level.where(long & (F.col("before") + GRAM < PAST)).select("doc", "place", (F.col("doc") > F.col("least")).alias("later")))
-        if level.where(~long).isEmpty():
-            break
-        level = level.drop("least", "before")
-    done = past[0]
-    for x in past[1:]:
-        done = done.unionByName(x)
-    state = survived.join(done, ["doc", "place"], "left").withColumn("past", F.col("later").isNotNull())
-    # All windows about a suffix, those that begin at most SPREAD - 1 words before it, lie behind past ones if no gap between these is too wide.
-    alike = Window.partitionBy("doc", "past").orderBy("place")
-    state = state.withColumn("gap", F.coalesce(F.col("place") - F.lag("place").over(alike), F.lit(SPREAD + 1)))
-    state = state.withColumn("edge", ~F.col("past") | (F.max("gap").over(alike.rangeBetween(1 - SPREAD, 0)) > SPREAD))
-    return state.select("doc", "place", "past", F.coalesce("later", F.lit(False)).alias("later"), F.max("edge").over(Window.partitionBy("rank")).alias("open"))
-
-
-def windows(w: tv.Words) -> np.ndarray:
-    """Hash of the LEAST words from each place."""
-    n = len(w.h) - LEAST + 1
-    if n <= 0:
-        return np.zeros(0, tv.U)
-    up, down = tv._tables(len(w.h) + 1)
-    total = np.zeros(len(w.h) + 1, tv.U)
-    np.cumsum(w.h * up[: len(w.h)], out=total[1:])
-    return tv.mix((total[LEAST:] - total[:-LEAST]) * down[:n])
-
-
-def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of True."""
-    edge = np.flatnonzero(np.diff(np.r_[False, mark, False]))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
-_WINDOWS = "rank long, doc long, low int, high int, removable boolean, words int"
+def _blocks(batches: Iterator[pa.RecordBatch], gram: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """doc ids, first word of each, gram hashes, and their places, of some documents put one after another."""
+    ids, firsts, hashes, places, size = [], [], [], [], 0
 
+    def packed():
+        return tuple(np.concatenate(x) for x in (ids, firsts, hashes, places))
 
-def _about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of starts of repeated windows (rank null), and single windows to be compared by rank."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        lists = batch.column(2).to_pylist()
+        docs = batch.column(0).to_numpy()
         raw, off = tv.strings(batch.column(1))
         for lo, hi in tv.slices(off):
             w = tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            g, ok, low, _ = samples(w)
-            h = windows(w)
-            fits = tv.inside(w.first, LEAST, len(h))
-            m = min(len(h), len(low))
-            sample = np.zeros(m, np.int64)
-            for d in range(SPREAD - 1, -1, -1):
-                sample = np.where(g[d : d + m] == low[:m], np.arange(m) + d, sample)
-            past, later, told = np.zeros((3, len(w.h) + 1), bool)
-            for r in range(lo, hi):
-                x = np.array(lists[r], np.int64)
-                base = w.first[r - lo]
-                for bit, mark in enumerate((past, later, told)):
-                    mark[base + (x[(x >> bit) & 1 == 1] >> 3)] = True
-            spread = lambda mark: np.r_[0, np.cumsum(mark)]
-
-            def reach(mark: np.ndarray, m: int = m) -> np.ndarray:
-                """Starts at most SPREAD - 1 after a mark."""
-                c = spread(mark)
-                i = np.arange(m)
-                return c[i + 1] > c[np.maximum(i - SPREAD + 1, 0)]
-
-            inner, over = reach(past) & fits[:m], reach(later) & fits[:m]
-            # A mark in the row before has no window that reaches over: its prefix lies in its own row.
-            row = w.row[:m]
-            check = fits[:m] & told[sample]
-            out: list[tuple] = []
-            for r in np.unique(row[inner | check]).tolist():
-                a, b = int(w.first[r]), min(int(w.first[r + 1]), m)
-                for mark, removable in ((inner[a:b], False), (over[a:b], True)):
-                    out += [(None, ids[lo + r], x, y - 1, removable, int(w.counts[r])) for x, y in _runs(mark)]
-            s = np.flatnonzero(check)
-            rank = [x[0] for x in out] + tv.signed(h[s]).tolist()
-            place = (s - w.first[row[s]]).tolist()
-            doc = [x[1] for x in out] + [ids[lo + r] for r in row[s].tolist()]
-            count = [x[5] for x in out] + w.counts[row[s]].tolist()
-            cols = [pa.array(rank, pa.int64()), pa.array(doc, pa.int64()), pa.array([x[2] for x in out] + place, pa.int32()), pa.array([x[3] for x in out] + place, pa.int32()), pa.array([x[4] for x in out] + [False] * len(s), pa.bool_()), pa.array(count, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["rank", "doc", "low", "high", "removable", "words"])
-
-
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def merged(spans: list[tuple[int, int]]) -> list[dict]:
-        out: list[dict] = []
-        for a, b in sorted(spans):
-            if out and a <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], b + LEAST)
+            g = tv.grams(w.h, gram)
+            at = np.flatnonzero(tv.inside(w.first, gram, len(g)))
+            ids.append(docs[lo:hi])
+            firsts.append(w.first[:-1] + size)
+            hashes.append(g[at])
+            places.append(at + size)
+            size += len(w.h)
+            if size >= most:
+                yield packed()
+                ids, firsts, hashes, places, size = [], [], [], [], 0
+    if ids:
+        yield packed()
+
+
+def _send(bits: int, gram: int):
+    most = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, firsts, g, place in _blocks(batches, gram, most):
+            if not len(g):
+                continue
+            # The block's name follows its contents, so that a task that runs again gives the same.
+            block = int(tv.signed(tv.mix(g.sum(keepdims=True) + tv.mix(ids.astype(tv.U)).sum()))[0])
+            g = g >> tv.U(max(0, 64 - KEY - bits))
+            key = 64 - bits if bits > 64 - KEY else KEY
+            order = np.argsort(g, kind="stable")
+            g, place = g[order], place[order]
+            new = np.r_[True, g[1:] != g[:-1]]
+            alone = new & np.r_[new[1:], True]
+            out: list[tuple] = [(block % (1 << bits), HEAD, b"", b"", ids.astype("<i8").tobytes(), firsts.astype("<i8").tobytes())]
+            for kind, some in ((ONCE, alone), (OFTEN, new & ~alone)):
+                h, p = g[some], place[some]
+                bucket = (h >> tv.U(key)).astype(np.int64)
+                edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+                rest = h & tv.U((1 << key) - 1)
+                for k in np.flatnonzero(np.diff(edge)).tolist():
+                    a, b = edge[k], edge[k + 1]
+                    out.append((k, kind, _thin(rest[a:b], 6), _thin(p[a:b], 4) if kind == ONCE else b"", b"", b""))
+            h, p = g[~alone], place[~alone]
+            for k, a in enumerate(range(0, len(h), PIECE)):
+                out.append(((block + k) % (1 << bits), KNOWN, h[a : a + PIECE].tobytes(), _thin(p[a : a + PIECE], 4), b"", b""))
+            cols = list(zip(*out, strict=True))
+            binary = [pa.array(c, pa.binary()) for c in cols[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array(cols[1], pa.int32()), *binary], ["bucket", "block", "kind", "hashes", "places", "docs", "firsts"])
+
+    return run
+
+
+def _hold(bits: int):
+    key = 64 - bits if bits > 64 - KEY else KEY
+
+    def held(group: pa.Table) -> pa.Table:
+        """What blocks have of this bucket's grams that stand more than once; other kinds of rows as they are."""
+        rows = group.to_pylist()
+        kept = [(r["block"], r["kind"], r["hashes"], r["places"], r["docs"], r["firsts"]) for r in rows if r["kind"] in (KNOWN, HEAD)]
+        sent = [r for r in rows if r["kind"] in (ONCE, OFTEN)]
+        if sent:
+            parts = [_wide(r["hashes"], 6) for r in sent]
+            g = np.concatenate(parts)
+            order = np.argsort(g, kind="stable")
+            s = g[order]
+            same = np.r_[False, s[1:] == s[:-1]]
+            twice = np.zeros(len(g), bool)
+            twice[order] = same | np.r_[same[1:], False]
+            base = tv.U(sent[0]["bucket"]) << tv.U(key)
+            at = 0
+            for r, h in zip(sent, parts, strict=True):
+                some = twice[at : at + len(h)]
+                at += len(h)
+                if r["kind"] == ONCE and some.any():
+                    kept.append((r["block"], KNOWN, (h[some] | base).tobytes(), _thin(_wide(r["places"], 4)[some], 4), b"", b""))
+        cols = list(zip(*kept, strict=True)) if kept else [[]] * 6
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "kind", "hashes", "places", "docs", "firsts"), cols, kinds, strict=True)})
+
+    return held
+
+
+def _pairs(doc: np.ndarray, place: np.ndarray, rank: np.ndarray, offset: int) -> pa.Table:
+    """Suffixes, in order of doc and place, with the rank of the one at the offset, where that is there."""
+    n = len(doc)
+    first = np.r_[True, doc[1:] != doc[:-1]] if n else np.zeros(0, bool)
+    # Documents set apart by more than any place, in one line.
+    line = (np.cumsum(first) - 1) * (int(place.max()) + LEAST + 1 if n else 1) + place
+    to = np.minimum(np.searchsorted(line, line + offset), max(0, n - 1))
+    ok = line[to] == line + offset if n else np.zeros(0, bool)
+    return pa.table({"a": pa.array(tv.signed(rank[ok].astype(np.int64))), "b": pa.array(tv.signed(rank[to][ok].astype(np.int64))), "doc": pa.array(doc[ok]), "place": pa.array(place[ok].astype(np.int32))})
+
+
+def _first_pairs(offset: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The first pairs of a block."""
+        ids = firsts = None
+        g, p = [np.zeros(0, tv.U)], [np.zeros(0, tv.U)]
+        for kind, h, x, d, f in zip(*[group.column(c).to_pylist() for c in ("kind", "hashes", "places", "docs", "firsts")], strict=True):
+            if kind == HEAD:
+                ids, firsts = np.frombuffer(d, "<i8"), np.frombuffer(f, "<i8")
             else:
-                out.append({"begin": a, "end": b + LEAST})
-        return out
+                g.append(np.frombuffer(h, tv.U))
+                p.append(_wide(x, 4))
+        g, p = np.concatenate(g), np.concatenate(p).astype(np.int64)
+        order = np.argsort(p)
+        g, p = g[order], p[order]
+        row = np.searchsorted(firsts, p, side="right") - 1
+        return _pairs(ids[row].astype(np.int64), p - firsts[row], tv.signed(g), offset)
+
+    return run
+
 
-    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+def _joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The rows of a sorted part, so many at a time."""
+    held, n = [], 0
     for batch in batches:
-        every, gone = [], []
-        for spans in batch.column(1).to_pylist():
-            every.append(merged([(x["low"], x["high"]) for x in spans]))
-            gone.append(merged([(x["low"], x["high"]) for x in spans if x["removable"]]))
-        total = [sum(x["end"] - x["begin"] for x in spans) for spans in every]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, span), pa.array(gone, span), batch.column(2), pa.array(total, pa.int32())], ["doc_id", "repeats", "removable", "words", "repeated_words"])
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4)]
+
+
+def _rerank(buckets: int):
+    most = ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranks within the part of what stands more than once or at its ends, packed by bucket of documents; and its first and last pair, for bucket -1."""
+        part, groups = TaskContext.get().partitionId(), 0
+        rest, was_new, was_beside, top = None, True, False, None
+
+        def emit(rank, doc, place, flag):
+            bucket = (tv.mix(doc.astype(tv.U)) % tv.U(buckets)).astype(np.int64)
+            order = np.lexsort((place, doc, bucket))
+            rank, doc, place, flag, bucket = (x[order] for x in (rank, doc, place, flag, bucket))
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+            cols = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (rank.astype("<i4"), doc.astype("<i8"), place.astype("<i4"), flag.astype(np.uint8))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array([part] * len(spans), pa.int32()), *cols], ["bucket", "part", "ranks", "docs", "places", "flags"])
+
+        def settle(rows, last):
+            nonlocal groups, rest, was_new, was_beside, top
+            a, b, doc, place = rows
+            begins = top is None
+            if begins:
+                top = (int(a[0]), int(b[0]), int(doc[0]))
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            new = np.r_[was_new, ~same]
+            beside = np.r_[was_beside, same & (doc[1:] != doc[:-1])]
+            rank = groups + np.cumsum(new) - 1
+            n = len(a) if last else len(a) - 1
+            ends = np.r_[new[1:], True]
+            alone = (new & ends)[:n]
+            flag = new[:n] * FIRST + alone * ALONE + (beside | np.r_[beside[1:], False])[:n] * BESIDE
+            if begins and n:
+                flag[0] |= TOP
+            if last:
+                flag[-1] |= BOTTOM
+            keep = ~alone | (rank[:n] == 0) | ((flag & BOTTOM) > 0)
+            # The row that is carried on is counted when it is settled.
+            groups = int(rank[-1]) + (1 if last else 0 if new[-1] else 1)
+            rest, was_new, was_beside = [x[n:] for x in rows], bool(new[-1]), bool(beside[-1])
+            if begins and not n:
+                top = None
+            if last:
+                bottom = (int(a[-1]), int(b[-1]), int(doc[-1]))
+            out = emit(rank[:n][keep], doc[:n][keep], place[:n][keep], flag[keep]) if keep.any() else None
+            return out, bottom if last else None
+
+        for rows in _joined(batches, most):
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            out, _ = settle(rows, False)
+            if out is not None:
+                yield out
+        if rest is not None:
+            out, bottom = settle(rest, True)
+            if out is not None:
+                yield out
+            ends = np.array([groups, *top, *bottom], "<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([ends], pa.binary()), *[pa.array([b""], pa.binary())] * 3], ["bucket", "part", "ranks", "docs", "places", "flags"])
+
+    return run
+
+
+class Seams:
+    """How the sorted parts hang together: the ranks before each, and whether its first and last rank go on in its neighbours."""
+
+    def __init__(self, rows: list) -> None:
+        rows = sorted((r.part, np.frombuffer(bytes(r.ranks), "<i8").tolist()) for r in rows)
+        n = rows[-1][0] + 1 if rows else 1
+        self.before = np.zeros(n, np.int64)
+        self.goes_on = np.zeros((2, n), bool)
+        self.doc = np.zeros((2, n), np.int64)
+        self.groups = np.zeros(n, np.int64)
+        for (i, x), (j, y) in zip(rows, rows[1:], strict=False):
+            same = x[4:6] == y[1:3]
+            self.before[j] = self.before[i] + x[0] - same
+            self.goes_on[1, i] = self.goes_on[0, j] = same
+            self.doc[1, i], self.doc[0, j] = y[3], x[6]
+        for i, x in rows:
+            self.groups[i] = x[0]
+
+
+def _gathered(group: pa.Table, seams: Seams) -> tuple[np.ndarray, ...]:
+    """doc, place, rank, first, beside of a bucket's suffixes, in order of doc and place, but for those that are alone in their rank."""
+    parts = []
+    for part, r, d, p, f in zip(*[group.column(c).to_pylist() for c in ("part", "ranks", "docs", "places", "flags")], strict=True):
+        rank, doc, place, flag = np.frombuffer(r, "<i4").astype(np.int64), np.frombuffer(d, "<i8"), np.frombuffer(p, "<i4"), np.frombuffer(f, np.uint8)
+        above = (rank == 0) & seams.goes_on[0, part]
+        below = (rank == seams.groups[part] - 1) & seams.goes_on[1, part]
+        ok = (flag & ALONE == 0) | above | below
+        first = (flag & FIRST > 0) & ~above
+        beside = (flag & BESIDE > 0) | (above & (flag & TOP > 0) & (doc != seams.doc[0, part])) | (below & (flag & BOTTOM > 0) & (doc != seams.doc[1, part]))
+        parts.append([x[ok] for x in (doc, place, rank + seams.before[part], first, beside)])
+    doc, place, rank, first, beside = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, doc))
+    return doc[order], place[order], rank[order], first[order], beside[order]
+
+
+def _next_pairs(seams: Seams, offset: int):
+    def run(group: pa.Table) -> pa.Table:
+        doc, place, rank, _, _ = _gathered(group, seams)
+        return _pairs(doc, place, rank, offset)
+
+    return run
+
+
+def _cover(place: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words windows that begin at the places cover."""
+    edge = np.zeros(n + 1, np.int64)
+    edge[place] += 1
+    edge[place + LEAST] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _runs(mark: np.ndarray, base: int) -> list[dict]:
+    """Stretches of True."""
+    edge = np.flatnonzero(np.diff(np.r_[False, mark, False])) + base
+    return [{"begin": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
+def _spans(seams: Seams):
+    def run(group: pa.Table) -> pa.Table:
+        doc, place, _, first, beside = _gathered(group, seams)
+        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, np.int64)
+        out = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            base = int(place[a])
+            p, f = place[a:b] - base, first[a:b]
+            n = int(p[-1]) + LEAST
+            every, stays = _cover(p, n), _cover(p[f], n)
+            out.append((int(doc[a]), _runs(every, base), _runs(every & ~stays, base), int(every.sum()), bool(beside[a:b].any())))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        kinds = (pa.int64(), span, span, pa.int32(), pa.bool_())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "repeats", "removable", "repeated_words", "across"), cols, kinds, strict=True)})
+
+    return run
 
 
 def one_row(docs: DataFrame) -> DataFrame:
@@ -210,16 +352,49 @@ def one_row(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("text"))
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """PASSAGES: of each document that has one, its repeated passages as word ranges, those that a document before holds too, its words, and how many of them are repeated."""
+def first_pairs(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """a, b, doc, place: the hashes of the first words of each suffix and of that at the first offset, where both stand more than once."""
     source = one_row(docs)
-    bits = F.col("past").cast("long") + F.shiftleft(F.col("later").cast("long"), 1) + F.shiftleft(F.col("open").cast("long"), 2)
-    lists = materialise(ranked(source).groupBy("doc").agg(F.collect_list(F.shiftleft("place", 3) + bits).alias("marks")))
-    joined = source.join(lists.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "marks")
-    found = materialise(joined.mapInArrow(_about, _WINDOWS))
-    free_shuffles(docs.sparkSession)
-    ends = _shared(found.where("rank is not null").drop("removable")).withColumn("removable", F.col("doc") > F.col("least"))
-    cols = ["doc", "low", "high", "removable", "words"]
-    spans = found.where("rank is null").select(*cols).unionByName(ends.select(*cols))
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high", "removable")).alias("spans"), F.max("words").alias("words"))
-    return by_doc.select("doc", "spans", "words").mapInArrow(_union, PASSAGES)
+    size = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bits = max(1, (int(size) // BUCKET_BYTES).bit_length())
+    sent = source.mapInArrow(_send(bits, gram), _SENT)
+    held = materialise(sent.groupBy("bucket").applyInArrow(_hold(bits), _SENT.removeprefix("bucket int, ")))
+    pairs = materialise(held.groupBy("block").applyInArrow(_first_pairs(offsets(gram)[0]), _PAIR))
+    discard(held)
+    return pairs
+
+
+def reranked(pairs: DataFrame) -> tuple[DataFrame, Seams]:
+    """A round's sort: suffixes packed by part of the order and bucket of documents, and how the parts hang together. pairs, a materialised table, is dropped."""
+    buckets = max(1, -(-pairs.count() // BUCKET_ROWS))
+    order = ["a", "b", "doc", "place"]
+    ranked = materialise(pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rerank(buckets), _RANKED))
+    discard(pairs)
+    return ranked, Seams(ranked.where("bucket = -1").select("part", "ranks").collect())
+
+
+def doubled(docs: DataFrame, gram: int = GRAM) -> tuple[DataFrame, Seams]:
+    """All rounds: the repeated windows, as packed by the last."""
+    ranked, seams = reranked(first_pairs(docs, gram))
+    for offset in offsets(gram)[1:]:
+        pairs = materialise(ranked.where("bucket >= 0").groupBy("bucket").applyInArrow(_next_pairs(seams, offset), _PAIR))
+        discard(ranked)
+        ranked, seams = reranked(pairs)
+    return ranked.where("bucket >= 0"), seams
+
+
+def suffixes(docs: DataFrame) -> DataFrame:
+    """doc_id, place, rank of the suffixes whose first LEAST words stand more than once: equal ranks for equal words, in one order."""
+    ranked, seams = doubled(docs)
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, place, rank, _, _ = _gathered(group, seams)
+        return pa.table({"doc_id": pa.array(doc), "place": pa.array(place), "rank": pa.array(rank)})
+
+    return ranked.groupBy("bucket").applyInArrow(run, "doc_id long, place int, rank long")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """PASSAGES: of each document that has one, its repeated passages as word ranges, those of which a copy stays elsewhere, how many of its words are repeated, and whether another document has some."""
+    ranked, seams = doubled(docs)
+    return ranked.groupBy("bucket").applyInArrow(_spans(seams), PASSAGES)
