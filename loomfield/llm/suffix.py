@@ -35,9 +35,9 @@ from .common import discard, materialise, texts
 
 LEAST, GRAM = 50, 16
 #: Words of a block of documents (or of one longer document), entries of a piece that is passed on, and rows of a sorted part that are handled at a time.
-BLOCK, PIECE, ROWS = 2_000_000, 200_000, 500_000
+BLOCK, PIECE, ROWS = 600_000, 100_000, 200_000
 #: Bytes of text for each bucket of first hashes, and suffixes for each bucket of documents.
-BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 1_000_000
+BUCKET_BYTES, BUCKET_ROWS = 2 << 20, 400_000
 KEY = 48
 
 PASSAGES = "doc_id long, repeats array<struct<begin:int,end:int>>, removable array<struct<begin:int,end:int>>, repeated_words int, across boolean"
