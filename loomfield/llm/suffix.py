@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import discard, materialise, texts
 
-LEAST, GRAM = 50, 16
+LEAST, GRAM = 50, 8
 #: Words of a block of documents (or of one longer document), entries of a piece that is passed on, and rows of a sorted part that are handled at a time.
 BLOCK, PIECE, ROWS = 600_000, 100_000, 200_000
 #: Bytes of text for each bucket of first hashes, and suffixes for each bucket of documents.
