@@ -68,3 +68,38 @@ def test_edges(spark, model):
     long = spark.createDataFrame([(1, 0, "user", "x " * 30_000, "", "", ""), (2, 0, "user", "x " * 30_000, "", "", "")], SCHEMA)
     (row,) = chat.trees(long, model).collect()
     assert sorted(row.conversations) == [1, 2]
+
+
+def whole(out):
+    """Conversations by their tokens, as the nodes' intervals give them back."""
+    trees, seen = {}, {}
+    for n in out:
+        trees.setdefault(n.tree, []).append(n)
+    for tree in trees.values():
+        main = sorted((n for n in tree if n.part == 0), key=lambda n: n.start)
+        packed = [i for n in main for i in n.ids]
+        before = {n.node: [packed[i] for a in n.attends for i in range(a.start, a.end)] + list(n.ids) for n in main}
+        assert all(len(before[n.node]) == n.position + n.n for n in main) and [n.start for n in main] == [sum(m.n for m in main[:k]) for k in range(len(main))]
+        for n in tree:
+            for c in n.conversations:
+                assert c not in seen
+                seen[c] = before[n.node]
+            assert all(a.end < b.start for a, b in zip(n.attends, n.attends[1:]))
+    return seen
+
+
+def test_long_paths_hot_turns_and_many_ends(spark, model, monkeypatch):
+    monkeypatch.setattr(chat, "ENDS", 4)
+    r = random.Random(8)
+    rows = []
+    for c in range(120):  # a third and more share the first turn, many are alike
+        path = ["hello"] + [f"a{r.randint(0, 1)}" for _ in range(r.randint(0, 3))] if c % 3 else [f"own {c % 7}"]
+        rows += [(c, k, "user" if k % 2 == 0 else "assistant", t, "", "", "") for k, t in enumerate(path)]
+    for c in range(40):  # each leaves the path of the one before at another place, up and down
+        rows += [(200 + c, k, "user", f"s{k}" if k < 40 - c else f"t{c} {k}", "", "", "") for k in range(60)]
+    for c in range(40):
+        rows += [(300 + c, k, "user", f"u{k}" if k < 5 + c else f"v{c} {k}", "", "", "") for k in range(60)]
+    flat, nodes = brute(rows, model)
+    out = chat.trees(spark.createDataFrame(rows, SCHEMA).repartition(5), model).collect()
+    assert sum(n.part == 0 for n in out) == len(nodes) and any(n.part for n in out)
+    assert whole(out) == flat
