@@ -5,13 +5,15 @@
    tasks. Scaled by idf, the sketch's singular vectors are those of a randomised SVD of the TF-IDF
    matrix; the sketch has a fixed size, whatever the corpus. What is folded in is whitened, and weighted by idf once more.
 2. Retrieval: a window of words is folded into the latent space by summing its words' vectors.
-   Windows begin every BLOCK words and are as long as an item and a block or more, by classes of length. Each
-   window of each document is held against every item by cosine; those of at least COSINE are candidates.
-3. Proof: of candidates of which enough words are in the item at all, the longest common subsequence of the item's words with the window and a block about it. An
+   Windows begin every BLOCK words and are as few blocks long as hold an item of that length wherever it begins. Each
+   window of each document is held against every item of its length by cosine; those of at least COSINE are candidates.
+   Only windows that have enough of an item's words at all, in any order, are held against it.
+3. Proof: of candidates, the longest common subsequence of the item's words with the window and a block about it. An
    item is present from a share of VERBATIM on; from PARAPHRASE on if its answer, the last ANSWER
    words, is there too, but for one word.
 
-Items are collected at most ITEMS_AT_ONCE at a time, further ones in further passes. Nulls and edges: rows without
+COSINE is set by measured recall, at least 0.9 of what all windows without it would find down to PARAPHRASE. The sketch takes one pass and no power
+iteration. Items are collected at most ITEMS_AT_ONCE at a time, further ones in further passes. Nulls and edges: rows without
 doc_id or item_id are skipped; null and empty texts match nothing, in items as in documents; documents shorter
 than a window are one window; repeated documents or items give the same findings, once each pair of ids;
 an empty table on either side gives no finding. Extra columns are ignored, in `clean` passed through.
@@ -20,7 +22,7 @@ an empty table on either side gives no finding. Extra columns are ignored, in `c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,15 @@ from .common import release, texts
 
 TERMS, SKETCH, RANK = 8192, 256, 64
 PASSAGE, BLOCK = 32, 8
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.6, 0.5, 6
-ITEMS_AT_ONCE = 1_000
-#: Window lengths in blocks.
-CLASSES = (3, 5, 7, 9, 12, 16, 24, 32, 64, 128)
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.2, 0.6, 0.4, 6
+#: Below the share HALF, of the words before the answer so many must be there too: the answer of a short item is near it in itself.
+HALF, REST = 0.5, 0.3
+#: Items that travel with the tasks of one pass, some 600 bytes each.
+ITEMS_AT_ONCE = 200_000
+#: Window lengths in blocks up to which each is a class of its own; beyond, they grow by an eighth.
+EXACT = 16
+#: Items of a class that are bounded at a time, and tables of such items that a task keeps.
+TOGETHER, KEPT = 256, 64
 #: First step of the sum over tasks, so that no group holds the sketch of very many of them.
 FAN_IN = 32
 
@@ -98,8 +105,11 @@ class Space:
 
     vectors: np.ndarray  # TERMS x RANK, float32
 
+    def term(self, h: np.ndarray) -> np.ndarray:
+        return (h & tv.U(TERMS - 1)).astype(np.int64)
+
     def embed(self, h: np.ndarray) -> np.ndarray:
-        return self.vectors[(h & tv.U(TERMS - 1)).astype(np.int64)]
+        return self.vectors[self.term(h)]
 
 
 def fit(docs: DataFrame, rank: int = RANK) -> Space:
@@ -131,9 +141,19 @@ class Items:
     classes: dict[int, np.ndarray]
     keys: np.ndarray  # sorted (item, word) keys
     bits: np.ndarray  # positions of that word in that item, for items of up to 64 words
-    vocabulary: np.ndarray  # sorted words of all items
-    holds: np.ndarray  # items x (vocabulary + 1): whether the item has the word
-    likely: np.ndarray  # by the upper 20 bits of a word: whether it may be in the vocabulary
+    made: dict[tuple[int, int], Bounds] = field(default_factory=dict)
+
+    def bounds(self, size: int, at: int) -> Bounds:
+        """Tables of some items of a class; kept for the first few."""
+        found = self.made.get((size, at))
+        if found is None:
+            found = Bounds.of([self.words[k] for k in self.classes[size][at : at + TOGETHER]])
+            if len(self.made) < KEPT:
+                self.made[size, at] = found
+        return found
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": {}}
 
     @staticmethod
     def of(rows: list[tuple[int, str]], space: Space) -> Items:
@@ -145,8 +165,7 @@ class Items:
             h = tv.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).h if raw else np.zeros(0, tv.U)
             if not len(h):
                 continue
-            need = -(-(len(h) + BLOCK - 1) // BLOCK)
-            size = next((c for c in CLASSES if c >= need), need)
+            size = length_class(-(-(len(h) + BLOCK - 1) // BLOCK))
             k = len(ids)
             classes.setdefault(size, []).append(k)
             ids.append(item)
@@ -157,13 +176,33 @@ class Items:
                 for i, key in enumerate(_key(h, np.full(len(h), k)).tolist()):
                     keys[key] = keys.get(key, 0) | 1 << i
         order = sorted(keys)
-        vocabulary = np.unique(np.concatenate(kept)) if kept else np.zeros(0, tv.U)
-        holds = np.zeros((len(ids), len(vocabulary) + 1), np.uint8)
-        for k, h in enumerate(kept):
-            holds[k, np.searchsorted(vocabulary, h) + 1] = 1
+        return Items(np.array(ids, np.int64), kept, np.array(vectors, np.float32).reshape(len(ids), -1), {c: np.array(x) for c, x in classes.items()}, np.array(order, tv.U), np.array([keys[x] for x in order], tv.U))
+
+
+@dataclass
+class Bounds:
+    """For some items, which words they have, and which of the answer's places a word fills: what a window must have of an item that is in it."""
+
+    vocabulary: np.ndarray  # sorted words of the items
+    likely: np.ndarray  # by the upper 20 bits of a word: whether it may be in the vocabulary
+    holds: np.ndarray  # (vocabulary + 1) x items
+    fills: np.ndarray  # (vocabulary + 1) x items: bits of the answer's places
+    verbatim: np.ndarray  # least words of each item
+    paraphrase: np.ndarray
+    answer: np.ndarray  # least places of the answer
+
+    @staticmethod
+    def of(words: list[np.ndarray]) -> Bounds:
+        vocabulary = np.unique(np.concatenate(words))
+        holds, fills = np.zeros((2, len(vocabulary) + 1, len(words)), np.uint8)
+        for k, h in enumerate(words):
+            holds[np.searchsorted(vocabulary, h) + 1, k] = 1
+            tail = h[-ANSWER:]
+            np.bitwise_or.at(fills, (np.searchsorted(vocabulary, tail) + 1, k), (1 << np.arange(len(tail))).astype(np.uint8))
         likely = np.zeros(1 << 20, bool)
         likely[(vocabulary >> tv.U(44)).astype(np.int64)] = True
-        return Items(np.array(ids, np.int64), kept, np.array(vectors, np.float32).reshape(len(ids), -1), {c: np.array(x) for c, x in classes.items()}, np.array(order, tv.U), np.array([keys[x] for x in order], tv.U), vocabulary, holds, likely)
+        n = np.array([len(h) for h in words])
+        return Bounds(vocabulary, likely, holds, fills, np.ceil(VERBATIM * n - 1e-9).astype(np.uint16), np.ceil(PARAPHRASE * n - 1e-9).astype(np.uint16), np.minimum(n, ANSWER) - 1)
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Place of each word in the vocabulary, from 1 on; 0 for others."""
@@ -173,18 +212,30 @@ class Items:
         out[some] = np.where(self.vocabulary[at] == h[some], at + 1, 0)
         return out
 
-    def shared(self, item: np.ndarray, number: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """How many of the words lo..hi each item has: no common subsequence is longer."""
-        out = np.zeros(len(item), np.int32)
-        flat, width = self.holds.ravel(), self.holds.shape[1]
-        for a in range(0, len(item), 65_536):
-            base, start, end = item[a : a + 65_536] * width, lo[a : a + 65_536], hi[a : a + 65_536]
-            total = np.zeros(len(base), np.int32)
-            for j in range(int((end - start).max())):
-                at = start + j
-                total += flat[base + number[np.minimum(at, end - 1)]] * (at < end)
-            out[a : a + 65_536] = total
-        return out
+    def may(self, number: np.ndarray, size: int) -> np.ndarray:
+        """Blocks (as rows of the numbers of their words) by items: whether the window of `size` blocks from each (fewer at the end) has enough of the item's words, in any order."""
+        n = len(number)
+        has, mask = np.zeros((2, n + size - 1, self.holds.shape[1]), np.uint8)
+        for j in range(BLOCK):
+            has[:n] += self.holds[number[:, j]]
+            mask[:n] |= self.fills[number[:, j]]
+        # Sums run over, differences of fewer than 2^16 words don't.
+        total = np.zeros((len(has) + 1, has.shape[1]), np.uint16 if size * BLOCK < 1 << 16 else np.uint32)
+        np.cumsum(has, axis=0, dtype=total.dtype, out=total[1:])
+        total = total[size:] - total[:-size]
+        width = 1
+        while width < size:
+            step = min(width, size - width)
+            mask, width = mask[:-step] | mask[step:], width + step
+        return (total >= self.verbatim) | ((total >= self.paraphrase) & (np.bitwise_count(mask) >= self.answer))
+
+
+def length_class(need: int) -> int:
+    """Blocks of the windows in which items are sought that need so many."""
+    size = EXACT
+    while size < need:
+        size += max(1, size // 8)
+    return need if need <= EXACT else size
 
 
 def _key(h: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -242,21 +293,30 @@ def search(items: Items, space: Space, w: tv.Words) -> tuple[np.ndarray, ...]:
     first_block = np.r_[0, np.cumsum(per_row)]
     place = np.arange(len(w.h)) - np.repeat(w.first[:-1], counts)
     starts = np.flatnonzero(place % BLOCK == 0)
+    # The words of each block, and a place after all words where it has fewer.
+    word = starts[:, None] + np.arange(BLOCK)
+    word[word >= np.r_[starts[1:], len(w.h)][:, None]] = len(w.h)
     block_sums = np.empty((len(starts), space.vectors.shape[1]), np.float32)
+    term = np.append(space.term(w.h), TERMS)[word]
+    known = np.concatenate([space.vectors, np.zeros((1, space.vectors.shape[1]), np.float32)])
     for lo in range(0, len(starts), 2048):
-        hi = min(len(starts), lo + 2048)
-        a, b = starts[lo], starts[hi] if hi < len(starts) else len(w.h)
-        block_sums[lo:hi] = np.add.reduceat(space.embed(w.h[a:b]), starts[lo:hi] - a, axis=0)
+        part = known[term[lo : lo + 2048, 0]]
+        for j in range(1, BLOCK):
+            part += known[term[lo : lo + 2048, j]]
+        block_sums[lo : lo + 2048] = part
     row_of = np.repeat(np.arange(len(counts)), per_row)
     last = first_block[row_of + 1]
     index = np.arange(len(starts))
-    number = items.number(w.h)
-    size_of = np.array([len(x) for x in items.words])
-    need = np.minimum(np.ceil(VERBATIM * size_of), np.ceil(PARAPHRASE * size_of)).astype(np.int32)
     out = []
-    sums, width = block_sums.copy(), 1
+    sums, width, total = block_sums.copy(), 1, None
     for size, members in sorted(items.classes.items()):
         # Sums of `size` blocks from each, running on into the next row; those that do are used nowhere but for a row's first, which is summed anew.
+        if size - width > 4:
+            if total is None:
+                total = np.zeros((len(block_sums) + 1, block_sums.shape[1]))
+                np.cumsum(block_sums, axis=0, dtype=np.float64, out=total[1:])
+            sums[: max(0, len(sums) - size + 1)] = total[size:] - total[: max(0, len(total) - size)]
+            width = size
         while width < size:
             if width < len(sums):
                 sums[:-width] += block_sums[width:]
@@ -265,30 +325,38 @@ def search(items: Items, space: Space, w: tv.Words) -> tuple[np.ndarray, ...]:
         short = short[per_row[short] > 0]
         use = index[(index + size <= last) | (index == first_block[row_of])]
         end = np.minimum(use + size, last[use])
-        of = items.vectors[members].T
         brief = np.isin(use, first_block[short], assume_unique=True) if len(short) else np.zeros(len(use), bool)
-        for lo in range(0, len(use), 8_192):
-            i, e = use[lo : lo + 8_192], end[lo : lo + 8_192]
-            v = sums[i]
-            for k in np.flatnonzero(brief[lo : lo + 8_192]):
-                v[k] = block_sums[i[k] : e[k]].sum(axis=0)
-            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            near = v @ of
-            r, c = np.nonzero(near >= COSINE * np.maximum(norm, 1e-12)[:, None])
-            if len(r):
-                out.append((i[r], e[r], members[c], near[r, c] / norm[r]))
+        for part in range(0, len(members), TOGETHER):
+            some = members[part : part + TOGETHER]
+            of, bounds = items.vectors[some].T, items.bounds(size, part)
+            number = np.append(bounds.number(w.h), 0)[word]
+            for lo in range(0, len(use), 4_096):
+                i, e = use[lo : lo + 4_096], end[lo : lo + 4_096]
+                a, b = i[0], min(len(starts), i[-1] + size)
+                may = bounds.may(number[a:b], size)[i - a]
+                r, c = np.nonzero(may)
+                if not len(r):
+                    continue
+                v = sums[i]
+                for k in np.flatnonzero(brief[lo : lo + 4_096]):
+                    v[k] = block_sums[i[k] : e[k]].sum(axis=0)
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)
+                near = np.einsum("ij,ji->i", v[r], of[:, c]) if len(r) < len(i) else (v @ of)[r, c]
+                near = near / norm[r]
+                ok = near >= COSINE
+                if ok.any():
+                    out.append((i[r[ok]], e[r[ok]], some[c[ok]], near[ok]))
     if not out:
         return none
     begin, end, item, cosine = (np.concatenate(x) for x in zip(*out, strict=True))
     row = row_of[begin]
     lo = np.maximum(starts[begin] - BLOCK, w.first[row])
     hi = np.minimum(np.where(end < len(starts), starts[np.minimum(end, len(starts) - 1)], len(w.h)) + BLOCK, w.first[row + 1])
-    may = items.shared(item, number, lo, hi) >= need[item]
-    row, item, cosine, lo, hi = row[may], item[may], cosine[may], lo[may], hi[may]
     total, answer = lcs(items, item, w.h, lo, hi)
     size = np.array([len(items.words[k]) for k in item])
     share, reply = total / size, answer / np.minimum(size, ANSWER)
-    ok = (share >= VERBATIM) | ((share >= PARAPHRASE) & (answer >= np.minimum(size, ANSWER) - 1))
+    rest = (total - answer) / np.maximum(1, size - ANSWER)
+    ok = (share >= VERBATIM) | ((share >= PARAPHRASE) & (answer >= np.minimum(size, ANSWER) - 1) & ((share >= HALF) | (rest >= REST)))
     return row[ok], item[ok], cosine[ok].astype(float), share[ok], reply[ok]
 
 
