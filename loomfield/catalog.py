@@ -11,7 +11,7 @@ from .functions import text, vectors
 from .operators import items as ops
 from .operators import keys, text_search, vector_search
 from .operators.ranking import Params, enrich, merge_neighbors
-from .plans.service import Engine, federate
+from .plans.service import Engine, binding_rows, federate, request, service
 from .schema import number
 from .sources.items import from_columns, group_runs
 
@@ -83,14 +83,27 @@ def items_main_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations(spark, sf_dir).select("id", ops.main_field()["value"].alias("main"))
 
 
-@_register("SELECT n_nationkey AS id, n_name AS identifier FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS n_nationkey, n_name FROM nation)")
+@_register("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS id, o_orderkey FROM orders")
 def items_dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number(_table(spark, sf_dir, "nation"), "n_nationkey").select("id", F.col("n_name").alias("identifier"))
+    return number(_table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("id", "o_orderkey")
 
 
-@_register("SELECT row_number() OVER (ORDER BY r_name) - 1 AS id, r_name AS identifier, r_regionkey::VARCHAR AS field FROM region")
+@_register("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id::VARCHAR AS identifier, md5(text) AS text, source FROM documents")
 def items_from_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_columns(_table(spark, sf_dir, "region"), "r_name", "r_regionkey").select("id", "identifier", F.col("fields")[0]["value"].alias("field"))
+    items = from_columns(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", order="doc_id")
+    return items.select("id", "identifier", F.md5(F.col("fields")[0]["value"]).alias("text"), F.col("fields")[1]["value"].alias("source"))
+
+
+@_register("SELECT DISTINCT p_partkey AS id, 'part:' || p_partkey AS identifier FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 50")
+def items_lookup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("id"))
+    return ops.by_id(_parts(spark, sf_dir, "p_name"), wanted).select("id", "identifier")
+
+
+@_register("SELECT conv_id AS id, count(*) FILTER (role = 'assistant')::INTEGER AS tagged, count(*)::INTEGER AS texts FROM conversations GROUP BY 1")
+def items_types_and_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda test: F.size(F.filter("fields", test))
+    return _conversations(spark, sf_dir).select("id", count(lambda f: ops.has_tag(f, "main")).alias("tagged"), count(lambda f: ops.has_type(f, "text")).alias("texts"))
 
 
 _RUNS = "WITH t AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events)"
@@ -154,7 +167,7 @@ def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- keyword and fuzzy search
 
 
-def _assigned(queries: list[str], join: str, weight: str, allow: str = "", least: str = "", k: int = 10, source: str = "SELECT p_partkey AS id, 0 AS f, p_name AS v FROM part") -> str:
+def _assigned(queries: list[str], join: str, weight: str, allow: str = "", least: str = "", k: int = 10, most: int | None = None, source: str = "SELECT p_partkey AS id, 0 AS f, p_name AS v FROM part") -> str:
     """SQL of an assignment search with queries of one or two words."""
     values = ", ".join(f"({i}, '{q}')" for i, q in enumerate(queries))
     return f"""WITH q(q_id, query) AS (VALUES {values}),
@@ -165,7 +178,8 @@ r AS (SELECT q_id, id, f, word, occ, len, n, max(CASE WHEN kwi = 0 THEN w END) A
 a AS (SELECT q_id, id, f, max(n) AS n, max(len) AS len, count(*) AS m, max(greatest(coalesce(w0, 0), coalesce(w1, 0))) AS a1 FROM r GROUP BY 1, 2, 3),
 p AS (SELECT x.q_id, x.id, x.f, max(x.w0 + y.w1) AS a2 FROM r x JOIN r y ON x.q_id = y.q_id AND x.id = y.id AND x.f = y.f AND (x.word, x.occ) <> (y.word, y.occ) GROUP BY 1, 2, 3),
 s AS (SELECT a.q_id, a.id, a.f, CAST(greatest(a1, coalesce(a2, 0)) - 0.5 * (n - least(n, m)) - 0.25 * greatest(0, len - least(n, m) - (n - least(n, m))) AS DOUBLE) AS score FROM a LEFT JOIN p USING (q_id, id, f)),
-b AS (SELECT q_id, id, score, f FROM s {least} QUALIFY row_number() OVER (PARTITION BY q_id, id ORDER BY score DESC, f) = 1)
+c AS (SELECT * FROM s {f"QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id, f DESC) <= {most}" if most else ""}),
+b AS (SELECT q_id, id, score, f FROM c {least} QUALIFY row_number() OVER (PARTITION BY q_id, id ORDER BY score DESC, f) = 1)
 SELECT q_id::BIGINT AS q_id, id, score, f::INTEGER AS field_idx, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id))::INTEGER AS rank FROM b QUALIFY rank <= {k}"""
 
 
@@ -180,13 +194,14 @@ def _near(queries: list[str], **more) -> str:
     return _assigned(queries, f"{_D} <= (length(k.kw) - 1) // 2", f"CASE {_D} WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 ELSE 0.25 END", **more)
 
 
+_CHEAP = "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY'"
 _SHAPE = ["q_id", "id", "score", "field_idx", "rank"]
 _ONE, _TWO, _NEAR1, _NEAR2 = ["wid", "blue", "ro", "gizmo"], ["blue wid", "red ro", "wid gear", "cold cold"], ["bold", "rod", "gizmos", "plate"], ["blue wigdet", "rod red", "smal ring"]
 
 
 def _search(spark: SparkSession, sf_dir: str, queries: list[str], params: Params, find=text_search.keyword, allow: str | None = None, columns: tuple[str, ...] = ("p_name",)) -> DataFrame:
     items = _parts(spark, sf_dir, *columns)
-    few = items.select("id").where(allow) if allow else None
+    few = _table(spark, sf_dir, "part").where(allow).select(F.col("p_partkey").alias("id")) if allow else None
     return find(text_search.build(items), _queries(spark, *queries), params, few).select(*_SHAPE)
 
 
@@ -195,9 +210,9 @@ def keyword_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, _ONE, Params(exact=True))
 
 
-@_register(_prefix(_ONE, allow="WHERE id % 2 = 0"))
+@_register(_prefix(_ONE, allow=f"WHERE id IN ({_CHEAP})"))
 def keyword_single_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, _ONE, Params(exact=True), allow="id % 2 = 0")
+    return _search(spark, sf_dir, _ONE, Params(exact=True), allow="p_type = 'ECONOMY'")
 
 
 @_register(_prefix(_TWO, least="WHERE score >= 1.0"))
@@ -220,6 +235,15 @@ def keyword_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, ["blue wid", "brand#1 ring", "standard"], Params(exact=True), columns=("p_name", "p_brand", "p_type"))
 
 
+_THREE = "SELECT p_partkey AS id, i.i AS f, replace([p_name, p_brand, p_type][i.i + 1], '/', ' ') AS v FROM part, range(3) i(i)"
+
+
+@_register(_prefix(["blue wid", "economy", "brand#1"], source=_THREE, most=30))
+def keyword_inexact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not exact: the best k * (fields of an item on average) fields are candidates, in order of score, item and last field."""
+    return _search(spark, sf_dir, ["blue wid", "economy", "brand#1"], Params(), columns=("p_name", "p_brand", "p_type"))
+
+
 @_register(_near(_NEAR1))
 def fuzzy_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, _NEAR1, Params(exact=True), text_search.fuzzy)
@@ -230,9 +254,9 @@ def fuzzy_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, _NEAR2, Params(exact=True), text_search.fuzzy)
 
 
-@_register(_near(_NEAR2, allow="WHERE id % 2 = 0", k=100))
+@_register(_near(_NEAR2, allow=f"WHERE id IN ({_CHEAP})", k=100))
 def fuzzy_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, _NEAR2, Params(k=100, exact=True), text_search.fuzzy, allow="id % 2 = 0")
+    return _search(spark, sf_dir, _NEAR2, Params(k=100, exact=True), text_search.fuzzy, allow="p_type = 'ECONOMY'")
 
 
 @_register(f"SELECT h.q_id, h.id, h.score, h.rank, 'part:' || h.id AS identifier, p.p_name AS field FROM ({_prefix(_TWO)}) h JOIN part p ON p.p_partkey = h.id")
@@ -274,10 +298,35 @@ def fulltext_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full_text(spark, sf_dir, _table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("id")))
 
 
+_SIGNED = ["released +license -version", '"the mit license"', '+"mit license" the', 'license -"mit license"', "-license the than", 'token +"=" password', "-the"]
+
+
+def _signed(queries: list[str], k: int = 10) -> str:
+    """SQL of full-text search with signs and phrases of up to three words."""
+    rows = [(q, cl, sign, words) for q, text in enumerate(queries) for cl, (sign, words) in enumerate(text_search.parse_clauses(text))]
+    values = ", ".join(f"({q}, {cl}, {sign}, {words!r}, {len(words)})" for q, cl, sign, words in rows)
+    return f"""WITH tok AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS x FROM documents))),
+dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS av FROM dl), df AS (SELECT w, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1),
+c(q_id, cl, sign, ws, size) AS (VALUES {values}),
+idf AS (SELECT q_id, cl, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS w FROM (SELECT q_id, cl, unnest(ws) AS w FROM c) u JOIN df USING (w), st GROUP BY 1, 2),
+next AS (SELECT doc_id, w, lead(w, 1) OVER t AS w2, lead(w, 2) OVER t AS w3 FROM tok WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT q_id, cl, sign, doc_id, count(*) AS tf FROM c JOIN next ON w = ws[1] AND (size < 2 OR w2 = ws[2]) AND (size < 3 OR w3 = ws[3]) GROUP BY ALL),
+s AS (SELECT q_id, doc_id, sum(CASE WHEN sign >= 0 THEN idf.w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) END) AS score, count(*) FILTER (sign = 1) AS have, min(sign) AS least FROM m JOIN idf USING (q_id, cl) JOIN dl USING (doc_id), st GROUP BY 1, 2)
+SELECT q_id::BIGINT AS q_id, doc_id AS id, round(score, 6) AS score FROM s JOIN (SELECT q_id, count(*) FILTER (sign = 1) AS needed FROM c GROUP BY 1) USING (q_id) WHERE have = needed AND least >= 0
+QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, doc_id) <= {k}"""
+
+
+@_register(_signed(_SIGNED))
+def fulltext_signs_and_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = text_search.build(_documents(spark, sf_dir), text.plain_tokens)
+    return text_search.full_text(index, _queries(spark, *_SIGNED), Params(exact=True, k=10)).select("q_id", "id", F.round("score", 6).alias("score"))
+
+
 # -- vectors
 
+#: Queries of the searches: every vector whose id is divisible by 20, against all.
 _VEC = "SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings"
-_QV = "SELECT vec_id AS q_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5"
+_QV = "SELECT vec_id AS q_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0"
 _SIGN = "list_transform({0}, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
 _SCORE = {
     "cosine-normalized": "list_inner_product(q, e)",
@@ -297,7 +346,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("q_id"), "embedding")
+    return _table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
 
 
 def _vector(metric: str, precision: str = "float32", params: Params = Params(exact=True), allow: str | None = None) -> Query:
@@ -329,17 +378,37 @@ def vec_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(vector_search.search(vector_search.build(_labeled(spark, sf_dir), "cosine"), _vector_queries(spark, sf_dir), Params(k=4, exact=True)))
 
 
-@_register(f"""SELECT q_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM (
-SELECT a.id AS q_id, b.id, max(list_cosine_similarity(a.e, b.e)) AS score FROM ({_LABELED}) a, ({_LABELED}) b WHERE a.id <> b.id AND a.id IN (1, 4) GROUP BY 1, 2) QUALIFY rank <= 5""")
+def _near_items(source: str, k: int, where: str = "") -> str:
+    return f"""SELECT q_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM (
+SELECT a.id AS q_id, b.id, max(list_cosine_similarity(a.e, b.e)) AS score FROM ({source}) a, ({source}) b WHERE a.id <> b.id {where} GROUP BY 1, 2) QUALIFY rank <= {k}"""
+
+
+@_register(_near_items(_LABELED, 5))
 def vec_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(vector_search.neighbors(vector_search.build(_labeled(spark, sf_dir), "cosine"), spark.createDataFrame([(1,), (4,)], "id long"), Params(k=5, exact=True)))
+    v = _labeled(spark, sf_dir)
+    return _hits(vector_search.neighbors(vector_search.build(v, "cosine"), v.select("id").distinct(), Params(k=5, exact=True)))
 
 
-@_register(f"""SELECT q_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM (
-SELECT a.id AS q_id, b.id, max(list_cosine_similarity(a.e, b.e)) AS score FROM ({_LABELED}) a, ({_LABELED}) b WHERE a.id <> b.id AND a.id IN (1, 4) AND b.id % 2 = 0 GROUP BY 1, 2) QUALIFY rank <= 5""")
+_LARGE = "SELECT label FROM embeddings GROUP BY label HAVING count(*) >= (SELECT count(*) / count(DISTINCT label) FROM embeddings)"
+
+
+@_register(_near_items(_LABELED, 5, f"AND b.id IN ({_LARGE})"))
 def vec_neighbors_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = spark.range(0, 10, 2).toDF("id")
-    return _hits(vector_search.neighbors(vector_search.build(_labeled(spark, sf_dir), "cosine"), spark.createDataFrame([(1,), (4,)], "id long"), Params(k=5, exact=True), even))
+    """Neighbours among the items that have as many vectors as the mean at least."""
+    v = _labeled(spark, sf_dir)
+    per = v.groupBy("id").agg(F.count("*").alias("n"))
+    large = per.join(F.broadcast(per.agg(F.avg("n").alias("mean"))), F.col("n") >= F.col("mean")).select("id")
+    return _hits(vector_search.neighbors(vector_search.build(v, "cosine"), v.select("id").distinct(), Params(k=5, exact=True), large))
+
+
+_UNEVEN = "SELECT floor(log2(vec_id + 1))::BIGINT AS id, embedding::DOUBLE[] AS e FROM embeddings"
+
+
+@_register(_near_items(_UNEVEN, 3))
+def vec_neighbors_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of 1, 2, 4, ... vectors: as many neighbours for each as there are."""
+    v = _table(spark, sf_dir, "embeddings").select(F.floor(F.log2(F.col("vec_id") + 1)).cast("long").alias("id"), F.col("vec_id").cast("int").alias("field_idx"), "embedding")
+    return _hits(vector_search.neighbors(vector_search.build(v, "cosine"), v.select("id").distinct(), Params(k=3)))
 
 
 _HAM = f"SELECT q_id, id, q, e, {_SCORE['hamming']} AS h FROM ({_QV}) a, ({_VEC}) b"
@@ -351,10 +420,10 @@ def vec_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector("hamming", "binary", Params(k=10, exact=True, rerank=4.0))(spark, sf_dir)
 
 
-@_register("SELECT label::BIGINT AS q_id, vec_id AS id, round(max(s), 6) AS score, (row_number() OVER (PARTITION BY label ORDER BY round(max(s), 9) DESC, vec_id))::INTEGER AS rank FROM (SELECT a.label, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 20) GROUP BY label, vec_id QUALIFY rank <= 10")
+@_register("SELECT label::BIGINT AS q_id, vec_id AS id, round(max(s), 6) AS score, (row_number() OVER (PARTITION BY label ORDER BY round(max(s), 9) DESC, vec_id))::INTEGER AS rank FROM (SELECT a.label, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) GROUP BY label, vec_id QUALIFY rank <= 10")
 def merge_neighbor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("label").cast("long").alias("q_id"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("label").cast("long").alias("q_id"), "embedding")
     index = vector_search.build(_vectors(spark, sf_dir), "cosine-normalized")
     return _hits(merge_neighbors(vector_search.scored(index, q, Params(k=200, exact=True)), 10))
 
@@ -366,13 +435,32 @@ def vec_truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: SQL can't say which cells are looked at; the tests measure the recall of this very setting."""
     inv = vector_search.invert(vector_search.build(_vectors(spark, sf_dir), "cosine-normalized"))
-    return _hits(vector_search.search_inverted(inv, _vector_queries(spark, sf_dir), Params(exact=True), probes=6))
+    return _hits(vector_search.search_inverted(inv, _vector_queries(spark, sf_dir)))
 
 
 QUERIES["vec_inverted"] = vec_inverted
-QUERIES["vec_int8_rerank"] = _vector("cosine", "int8", Params(k=10, exact=True, rerank=3.0))
-QUERIES["vec_bfloat16"] = _vector("cosine-normalized", "bfloat16")
+
+_INT8 = "list_transform({0}, lambda x: greatest(-127, least(127, round_even(x / sqrt(list_inner_product({0}, {0})) * 127, 0))))"
+
+
+@_register(f"""SELECT q_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM (
+SELECT q_id, id, list_cosine_similarity(q, e) AS score FROM (SELECT * FROM (SELECT vec_id AS q_id, embedding::DOUBLE[] AS q, {_INT8.format("embedding::DOUBLE[]")} AS q8 FROM embeddings WHERE vec_id % 20 = 0),
+(SELECT vec_id AS id, embedding::DOUBLE[] AS e, {_INT8.format("embedding::DOUBLE[]")} AS e8 FROM embeddings) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY round(list_cosine_similarity(q8, e8), 12) DESC, id) <= 30)) QUALIFY rank <= 10""")
+def vec_int8_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector("cosine", "int8", Params(k=10, exact=True, rerank=3.0))(spark, sf_dir)
+
+
+#: To the nearest of the numbers with 8 significant bits.
+_BF16 = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN x ELSE round_even(x / pow(2, floor(log2(abs(x))) - 7), 0) * pow(2, floor(log2(abs(x))) - 7) END)"
+
+
+@_register(f"""SELECT q_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM (
+SELECT q_id, id, list_inner_product(q, e) AS score FROM (SELECT vec_id AS q_id, {_BF16} AS q FROM embeddings WHERE vec_id % 20 = 0), (SELECT vec_id AS id, {_BF16} AS e FROM embeddings)) QUALIFY rank <= 10""")
+def vec_bfloat16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector("cosine-normalized", "bfloat16")(spark, sf_dir)
+
 
 # -- keys
 
@@ -409,34 +497,64 @@ def key_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.delete(_keys(spark, sf_dir), spark.createDataFrame([("rod",), ("wid",)], "key string"))[0]
 
 
-# -- federation
+@_register(f"SELECT input FROM (SELECT DISTINCT lower(p_type) AS input FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) WHERE input IN ({_KEYS})")
+def key_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    inputs = part.select(F.lower("p_type").alias("input")).unionByName(part.select(F.split("p_name", " ")[0].alias("input"))).distinct()
+    return keys.contains(_keys(spark, sf_dir), inputs)
+
+
+@_register(f"SELECT count(*) AS len, count(*) = 0 AS is_empty FROM ({_KEYS})")
+def key_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.size(_keys(spark, sf_dir))
+
 
-_FROM = "SELECT 'row' || p_partkey AS row, 'part:' || p_partkey AS filter FROM part WHERE p_partkey % 3 = 0"
+# -- requests and federation
 
+_SMALL = "SELECT p_partkey FROM part WHERE p_size <= 25"
 
-@_register(f"""SELECT 'row' || id AS row, rank, id, score, 'part:' || id AS identifier, p_name AS field FROM ({_prefix(["blue wid"], allow="WHERE id % 3 = 0")}) h JOIN part ON p_partkey = id""")
+
+@_register(f"SELECT h.q_id, h.id, h.score, h.rank, 'part:' || h.id AS identifier, p.p_name AS field FROM ({_prefix(_ONE, k=7)}) h JOIN part p ON p.p_partkey = h.id")
+def request_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _parts(spark, sf_dir, "p_name")
+    body = {"queries": [{"type": "value", "value": q} for q in _ONE], "k": 7, "exact": True}
+    return request(spark, Engine("parts", "keyword", text_search.build(items), items), body).select("q_id", "id", "score", "rank", "identifier", "field")
+
+
+@_register(f"SELECT h.rank AS r, h.score AS s, 'part:' || h.id AS i FROM ({_near(['blue wigdet'], k=5)}) h")
+def sparql_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _parts(spark, sf_dir, "p_name")
+    call = 'PREFIX s: <http://s/> SELECT * WHERE { s:config s:query "blue wigdet" ; . s:config s:rank ?r . s:config s:score ?s . s:config s:identifier ?i . s:config s:k 5 . s:config s:exact true }'
+    return service(spark, Engine("parts", "fuzzy", text_search.build(items), items), call.replace(" ; .", " ."), "http://s/")
+
+
+
+@_register(f"""SELECT 'row' || id AS row, rank, id, score, 'part:' || id AS identifier, p_name AS field FROM ({_prefix(["blue wid"], allow=f"WHERE id IN ({_SMALL})")}) h JOIN part ON p_partkey = id""")
 def qlproxy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _parts(spark, sf_dir, "p_name")
-    bindings = items.where("id % 3 = 0").select(F.concat(F.lit("row"), F.col("id").cast("string")).alias("row"), F.col("identifier").alias("filter"), F.col("id").alias("ordinal"))
+    few = _table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
+    bindings = items.join(few, "id", "left_semi").select(F.concat(F.lit("row"), F.col("id").cast("string")).alias("row"), F.col("identifier").alias("filter"), F.col("id").alias("ordinal"))
     return federate(Engine("parts", "keyword", text_search.build(items), items), bindings, Params(exact=True), "blue wid")
 
 
 @_register(f"""WITH h AS (SELECT q_id, id, score, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id) AS r FROM (
-SELECT a.id AS q_id, b.id, max(list_cosine_similarity(a.e, b.e)) AS score FROM ({_LABELED}) a, ({_LABELED}) b WHERE a.id <> b.id AND a.id IN (2, 7) GROUP BY 1, 2) QUALIFY r <= 3)
+SELECT a.id AS q_id, b.id, max(list_cosine_similarity(a.e, b.e)) AS score FROM ({_LABELED}) a, ({_LABELED}) b WHERE a.id <> b.id GROUP BY 1, 2) QUALIFY r <= 3)
 SELECT 'r' || q_id AS row, (row_number() OVER (ORDER BY q_id, r))::INTEGER AS rank, id, round(score, 6) AS score, 'label:' || id AS identifier FROM h""")
 def qlproxy_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _labeled(spark, sf_dir)
     items = v.groupBy("id").agg(F.count("*").alias("n")).select("id", F.concat(F.lit("label:"), F.col("id").cast("string")).alias("identifier"), F.expr("transform(sequence(1, cast(n as int)), i -> named_struct('type', 'text', 'value', cast(i as string), 'data', cast(null as binary), 'tags', cast(array() as array<string>)))").alias("fields"))
-    bindings = spark.createDataFrame([("r2", "label:2", 0), ("r7", "<label:7>", 1)], "row string, query string, ordinal long")
+    name = F.concat(F.lit("label:"), F.col("id").cast("string"))
+    bindings = items.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("row"), F.when(F.col("id") % 2 == 0, name).otherwise(F.concat(F.lit("<"), name, F.lit(">"))).alias("query"), F.col("id").alias("ordinal"))
     hits = federate(Engine("labels", "embedding-with-data", vector_search.build(v, "cosine"), items), bindings, Params(k=3, exact=True))
     return hits.select("row", "rank", "id", F.round("score", 6).alias("score"), "identifier")
 
 
-def sparql_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .plans.service import binding_rows
+_TERM = """'"{0}":{{"type":"literal","value":"' || {1} || '"{2}}}'"""
+_XSD = ',"datatype":"http://www.w3.org/2001/XMLSchema#{0}"'
+_BINDING = " || ',' || ".join([_TERM.format("rank", "h.rank", _XSD.format("integer")), _TERM.format("id", "h.id", _XSD.format("integer")), _TERM.format("score", "h.score", _XSD.format("float")), """'"identifier":{"type":"uri","value":"part:' || h.id || '"}'""", _TERM.format("field", "p.p_name", "")])
+
 
+@_register(f"SELECT h.q_id, h.rank, '{{' || {_BINDING} || '}}' AS binding FROM ({_prefix(_TWO)}) h JOIN part p ON p.p_partkey = h.id")
+def sparql_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _parts(spark, sf_dir, "p_name")
     return binding_rows(enrich(text_search.keyword(text_search.build(items), _queries(spark, *_TWO), Params(exact=True)), items))
-
-
-QUERIES["sparql_json_out"] = sparql_json_out

@@ -22,11 +22,18 @@ def contains(keys: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def contains_prefix(keys: DataFrame, inputs: DataFrame) -> DataFrame:
-    """The inputs that some key begins with."""
-    starts = keys.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("input")).distinct()
+    """The inputs that some key begins with: an equi-join on the keys' prefixes of the lengths that inputs have."""
+    lengths = sorted(r.n for r in inputs.where("input is not null").select(F.length("input").alias("n")).distinct().collect())
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("key"))
+    starts = keys.select(F.explode(F.transform(sizes, lambda n: F.substring("key", F.lit(1), n))).alias("input")).distinct()
     return inputs.join(starts, "input", "left_semi")
 
 
+def size(keys: DataFrame) -> DataFrame:
+    """One row: how many keys there are, and whether there are none."""
+    return keys.agg(F.count("key").alias("len")).withColumn("is_empty", F.col("len") == 0)
+
+
 def upsert(keys: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The keys with `new` put in, and the values that were replaced."""
     return keys.join(new, "key", "left_anti").unionByName(new), keys.join(new.select("key"), "key", "left_semi")

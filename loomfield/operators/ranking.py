@@ -48,12 +48,17 @@ def cut(scored: DataFrame, most: int) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
 
 
+def best_fields(scored: DataFrame) -> DataFrame:
+    """The best field of each item for each query, the first on ties."""
+    best = scored.groupBy("q_id", "id").agg(F.max(F.struct("score", (-F.col("field_idx")).alias("neg"))).alias("b"))
+    return best.select("q_id", "id", (-F.col("b.neg")).alias("field_idx"), F.col("b.score").alias("score"))
+
+
 def finish(scored: DataFrame, params: Params, check_min: bool = True) -> DataFrame:
     """Hits: the best field of each item (the first on ties), the k best items of each query."""
     if check_min and params.min_score is not None:
         scored = scored.where(F.col("score") >= params.min_score)
-    best = scored.groupBy("q_id", "id").agg(F.max(F.struct("score", (-F.col("field_idx")).alias("neg"))).alias("b")).select("q_id", "id", (-F.col("b.neg")).alias("field_idx"), F.col("b.score").alias("score"))
-    return top(best, params.k)
+    return top(best_fields(scored), params.k)
 
 
 def top(best: DataFrame, k: int) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ EXACT, PREFIX = 1.0, 0.75
 K1, B = 1.2, 0.75
 #: Queries are broadcast up to so many words of theirs; beyond, the joins are shuffled.
 BROADCAST_WORDS = 200_000
+#: Words of a batch of queries up to which they are a filter of the scan.
+PUSHED_WORDS = 1_000
+#: Distances of keywords for which the edit distance is bounded by a literal.
+BOUNDS = 32
 
 
 @dataclass
@@ -28,17 +34,29 @@ class TextIndex:
     vocabulary: DataFrame
     max_fields: int
     avg_fields: float
+    #: Fields that have a word, and their words on average; counted when they are asked for first.
+    docs: int | None = None
+    mean: float | None = None
+
+    def lengths(self) -> tuple[int, float]:
+        if self.docs is None:
+            r = self.postings.where("pos = 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
+            self.docs, self.mean = int(r.docs), float(r.mean or 1.0)
+        return self.docs, self.mean
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """Postings in order of words, so that a query's words prune files and row groups."""
         self.postings.repartitionByRange("word").sortWithinPartitions("word", "id").write.mode(mode).parquet(os.path.join(path, "postings"))
-        self.vocabulary.write.mode(mode).parquet(os.path.join(path, "vocabulary"))
-        self.postings.sparkSession.createDataFrame([(self.max_fields, float(self.avg_fields))], "max_fields int, avg_fields double").write.mode(mode).parquet(os.path.join(path, "figures"))
+        saved = self.postings.sparkSession.read.parquet(os.path.join(path, "postings"))
+        vocabulary(saved).repartitionByRange("word").sortWithinPartitions("word").write.mode(mode).parquet(os.path.join(path, "vocabulary"))
+        docs, mean = TextIndex(saved, saved, 0, 0).lengths()
+        row = (self.max_fields, float(self.avg_fields), docs, mean)
+        saved.sparkSession.createDataFrame([row], "max_fields int, avg_fields double, docs long, mean double").write.mode(mode).parquet(os.path.join(path, "figures"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
         f = spark.read.parquet(os.path.join(path, "figures")).first()
-        return TextIndex(spark.read.parquet(os.path.join(path, "postings")), spark.read.parquet(os.path.join(path, "vocabulary")), f.max_fields, f.avg_fields)
+        return TextIndex(spark.read.parquet(os.path.join(path, "postings")), spark.read.parquet(os.path.join(path, "vocabulary")), f.max_fields, f.avg_fields, f.docs, f.mean)
 
 
 def postings(items: DataFrame, words=text.tokens) -> DataFrame:
@@ -70,9 +88,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def prefix_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """kw, word, w for each word of the vocabulary that is a keyword or begins with one: an equi-join on exploded prefixes."""
-    starts = vocab.select("word", F.explode(text.prefixes(F.col("word"))).alias("kw"))
-    return starts.join(_small(words.select("kw").distinct()), "kw").select("kw", "word", F.when(F.col("kw") == F.col("word"), EXACT).otherwise(PREFIX).alias("w"))
+    """kw, word, w for each word of the vocabulary that is a keyword or begins with one: an equi-join on prefixes of the lengths that keywords have."""
+    kw = words.select("kw").distinct()
+    lengths = sorted(r.n for r in kw.select(F.length("kw").alias("n")).distinct().collect())
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("word"))
+    starts = vocab.select("word", F.explode(F.transform(sizes, lambda n: F.substring("word", F.lit(1), n))).alias("kw"))
+    return starts.join(_small(kw), "kw").select("kw", "word", F.when(F.col("kw") == F.col("word"), EXACT).otherwise(PREFIX).alias("w"))
 
 
 def max_distance(kw: Column) -> Column:
@@ -82,10 +103,14 @@ def max_distance(kw: Column) -> Column:
 def fuzzy_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """kw, word, w for each word within the keyword's distance: blocked by length, then the bounded distance."""
     kw = words.select("kw").distinct()
-    # The bound of levenshtein must be the same for all rows, so keywords go by their distance; lengths beyond it are blocked by the join.
     lengths = kw.select("kw", max_distance(F.col("kw")).alias("d")).select("kw", "d", F.explode(F.sequence(F.greatest(F.lit(1), F.length("kw") - F.col("d")), F.length("kw") + F.col("d"))).alias("len"))
     pairs = vocab.select("word", F.length("word").alias("len")).join(_small(lengths), "len")
-    near = pairs.withColumn("e", F.levenshtein("kw", "word")).where(F.col("e") <= F.col("d"))
+    # The bound of levenshtein is a literal, so each distance up to BOUNDS has a call of its own; beyond the bound it gives -1 after a few columns.
+    most = [r.d for r in kw.select(max_distance(F.col("kw")).alias("d")).distinct().orderBy("d").limit(BOUNDS).collect()]
+    e = F.levenshtein("kw", "word")
+    for d in most:
+        e = F.when(F.col("d") == d, F.levenshtein("kw", "word", d)).otherwise(e)
+    near = pairs.withColumn("e", e).where((F.col("e") >= 0) & (F.col("e") <= F.col("d")))
     return near.select("kw", "word", F.greatest(1 - 0.25 * F.col("e"), F.lit(0.25)).alias("w"))
 
 
@@ -110,45 +135,57 @@ def fuzzy(index: TextIndex, queries: DataFrame, params: Params = Params(), allow
     return _assigned(index, queries, fuzzy_matches, params, allow)
 
 
-def parse_terms(query: str) -> tuple[list[str], list[str], list[str], list[list[str]]]:
-    """Optional, required and excluded words and phrases of a query: a b, +a, -a, "a b"."""
-    import re
+def parse_clauses(query: str) -> list[tuple[int, list[str]]]:
+    """Clauses of a query as sign (1 required, 0 optional, -1 excluded) and words, of which a phrase has several: a, +a, -a, "a b", +"a b", -"a b"."""
+    out = []
+    for sign, quoted, phrase, word in re.findall(r'([+-]?)(?:("([^"]*)")|(\S+))', query):
+        found = re.findall("[a-z0-9]+", (phrase if quoted else word).lower())
+        if found:
+            value = {"+": 1, "-": -1}.get(sign, 0)
+            out += [(value, found)] if quoted else [(value, [w]) for w in found]
+    return out
+
+
+def _clauses(query: str) -> Column:
+    def parse(queries: pd.Series) -> pd.Series:
+        return queries.map(lambda q: [{"sign": s, "words": w} for s, w in parse_clauses(q or "")])
 
-    may, must, no, phrases = [], [], [], []
-    for sign, phrase, word in re.findall(r'([+-]?)(?:"([^"]*)"|(\S+))', query):
-        found = re.findall("[a-z0-9]+", (phrase or word).lower())
-        if phrase and len(found) > 1 and sign != "-":
-            phrases.append(found)
-            may += found
-        else:
-            (must if sign == "+" else no if sign == "-" else may).extend(found)
-    return may, must, no, phrases
+    parse.__annotations__ = {"queries": pd.Series, "return": pd.Series}
+    return F.pandas_udf(parse, "array<struct<sign:int,words:array<string>>>")(query)
 
 
 def full_text(index: TextIndex, queries: DataFrame, params: Params = Params(), allow: DataFrame | None = None) -> DataFrame:
-    """Hits by BM25 over fields; build the index with plain_tokens."""
-    post = index.postings
-    first = post.where("occurrence = 0").select("id", "field_idx", "length").distinct()
-    total = first.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    tf = post.groupBy("word", "id", "field_idx").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    parsed = F.udf(lambda q: dict(zip(("may", "must", "no", "phrases"), parse_terms(q or ""), strict=True)), "struct<may:array<string>,must:array<string>,no:array<string>,phrases:array<array<string>>>")
-    q = queries.select("q_id", parsed("query").alias("p"))
-    terms = q.select("q_id", F.explode(F.array_distinct(F.concat("p.may", "p.must"))).alias("word"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    known = _small(terms).join(index.vocabulary, "word").crossJoin(F.broadcast(total))
-    scored = allowed(tf, allow).join(_small(known), "word").groupBy("q_id", "id", "field_idx").agg(F.sum(weight * gain).alias("score"))
-    need = q.select("q_id", F.explode(F.array_distinct("p.must")).alias("word"))
-    counts = need.groupBy("q_id").agg(F.count("*").alias("needed"))
-    have = tf.join(_small(need), "word").groupBy("q_id", "id", "field_idx").agg(F.count("*").alias("have"))
-    scored = scored.join(F.broadcast(counts), "q_id", "left").join(have, ["q_id", "id", "field_idx"], "left").where("needed is null or have = needed").drop("needed", "have")
-    out = tf.join(_small(q.select("q_id", F.explode("p.no").alias("word"))), "word").select("q_id", "id", "field_idx").distinct()
-    scored = scored.join(out, ["q_id", "id", "field_idx"], "left_anti")
-    phrase = q.select("q_id", F.posexplode("p.phrases").alias("ph", "words")).select("q_id", "ph", F.size("words").alias("size"), F.posexplode("words").alias("k", "word"))
-    runs = post.join(_small(phrase), "word").groupBy("q_id", "ph", "size", "id", "field_idx", (F.col("pos") - F.col("k")).alias("at")).agg(F.countDistinct("k").alias("c")).where("c = size")
-    met = runs.select("q_id", "ph", "id", "field_idx").distinct().groupBy("q_id", "id", "field_idx").agg(F.count("*").alias("met"))
-    asked = phrase.groupBy("q_id").agg(F.countDistinct("ph").alias("asked"))
-    scored = scored.join(F.broadcast(asked), "q_id", "left").join(met, ["q_id", "id", "field_idx"], "left").where("asked is null or met = asked").drop("asked", "met")
+    """Hits by BM25 over fields; build the index with plain_tokens.
+
+    A clause is a word or a phrase; its matches in a field are counted once, scored by the summed weights of its words, and a field is a hit if it has
+    all required clauses, no excluded one, and one that isn't excluded. Postings are read for the words of the queries only.
+    """
+    clauses = queries.select("q_id", F.posexplode(_clauses("query")).alias("cl", "c")).select("q_id", "cl", "c.sign", "c.words").distinct()
+    # Words said twice count once.
+    clauses = clauses.groupBy("q_id", "sign", "words").agg(F.min("cl").alias("cl"))
+    asked = clauses.select("q_id", "cl", "sign", F.size("words").alias("size"), F.posexplode("words").alias("k", "word"))
+    words = [r.word for r in asked.select("word").distinct().limit(PUSHED_WORDS + 1).collect()]
+    if not words:
+        return queries.sparkSession.createDataFrame([], "q_id long, id long, field_idx int, score double, rank int")
+    if len(words) <= PUSHED_WORDS:
+        post = index.postings.where(F.col("word").isin(words))
+    else:
+        post = index.postings.join(_small(asked.select("word").distinct()), "word", "left_semi")
+    docs, mean = index.lengths()
+    df = post.where("occurrence = 0").groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "word").groupBy("q_id", "cl").agg(F.sum(idf).alias("weight"))
+    hits = allowed(post, allow).join(_small(asked), "word")
+    where = ["q_id", "cl", "sign", "id", "field_idx", "length"]
+    single = hits.where("size = 1").groupBy(*where).agg(F.count("*").alias("tf"))
+    if not asked.where("size > 1").isEmpty():
+        runs = hits.where("size > 1").groupBy(*where, "size", (F.col("pos") - F.col("k")).alias("at")).agg(F.count("*").alias("met")).where("met = size")
+        single = single.unionByName(runs.groupBy(*where).agg(F.count("*").alias("tf")))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    part = single.join(_small(weights), ["q_id", "cl"])
+    of = part.groupBy("q_id", "id", "field_idx").agg(F.sum(F.when(F.col("sign") >= 0, F.col("weight") * gain)).alias("score"), F.count(F.when(F.col("sign") == 1, 1)).alias("have"), F.min("sign").alias("least"))
+    needed = clauses.groupBy("q_id").agg(F.count(F.when(F.col("sign") == 1, 1)).alias("needed"))
+    scored = of.join(_small(needed), "q_id").where("have = needed and least >= 0").select("q_id", "id", "field_idx", "score")
     if not params.exact:
         scored = cut(scored, budget(params, index.max_fields, index.avg_fields))
     return finish(scored, params)

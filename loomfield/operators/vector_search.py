@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .ranking import Params, allowed, budget, finish, merge_neighbors
+from .ranking import Params, allowed, best_fields, budget, cut, finish, merge_neighbors
 
-#: Query vectors that travel with the tasks at a time; further ones take further passes.
+#: Query vectors that travel with the tasks; of more, as of the vectors, so many are a block.
 QUERIES_AT_ONCE = 2_048
 _SCORED = "q_id long, id long, field_idx int, score double"
 
@@ -27,6 +28,8 @@ class VectorIndex:
     precision: str
     max_fields: int
     avg_fields: float
+    #: Cells of the vectors, where they were made; inexact searches without an allow set look at some of these only.
+    inverted: Inverted | None = None
 
 
 def build(vectors: DataFrame, metric: str | None = None, precision: str = "float32") -> VectorIndex:
@@ -48,55 +51,97 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64)
 
 
-def _pass(ids: np.ndarray, q: np.ndarray, metric: str, precision: str, most: int, least: float | None, apart: bool):
-    """Scores of all rows with the queries; of each batch only the best `most` of each query leave the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qq = V.quantized(q, precision)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = V.quantized(_matrix(batch.column(2)), precision)
-            rows, fields = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.lexsort((-fields, rows))
-            s = V.scores(metric, qq, x)[:, order]
-            rows, fields = rows[order], fields[order]
-            out = []
-            for k in range(len(ids)):
-                ok = np.ones(len(rows), bool) if least is None else s[k] >= least
-                if apart:
-                    ok &= rows != ids[k]
-                pick = np.flatnonzero(ok)
-                if len(pick) > most:
-                    pick = pick[np.argsort(-s[k][pick], kind="stable")[:most]]
-                out.append((np.full(len(pick), k), pick))
-            who, pick = (np.concatenate(z) for z in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(rows[pick]), pa.array(fields[pick].astype(np.int32)), pa.array(s[who, pick])], ["q_id", "id", "field_idx", "score"])
+def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least: float | None, names: np.ndarray, apart: bool, items: bool):
+    """For each row of scores s, under its name, the best `most` of the columns (rows and fields, in order of rows, the last field first); items: the best column of each row number only."""
+    if items and len(rows):
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        if len(starts) < len(rows):
+            top = np.maximum.reduceat(s, starts, axis=1)
+            per = np.diff(np.r_[starts, len(rows)])
+            # Among equal scores the first field, which is the last column of its row number.
+            at = np.maximum.reduceat(np.where(s == np.repeat(top, per, axis=1), np.arange(len(rows)), -1), starts, axis=1)
+            fields, s, rows = fields[at], top, rows[starts]
+    out = []
+    for k in range(len(names)):
+        ok = np.ones(len(rows), bool) if least is None else s[k] >= least
+        if apart:
+            ok &= rows != names[k]
+        pick = np.flatnonzero(ok)
+        if len(pick) > most:
+            pick = pick[np.argsort(-s[k][pick], kind="stable")[:most]]
+        out.append((np.full(len(pick), k), pick))
+    who, pick = (np.concatenate(z) for z in zip(*out, strict=True))
+    field = fields[who, pick] if fields.ndim == 2 else fields[pick]
+    return pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(rows[pick]), pa.array(field.astype(np.int32)), pa.array(s[who, pick])], ["q_id", "id", "field_idx", "score"])
+
+
+def _scorer(metric: str, precision: str, most: int, least: float | None, apart: bool, items: bool):
+    """Candidates of a block of queries in a block of vectors; apart: queries of one name are one, by their best score."""
+
+    def run(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, fields: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((-fields, rows))
+        s = V.scores(metric, V.quantized(q, precision), V.quantized(x, precision))[:, order]
+        names = ids
+        if apart:
+            by = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
+            s, names = np.maximum.reduceat(s[by], starts, axis=0), ids[by][starts]
+        return _best(s, rows[order], fields[order], most, least, names, apart, items)
 
     return run
 
 
-def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries as matrices of a bounded number of rows."""
-    n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    for k in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("q_id", "embedding"), F.lit(n)) == k).select("q_id", "embedding").collect()
-        if rows:
-            yield np.array([r.q_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)
+def _blocks(df: DataFrame, *ids: str) -> DataFrame:
+    """Rows with an embedding, so many at a time, packed into one row: n, bytes of each id column (64 bits) and of the vectors (double)."""
+    n = max(1, -(-df.count() // QUERIES_AT_ONCE))
+
+    def pack(group: pa.Table) -> pa.Table:
+        x = _matrix(group.column("embedding").combine_chunks())
+        cols = [pa.array([group.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ids]
+        return pa.table([pa.array([len(x)], pa.int32()), *cols, pa.array([x.tobytes()], pa.binary())], names=["n", *ids, "x"])
+
+    keyed = df.select(*ids, "embedding").withColumn("_block", F.pmod(F.xxhash64(*ids, "embedding"), F.lit(n)))
+    return keyed.groupBy("_block").applyInArrow(pack, "n int, " + "".join(f"{c} binary, " for c in ids) + "x binary")
 
 
 def scored(index: VectorIndex, queries: DataFrame, params: Params, allow: DataFrame | None = None, apart: bool = False) -> DataFrame:
-    """Candidates of queries (q_id, embedding), the best of each part of the vectors. apart: not those whose id is q_id."""
-    source, out = allowed(index.vectors, allow), None
-    most = budget(params, index.max_fields, index.avg_fields) if not params.exact else int(np.ceil(params.k * (params.rerank or 1))) * max(1, index.max_fields)
-    for ids, q in _chunks(queries):
-        part = source.mapInArrow(_pass(ids, q, index.metric, index.precision, most, params.min_score, apart), _SCORED)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """Candidates of queries (q_id, embedding), the best of each part of the vectors. apart: all vectors of a q_id are one query, by the best score, and no item is a candidate of its own.
+
+    Up to QUERIES_AT_ONCE queries travel with the tasks over the vectors. More are packed in blocks, as are the vectors, and each pair of
+    blocks is scored by one task: every row is read for every block of queries, but no row is paired with a row by Spark.
+    """
+    source = allowed(index.vectors, allow)
+    again = bool(params.rerank and index.precision != "float32")
+    items = (params.exact or apart) and not again
+    most = params.k if items else budget(params, index.max_fields, index.avg_fields) if not (params.exact or apart) else int(np.ceil(params.k * (params.rerank or 1))) * max(1, index.max_fields)
+    score = _scorer(index.metric, index.precision, most, params.min_score, apart, items)
+    queries = queries.select("q_id", "embedding")
+    first = queries.limit(QUERIES_AT_ONCE + 1).collect()
+    if not first:
         return queries.sparkSession.createDataFrame([], _SCORED)
-    from .ranking import cut
+    if len(first) <= QUERIES_AT_ONCE:
+        ids, q = np.array([r.q_id for r in first], np.int64), np.array([r.embedding for r in first], np.float64)
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield score(ids, q, b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)))
 
-    return cut(out, most)
+        out = source.select("id", "field_idx", "embedding").mapInArrow(over, _SCORED)
+    else:
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    ids, rows, fields = (np.frombuffer(r[c], "<i8") for c in ("q_id", "id", "field_idx"))
+                    yield score(ids, np.frombuffer(r["q"]).reshape(r["m"], -1), rows, fields, np.frombuffer(r["x"]).reshape(r["n"], -1))
+
+        left = _blocks(queries, "q_id").select("q_id", F.col("n").alias("m"), F.col("x").alias("q"))
+        out = left.crossJoin(_blocks(source, "id", "field_idx")).mapInArrow(pairs, _SCORED)
+    if apart:
+        # Vectors of one item may lie in several blocks of queries.
+        out = out.groupBy("q_id", "id", "field_idx").agg(F.max("score").alias("score"))
+    return cut(best_fields(out) if items else out, most)
 
 
 def rescored(candidates: DataFrame, index: VectorIndex, queries: DataFrame) -> DataFrame:
@@ -107,7 +152,9 @@ def rescored(candidates: DataFrame, index: VectorIndex, queries: DataFrame) -> D
 
 
 def search(index: VectorIndex, queries: DataFrame, params: Params = Params(), allow: DataFrame | None = None) -> DataFrame:
-    """Hits of queries (q_id, embedding). The threshold holds before reranking, as a cut of candidates."""
+    """Hits of queries (q_id, embedding). The threshold holds before reranking, as a cut of candidates. With an allow set all allowed vectors are looked at, exact or not."""
+    if index.inverted is not None and not params.exact and allow is None and not params.rerank:
+        return search_inverted(index.inverted, queries, params)
     found = scored(index, queries, params, allow)
     if params.rerank and index.precision != "float32":
         return finish(rescored(found, index, queries), params, check_min=False)
@@ -129,48 +176,91 @@ def item_vectors(index: VectorIndex, item: int) -> DataFrame:
 
 @dataclass
 class Inverted:
-    """Vectors by the nearest of some centroids; a search looks at the cells of the nearest `probes` only."""
+    """Vectors by the nearest of some centroids; a search looks at the cells of the nearest `probes` only, so many that held-out queries found `recall` of their neighbours."""
 
     cells: DataFrame  # cell, id, field_idx, embedding
     centroids: np.ndarray
     index: VectorIndex
+    probes: int
+    recall: float
+
+
+def _unit(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors as cells see them: of length 1 for the metrics of angles."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n) if metric in ("cosine", "cosine-normalized") else x
 
 
-def invert(index: VectorIndex, cells: int = 16, sample: int = 20_000, rounds: int = 10, seed: int = 3) -> Inverted:
-    """k-means on a bounded sample, of least hash."""
+def _far(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """The smaller, the nearer a cell: by inner product where that is the metric, else by distance."""
+    return -x @ c.T if metric == "inner-product" else (c * c).sum(1) - 2 * x @ c.T
+
+
+def invert(index: VectorIndex, cells: int | None = None, sample: int = 20_000, rounds: int = 10, seed: int = 3, recall: float = 0.9, held: int = 300, k: int = 10) -> Inverted:
+    """k-means on a bounded sample, of least hash; every vector has a cell. About the root of the number of vectors are the cells (at most 4,096), unless told. probes: the fewest
+    that give a share of at least `recall` (and half of what is missing from 1, as a margin) of the k nearest in the sample to `held` vectors of it that were left out of the centroids."""
+    m = index.metric
+    n = index.vectors.count()
+    cells = cells or int(np.clip(round(n**0.5), 1, 4_096))
     rows = index.vectors.orderBy(F.xxhash64("id", "field_idx")).limit(sample).select("embedding").collect()
-    x = np.array([r.embedding for r in rows], np.float64)
+    x = _unit(np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1), m)
+    if not len(x):
+        return Inverted(index.vectors.select(F.lit(0).alias("cell"), "id", "field_idx", "embedding"), np.zeros((1, 1)), index, 1, 1.0)
     r = np.random.default_rng(seed)
-    c = x[r.choice(len(x), min(cells, len(x)), replace=False)]
+    test = r.permutation(len(x))[: min(held, len(x) // 2)]
+    rest = np.delete(x, test, axis=0) if len(test) else x
+    c = rest[r.choice(len(rest), min(cells, len(rest)), replace=False)]
     for _ in range(rounds):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
-        c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _far(rest, c, "l2").argmin(1)
+        c = np.array([rest[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+    probes, found = len(c), 1.0
+    if len(test):
+        s = V.scores("l2" if m == "hamming" else m, x[test], x)
+        s[np.arange(len(test)), test] = -np.inf
+        best = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+        own = _far(x, c, m).argmin(1)
+        place = np.argsort(np.argsort(_far(x[test], c, m), axis=1), axis=1)
+        # How many cells must be looked at for each neighbour.
+        needed = np.take_along_axis(place, own[best], axis=1) + 1
+        shares = np.array([(needed <= p).mean() for p in range(1, len(c) + 1)])
+        probes = int(np.argmax(shares >= recall + (1 - recall) / 2)) + 1
+        found = float(shares[probes - 1])
+
+    def place_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                m = _matrix(b.column(2))
-                yield pa.RecordBatch.from_arrays([pa.array((-2 * m @ c.T + (c * c).sum(1)).argmin(1).astype(np.int32)), *b.columns], ["cell", "id", "field_idx", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(_far(_unit(_matrix(b.column(2)), m), c, m).argmin(1).astype(np.int32)), *b.columns], ["cell", "id", "field_idx", "embedding"])
 
-    return Inverted(index.vectors.mapInArrow(place, "cell int, id long, field_idx int, embedding array<float>"), c, index)
+    return Inverted(index.vectors.mapInArrow(place_, "cell int, id long, field_idx int, embedding array<float>"), c, index, probes, found)
 
 
-def search_inverted(inv: Inverted, queries: DataFrame, params: Params = Params(), probes: int = 4, allow: DataFrame | None = None) -> DataFrame:
-    """Approximate hits: an equi-join of queries and vectors on the probed cells."""
-    c = inv.centroids
+def search_inverted(inv: Inverted, queries: DataFrame, params: Params = Params(), probes: int | None = None, allow: DataFrame | None = None) -> DataFrame:
+    """Approximate hits: an equi-join of queries and vectors on the probed cells, many queries and vectors of a cell at a time; a cell's vectors are spread over the executors by a salt."""
+    c, m = inv.centroids, inv.index.metric
+    probes = min(probes or inv.probes, len(c))
 
     @F.pandas_udf("array<int>")
     def near(v):
         import pandas as pd
 
-        m = np.array(v.tolist(), np.float64)
-        return pd.Series(list(np.argsort(-2 * m @ c.T + (c * c).sum(1), axis=1)[:, :probes].astype(np.int32)))
+        x = _unit(np.array(v.tolist(), np.float64), m)
+        return pd.Series(list(np.argsort(_far(x, c, m), axis=1)[:, :probes].astype(np.int32)))
+
+    salts = 8
+    q = queries.select("q_id", F.col("embedding").alias("q"), F.explode(near("embedding")).alias("cell")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    v = allowed(inv.cells, allow).withColumn("salt", F.pmod(F.xxhash64("id", "field_idx"), F.lit(salts)).cast("int"))
+    score = _scorer(m, inv.index.precision, params.k, params.min_score, False, True)
 
-    q = queries.select("q_id", F.col("embedding").alias("q"), F.explode(near("embedding")).alias("cell"))
-    both = allowed(inv.cells, allow).join(q, "cell")
-    m = inv.index.metric
-    s = both.select("q_id", "id", "field_idx", V.score(m, V.distance(m, F.col("q"), F.col("embedding"))).alias("score"))
-    return finish(s, params)
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("q_id", pa.int64()), ("id", pa.int64()), ("field_idx", pa.int32()), ("score", pa.float64()))})
+        ids, x = left.column("q_id").to_numpy(), _matrix(left.column("q").combine_chunks())
+        rows, fields, y = right.column("id").to_numpy(), right.column("field_idx").to_numpy(), _matrix(right.column("embedding").combine_chunks())
+        parts = [score(ids[a : a + QUERIES_AT_ONCE], x[a : a + QUERIES_AT_ONCE], rows, fields, y) for a in range(0, len(ids), QUERIES_AT_ONCE)]
+        return pa.Table.from_batches(parts)
+
+    found = q.groupBy("cell", "salt").cogroup(v.groupBy("cell", "salt")).applyInArrow(both, _SCORED)
+    return finish(found, params)
 
 
 def write_embedded(fields: DataFrame, embed, path: str, spark: SparkSession) -> int:
@@ -193,3 +283,28 @@ def write_embedded(fields: DataFrame, embed, path: str, spark: SparkSession) ->
     if n:
         rest.select("id", "field_idx", "value").mapInArrow(run, "id long, field_idx int, embedding array<float>").write.mode("append").parquet(path)
     return n
+
+
+def index_table(vectors: DataFrame, path: str, metric: str | None = None, precision: str = "float32", cells: bool = False) -> None:
+    """Write an index: its vectors, and the figures that a load would count; cells: and the vectors again by cell, in order of cells, with the centroids."""
+    spark = vectors.sparkSession
+    index = build(vectors, metric, precision)
+    index.vectors.write.mode("overwrite").parquet(os.path.join(path, "vectors"))
+    probes, recall = 0, 1.0
+    if cells:
+        inv = invert(VectorIndex(spark.read.parquet(os.path.join(path, "vectors")), index.metric, index.precision, index.max_fields, index.avg_fields))
+        inv.cells.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(os.path.join(path, "cells"))
+        rows = [(k, c.tolist()) for k, c in enumerate(inv.centroids)]
+        spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "centroids"))
+        probes, recall = inv.probes, inv.recall
+    row = (index.metric, index.precision, index.max_fields, index.avg_fields, probes, recall)
+    spark.createDataFrame([row], "metric string, precision string, max_fields int, avg_fields double, probes int, recall double").write.mode("overwrite").parquet(os.path.join(path, "figures"))
+
+
+def load_table(spark: SparkSession, path: str) -> VectorIndex:
+    f = spark.read.parquet(os.path.join(path, "figures")).first()
+    index = VectorIndex(spark.read.parquet(os.path.join(path, "vectors")), f.metric, f.precision, f.max_fields, f.avg_fields)
+    if f.probes:
+        centroids = np.array([r.centroid for r in spark.read.parquet(os.path.join(path, "centroids")).orderBy("cell").collect()])
+        index.inverted = Inverted(spark.read.parquet(os.path.join(path, "cells")), centroids, index, f.probes, f.recall)
+    return index

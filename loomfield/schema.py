@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 FIELD = "struct<type:string,value:string,data:binary,tags:array<string>>"
 RAW_ITEM = "identifier string, fields array<struct<type:string,value:string,tags:array<string>>>"
 ITEM = f"id long, identifier string, fields array<{FIELD}>"
@@ -31,12 +33,20 @@ def item_fields(fields: Column, default_type: str = "text") -> Column:
 
 
 def number(df: DataFrame, *order: str, into: str = "id") -> DataFrame:
-    """df with dense numbers from 0 in the given order, without a window over the whole table: parts of a range sort, offset by the sizes of those before."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = placed.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return within.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+    """df with dense numbers from 0 in the given order, without a window over the whole table: parts of a range sort, offset by the sizes of those before.
+
+    The sorted parts are written to the shared folder once, so that a row's part, its place there and the parts' sizes come from the same sort, whatever
+    a plan that is run again would sample. Among rows that tie in `order`, those of least hash come first: many ties lie in several parts.
+    """
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    placed = df.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0))
+    placed = placed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    # Within a part the second number counts rows in the order in which they come.
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    placed = materialise(placed)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def problems(items: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import RAW_ITEM, DataError, check, item_fields, number
@@ -107,8 +107,15 @@ def _terms_tsv(spark: SparkSession, path: str, rename: dict[str, str]) -> tuple[
     def term(k: int):
         c = F.try_element_at(cells, F.lit(k + 1))
         text = F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1)
-        for code, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ('"', '"'), ("\\", "\\")):
-            text = F.replace(text, F.lit("\\" + code), F.lit(char))
+        # In one pass: pieces between escaped backslashes hold the other escapes only.
+        pieces = F.split(text, r"\\\\")
+
+        def plain(x: Column) -> Column:
+            for code, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ('"', '"')):
+                x = F.replace(x, F.lit("\\" + code), F.lit(char))
+            return x
+
+        text = F.array_join(F.transform(pieces, plain), "\\")
         kind = F.when(c.startswith("<"), "iri").when(c.startswith("_:"), "bnode").otherwise("literal")
         value = F.when(c.startswith("<"), F.regexp_extract(c, "^<(.*)>$", 1)).when(c.startswith('"'), text).otherwise(c)
         datatype = F.nullif(F.regexp_extract(c, r'"\^\^<([^>]*)>$', 1), F.lit(""))
