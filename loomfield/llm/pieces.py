@@ -38,7 +38,9 @@ SPACE = 0x2581
 #: Longest part that is solved in numpy; the longer ones, without a place to split, one by one.
 WIDTHS = (4, 8, 12, 16, 24, 32)
 #: Bytes of text encoded at a time: some hundred bytes of memory for each.
-SLICE = 3 << 19
+SLICE = 3 << 18
+#: Different parts from which on a worker remembers no more, some 60 bytes each.
+KNOWN = 300_000
 
 ENCODED = "doc_id long, ids array<int>, n_tokens int, score double, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, round_trip boolean"
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -112,6 +114,7 @@ class Encoder:
         self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.byte_ids = np.array(model.byte_ids, np.int32)
+        self.known = _nothing()
 
     def forward(self, s: str) -> list[list[tuple[int, float]]]:
         """Arcs (start, piece or -1, score) into each place of s."""
@@ -203,6 +206,23 @@ class Encoder:
             ids[np.repeat(at[r] - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))] = flat
         return top, gap, ids, count
 
+    def solved(self, h: np.ndarray, u: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What `solve` gives of parts with different hashes h, in order, and where each one's ids begin; parts of texts before are remembered, up to KNOWN."""
+        key, known, ids = self.known
+        slot = np.minimum(np.searchsorted(key, h), max(0, len(key) - 1))
+        new = key[slot] != h if len(key) else np.ones(len(h), bool)
+        out = np.empty((4, len(h)))
+        out[:, ~new] = known[:, slot[~new]]
+        if new.any():
+            top, gap, more, count = self.solve(u, start[new], size[new])
+            out[:, new] = top, gap, count, np.cumsum(count) - count + len(ids)
+            ids = np.r_[ids, more]
+            if len(key) < KNOWN:
+                order = np.argsort(np.r_[key, h[new]], kind="stable")
+                self.known = np.r_[key, h[new]][order], np.concatenate([known, out[:, new]], axis=1)[:, order], ids
+        top, gap, count, base = out
+        return top, gap, ids, base.astype(np.int64), count.astype(np.int64)
+
     def _block(self, u: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(start)
         col = np.arange(width)[:, None]
@@ -290,9 +310,8 @@ class Encoder:
         total = np.zeros(len(u) + 1, tv.U)
         np.cumsum(x * up[: len(u)], out=total[1:])
         h = tv.mix((total[start + size] - total[start]) * down[start] + size.astype(tv.U))
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        top, gap, ids, count = self.solve(u, start[first], size[first])
-        base = np.cumsum(count) - count
+        h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        top, gap, ids, base, count = self.solved(h, u, start[first], size[first])
         lens = count[inverse]
         begin = np.cumsum(lens) - lens
         flat = ids[np.repeat(base[inverse] - begin, lens) + np.arange(int(lens.sum()))]
@@ -335,6 +354,11 @@ class Encoded:
         return self.u[self.start[part] : self.start[part] + self.size[part]].tobytes().decode("utf-32-le")
 
 
+def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of known parts; their score, gap, number of ids and place in the ids; the ids."""
+    return np.zeros(0, tv.U), np.zeros((4, 0)), np.zeros(0, np.int32)
+
+
 def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     h = (h + c + tv.U(1)) * _P
     return h ^ (h >> tv.U(29))
