@@ -3,29 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: the cluster's spark.checkpoint.dir; a fresh one only where that is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomfield-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "free_shuffles", "materialise", "one_row", "release", "shared_dir", "table", "texts", "tokenizer"]
 
 
 def discard(df: DataFrame) -> None:
@@ -64,6 +48,14 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+def one_row(docs: DataFrame) -> DataFrame:
+    """doc_id and text, a doc_id once: of its distinct texts, sorted and joined."""
+    found = texts(docs)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("doc_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("text"))
+
+
 def tokenizer(name: str, folder: str | None = None) -> str:
     """Path of a vocabulary file: in the folder given, that of LOOMFIELD_TOKENIZERS, or /opt/tokenizers."""
     return os.path.join(folder or os.environ.get("LOOMFIELD_TOKENIZERS", "/opt/tokenizers"), name)

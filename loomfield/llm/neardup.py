@@ -12,7 +12,8 @@ Where the ratio of sizes is larger, minima are too seldom equal, and in a bucket
 container is often neither of the two. So an index of another kind is used for all pairs, whose recall depends on
 neither, for all documents that have no container by exact check yet: a document's SAMPLE shingles of least hash are sought among all shingles of all larger
 documents (`index`, `sought`), by the rarest of them, so many that one is met by every document that has enough
-of the sample, and paired with all that hold one. Of candidates of both ways the exact containment is computed from whole sets.
+of the sample, and paired with all that hold one. Of candidates of both ways the containment is computed from whole sets, of 32 bits
+a shingle: among sets of a and b shingles a * b / 2^32 are equal by chance, so two of 1,000 each differ from the exact value by 2e-7 on average.
 
 A document whose containment in a larger one (ties: the one of smaller doc_id counts as larger) is at
 least T belongs to the best of those found, and through it to a root; a root with all that lead to it
@@ -20,7 +21,7 @@ is a group, of which the root stays. Documents of equal sets are collapsed at fi
 doc_id stands for them.
 
 Nulls and edges: rows without doc_id are not compared (`keep_one` keeps them); null texts are empty;
-documents without words are in no group; a doc_id on several rows counts as one document, of which
+documents without words are in no group; a doc_id on several rows is one document, of its distinct texts, of which
 `keep_one` keeps one row; extra columns are passed through by `keep_one` and ignored otherwise.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free_shuffles, materialise, release, texts
+from .common import discard, free_shuffles, materialise, one_row, release, texts
 
 SHINGLE = 5
 #: Containment from which a document belongs to a larger one.
@@ -45,7 +46,9 @@ HASHES, RECALL = 64, 0.95
 #: The largest octave distance for which minima are compared.
 FARTHEST = 2
 #: Shingles by which a document is sought in the index, and the share of pairs at the threshold that they may miss.
-SAMPLE, MISSED = 16, 0.01
+SAMPLE, MISSED = 40, 0.01
+#: Shingles of its rarest that a document must share with another to be held against it.
+HITS = 3
 #: Bits of the filter of sought shingles for each of them, and the logarithms of the fewest and most bits in all, and of those in a part.
 SPARSE, FILTER, PART = 16, (18, 30), 18
 #: Up to so many ids are broadcast (16 MB); beyond, the join is shuffled.
@@ -285,15 +288,17 @@ def sought(held: DataFrame, t: float = T, found: DataFrame | None = None) -> Dat
     if found is not None:
         own = own.join(found, own["doc_id"] == found["q"], "left_anti")
     own = own.join(common, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    # Who has `least` of m keys has one of any m - least + 1.
-    own = own.withColumn("nth", F.row_number().over(by)).where((F.col("nth") <= F.least("n", F.lit(SAMPLE)) - least + 1) & (F.col("df") > 1))
+    # Who has `least` of m keys has HITS of any m - least + HITS.
+    hits = F.least(least, F.lit(HITS))
+    own = own.withColumn("nth", F.row_number().over(by)).where((F.col("nth") <= F.least("n", F.lit(SAMPLE)) - least + hits) & (F.col("df") > 1))
     q = own.select("key", F.col("doc_id").alias("q"), F.col("n").alias("nq"))
     x = flat.join(common.select("key"), "key", "left_semi").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"))
     larger = (F.col("q") != F.col("x")) & ((F.col("nx") > F.col("nq")) | ((F.col("nx") == F.col("nq")) & (F.col("x") < F.col("q"))))
-    pairs = q.join(x, "key").where(larger).select("q", "nq", "x", "nx").distinct()
-    pairs = pairs.join(held.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.slice("keys", 1, SAMPLE).alias("sample"), least.alias("least")), ["q", "nq"])
-    pairs = pairs.join(held.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), "keys"), ["x", "nx"])
-    return pairs.where(F.size(F.array_intersect("sample", "keys")) >= F.col("least")).select("q", "x", "nq", "nx").distinct()
+    few = F.least(F.lit(HITS), F.element_at(F.array(*[F.lit(least_hits(m, t)) for m in range(1, SAMPLE + 1)]), F.least("nq", F.lit(SAMPLE))))
+    pairs = q.join(x, "key").where(larger).groupBy("q", "x").agg(F.first("nq").alias("nq"), F.first("nx").alias("nx"), F.count("*").alias("hits")).where(F.col("hits") >= few).drop("hits")
+    pairs = pairs.join(held.select(F.col("doc_id").alias("q"), F.slice("keys", 1, SAMPLE).alias("sample"), least.alias("least")), "q")
+    pairs = pairs.join(held.select(F.col("doc_id").alias("x"), "keys"), "x")
+    return pairs.where(F.size(F.array_intersect("sample", "keys")) >= F.col("least")).select("q", "x", "nq", "nx")
 
 
 def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -303,7 +308,7 @@ def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFram
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    return materialise(texts(docs).mapInArrow(_sign, _SIGNED))
+    return materialise(docs.mapInArrow(_sign, _SIGNED))
 
 
 def candidates(reps: DataFrame, t: float = T) -> DataFrame:
@@ -322,35 +327,38 @@ def candidates(reps: DataFrame, t: float = T) -> DataFrame:
     return pairs.where(F.col("hits") >= F.when((F.col("nx") >= 8 * F.col("nq")) | (F.col("nq") < 8), 1).otherwise(2)).drop("hits")
 
 
-def contained(docs: DataFrame, likely: DataFrame, t: float, repeated: bool) -> DataFrame:
+def contained(docs: DataFrame, likely: DataFrame, t: float) -> DataFrame:
     """Of pairs (q, x, nq, nx) those of containment t at least, by whole sets: q, x, nx, containment."""
     ids = likely.select(F.explode(F.array("q", "x")).alias("doc_id")).distinct()
-    sets = only(texts(docs), ids).mapInArrow(_sets, "id long, shingles binary")
-    sets = materialise(sets.groupBy("id").agg(F.max("shingles").alias("shingles")) if repeated else sets)
+    sets = materialise(only(docs, ids).mapInArrow(_sets, "id long, shingles binary"))
     checked = likely.join(sets.select(F.col("id").alias("q"), F.col("shingles").alias("q_set")), "q").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("x_set")), "x")
     return checked.select("q", "x", "nx", "q_set", "x_set").mapInArrow(_contain(t), "q long, x long, nx int, containment double")
 
 
 def groups(docs: DataFrame, t: float = T) -> DataFrame:
     """doc_id, group_id (the document that stays), contained_in, containment, n_shingles, kept; for all members of groups of two or more."""
+    docs = one_row(docs)
+    spark = docs.sparkSession
     sigs = signed(docs)
     same = Window.partitionBy("f1", "f2", "n")
-    members = materialise(sigs.select("doc_id", "n", F.min("doc_id").over(same).alias("rep")).distinct())
-    reps = sigs.join(members.where("doc_id = rep").select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi")
+    members = materialise(sigs.select("doc_id", "n", F.min("doc_id").over(same).alias("rep")))
+    reps = sigs.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     pairs = materialise(candidates(reps, t))
-    free_shuffles(docs.sparkSession)
-    repeated = not sigs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    side = sigs.select("doc_id", "n", "sig").mapInArrow(_short, "doc_id long, n int, sig binary")
-    if repeated:
-        side = side.dropDuplicates(["doc_id", "n"])
-    both = pairs.join(side.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("sig").alias("q_sig")), ["q", "nq"]).join(side.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("x_sig")), ["x", "nx"])
+    free_shuffles(spark)
+    side = sigs.select("doc_id", "n", "sig").mapInArrow(_short, "doc_id long, n int, sig binary").drop("n")
+    both = pairs.join(side.select(F.col("doc_id").alias("q"), F.col("sig").alias("q_sig")), "q").join(side.select(F.col("doc_id").alias("x"), F.col("sig").alias("x_sig")), "x")
     likely = materialise(both.select("q", "x", "nq", "nx", "q_sig", "x_sig").mapInArrow(_estimate(t), "q long, x long, nq int, nx int"))
-    free_shuffles(docs.sparkSession)
-    found = materialise(contained(docs, likely, t, repeated))
-    held = index(only(texts(docs), reps.select("doc_id").distinct()), members.count())
+    discard(pairs)
+    free_shuffles(spark)
+    found = materialise(contained(docs, likely, t))
+    discard(likely)
+    held = index(only(docs, members.where("doc_id = rep").select("doc_id")), members.count())
+    discard(sigs)
+    free_shuffles(spark)
     likely = materialise(sought(held, t, found.select("q").distinct()))
-    free_shuffles(docs.sparkSession)
-    found = found.unionByName(contained(docs, likely, t, repeated))
+    discard(held)
+    free_shuffles(spark)
+    found = found.unionByName(contained(docs, likely, t))
     best = materialise(found.groupBy("q").agg(F.max(F.struct("containment", "nx", (-F.col("x")).alias("x"), F.col("x").alias("to"))).alias("b")).select("q", F.col("b.to").alias("x"), F.col("b.containment").alias("containment")))
     free_shuffles(docs.sparkSession)
     roots = best.select("q", F.col("x").alias("root"))
@@ -372,9 +380,6 @@ def groups(docs: DataFrame, t: float = T) -> DataFrame:
         F.col("n").alias("n_shingles"),
         (F.col("doc_id") == F.col("group_id")).alias("kept"),
     )
-    # A doc_id on several rows may be in it by several sets: it goes if one of them is in another document.
-    one = Window.partitionBy("doc_id").orderBy("kept", F.desc("containment"), "group_id")
-    out = out.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
     return out.withColumn("members", F.count("*").over(Window.partitionBy("group_id"))).where("members > 1")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import discard, materialise, texts
+from .common import discard, materialise, one_row
 
 LEAST, GRAM = 50, 8
 #: Words of a block of documents (or of one longer document), entries of a piece that is passed on, and rows of a sorted part that are handled at a time.
@@ -344,14 +344,6 @@ def _spans(seams: Seams):
     return run
 
 
-def one_row(docs: DataFrame) -> DataFrame:
-    """doc_id and text, a doc_id once."""
-    found = texts(docs)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return found
-    return found.groupBy("doc_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("text"))
-
-
 def first_pairs(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """a, b, doc, place: the hashes of the first words of each suffix and of that at the first offset, where both stand more than once."""
     source = one_row(docs)

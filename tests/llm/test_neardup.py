@@ -92,5 +92,19 @@ def test_containers_among_documents_that_share_passages(spark):
     # Some of the 300 hold the same two passages, and so are containers too.
     gone = {x.doc_id for x in neardup.groups(df).collect() if not x.kept}
     assert sum(2 * k in gone for k in range(40)) >= 38
-    found = {(x.q, x.x) for x in neardup.sought(neardup.index(neardup.texts(df), len(docs))).collect()}
+    found = {(x.q, x.x) for x in neardup.sought(neardup.index(neardup.one_row(df), len(docs))).collect()}
     assert sum((2 * k, 2 * k + 1) in found for k in range(40)) >= 38
+
+
+def test_a_doc_id_with_several_texts(spark):
+    r = random.Random(9)
+    some = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c = some(60), some(90), some(40)
+    docs = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (5, c + " " + some(20)), (6, some(50))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x for x in neardup.groups(df).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and len(got) == 5
+    # Document 1 is both its texts, and holds 2 and 3 whole.
+    assert {d: x.group_id for d, x in got.items()} == {1: 1, 2: 1, 3: 1, 4: 5, 5: 5}
+    assert all(x.containment == 1.0 for d, x in got.items() if d in (2, 3, 4))
+    assert sorted(x.doc_id for x in neardup.keep_one(df).collect()) == [1, 5, 6]
