@@ -2,11 +2,13 @@
 
 A stream is read as a chain of frames of versions 1, 2 and 2.5 and layers I, II and III. Where no frame header stands,
 the reader looks for the next place at which two frames follow on each other with the same version, layer
-and sampling rate (or one that ends where the audio ends): bytes passed over are junk, and each such place after the first frame is a resynchronisation. ID3v2
+and sampling rate (or one that ends where the audio ends): bytes passed over are junk, and each such place after the first frame is a resynchronisation. A header that no other follows is passed over too if such a place comes before its frame would end. ID3v2
 (title and artist; also where several stand in a row), ID3v1 and APEv2 are read or passed over as tags. A first frame with a Xing, Info or VBRI table carries no
-sound and is left out of the sums; its frame count is held against the frames found, and an encoder's delay and padding are
-taken off the duration. Checksums are verified for layers I and III; layer II, whose protected length depends on its allocation
-tables, counts as unchecked. Free-format frames (bit rate 0) are not read. A last frame that is cut off counts as truncated and adds nothing.
+sound and is left out of the sums; an encoder's delay and padding are
+taken off the duration. Its frame and byte counts are held against what was found, and so are the places of its seek table, which are stored as offsets (`toc`):
+those of Xing and Info stand for hundredths of the duration in 256ths of the bytes, those of VBRI for some frames each. A place agrees within a 256th of the bytes and a frame, or the table's scale.
+Checksums are verified for all layers; of layer II, bit allocation and scale factor selection are parsed for it. The length of free-format frames (bit rate 0) is
+the distance to the next header alike, held against the one after; they keep it through the stream. A last frame that is cut off counts as truncated and adds nothing.
 
 A null or empty value, or one without any frame, gives a row with 0 frames, null properties and an empty list.
 Repeated rows each give a row; an empty table gives an empty one; extra columns are ignored.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ _V2 = {1: [32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256], 2: [
 _V2[3] = _V2[2]
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 _VERSION = {3: "1", 2: "2", 0: "2.5"}
+#: Bytes within which the next free-format frame must begin.
+LONGEST_FREE = 16_384
 
 PARSED = (
     "doc_id long, version string, layer int, sample_rate int, channels int, frames int, samples long, duration double, mode string, bitrate double, title string, artist string, "
-    "info_table string, info_frames int, info_agrees boolean, delay int, padding int, crc_checked int, crc_bad int, resyncs int, junk_bytes long, tag_bytes long, truncated boolean, seek array<long>"
+    "info_table string, info_frames int, info_agrees boolean, info_bytes long, bytes_agree boolean, quality int, toc array<long>, toc_agrees boolean, delay int, padding int, crc_checked int, crc_bad int, resyncs int, junk_bytes long, tag_bytes long, truncated boolean, seek array<long>"
 )
 
 
@@ -50,8 +54,9 @@ class Header:
     rate: int
     channels: int
     joint: int  # -1, or the bound of subbands
-    length: int
+    length: int  # 0: free format, to be found
     samples: int
+    pad: int = 0
 
     @property
     def like(self) -> tuple[int, int, int]:
@@ -92,9 +97,9 @@ def _read(word: int) -> Header | None:
         return None
     version, layer = word >> 19 & 3, 4 - (word >> 17 & 3)
     index, rate = word >> 12 & 15, word >> 10 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3 or word & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate == 3 or word & 3 == 2:
         return None
-    bitrate = (_V1 if version == 3 else _V2)[layer][index - 1]
+    bitrate = (_V1 if version == 3 else _V2)[layer][index - 1] if index else 0
     hz, pad = _RATES[version][rate], word >> 9 & 1
     if layer == 1:
         length, samples = (12_000 * bitrate // hz + pad) * 4, 384
@@ -102,7 +107,72 @@ def _read(word: int) -> Header | None:
         samples = 1152 if layer == 2 or version == 3 else 576
         length = samples // 8 * 1000 * bitrate // hz + pad
     mode = word >> 6 & 3
-    return Header(version, layer, not word >> 16 & 1, bitrate, hz, 1 if mode == 3 else 2, (word >> 4 & 3) * 4 + 4 if mode == 1 else -1, length, samples)
+    return Header(version, layer, not word >> 16 & 1, bitrate, hz, 1 if mode == 3 else 2, (word >> 4 & 3) * 4 + 4 if mode == 1 else -1, length if index else 0, samples, pad * (4 if layer == 1 else 1))
+
+
+def _alike(a: Header, b: Header | None) -> bool:
+    return b is not None and b.like == a.like and (b.bitrate == 0) == (a.bitrate == 0)
+
+
+def _free(data: bytes, at: int, end: int, h: Header) -> int:
+    """Bytes of a free-format frame without its padding, from the next two headers alike; 0 if they aren't there."""
+    q = at + 8
+    while 0 <= (q := data.find(b"\xff", q, min(end, at + LONGEST_FREE))):
+        n = header(data, q)
+        if _alike(h, n):
+            base = q - at - h.pad
+            after = q + base + n.pad
+            if after == end or (after < end and _alike(h, header(data, after))):
+                return base
+        q += 1
+    return 0
+
+
+def _sized(h: Header, base: int) -> Header:
+    """A free-format header with its length and rate."""
+    length = base + h.pad
+    return replace(h, length=length, bitrate=round(length * 8 * h.rate / h.samples / 1000))
+
+
+#: Bits for the allocation of each subband in layer II, by table.
+_BITS = {k: [n for n, times in v for _ in range(times)] for k, v in {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}.items()}
+
+
+def _allocation(h: Header) -> list[int]:
+    per = h.bitrate / h.channels
+    if h.version != 3:
+        return _BITS["low"]
+    if per >= 56 and (h.rate == 48_000 or per <= 80):
+        return _BITS["a"]
+    if h.rate != 48_000 and per >= 96:
+        return _BITS["b"]
+    return _BITS["c" if h.rate != 32_000 and per <= 48 else "d"]
+
+
+def covered_bits(h: Header, body: bytes) -> int:
+    """Bits of a layer II frame after its checksum that this covers: the allocation, and two bits for each subband and channel that has one; -1 if they don't fit."""
+    widths = _allocation(h)
+    bound = len(widths) if h.joint < 0 else min(h.joint, len(widths))
+    most = sum(w * (h.channels if k < bound else 1) for k, w in enumerate(widths))
+    if most > 8 * len(body):
+        return -1
+    bits, left, chosen = int.from_bytes(body[: most + 7 >> 3]), 8 * (most + 7 >> 3), 0
+    for k, w in enumerate(widths):
+        for _ in range(h.channels if k < bound else 1):
+            left -= w
+            chosen += (bits >> left & (1 << w) - 1 > 0) * (1 if k < bound else h.channels)
+    return most + 2 * chosen if most + 2 * chosen <= 8 * len(body) else -1
+
+
+def crc_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of the first bits of some bytes."""
+    c = 0xFFFF
+    for byte in data[: bits >> 3]:
+        c = (c << 8 & 0xFFFF) ^ int(_CRC[c >> 8 ^ byte])
+    for k in range(bits & 7):
+        top = c >> 15 ^ (data[bits >> 3] >> 7 - k & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
 
 
 def _table() -> np.ndarray:
@@ -147,6 +217,13 @@ class Stream:
     truncated: bool = False
     table: str | None = None
     table_frames: int | None = None
+    table_bytes: int | None = None
+    table_at: int = 0
+    quality: int | None = None
+    hundredths: bytes | None = None
+    entries: list[int] | None = None
+    per_entry: int = 0
+    scale: int = 0
     delay: int = 0
     padding: int = 0
     checked: int = 0
@@ -194,10 +271,12 @@ def _sync(data: bytes, at: int, end: int) -> int:
         if at < 0:
             return end
         h = header(data, at)
-        if h and at + h.length <= end:
+        if h and not h.length:
+            if _free(data, at, end, h):
+                return at
+        elif h and at + h.length <= end:
             after = at + h.length
-            n = header(data, after)
-            if after == end or (n and n.like == h.like):
+            if after == end or _alike(h, header(data, after)):
                 return at
         at += 1
 
@@ -211,14 +290,27 @@ def _info(data: bytes, at: int, h: Header, s: Stream) -> bool:
             if flags & 1:
                 s.table_frames = int.from_bytes(data[p : p + 4])
                 p += 4
-            p += 4 * (flags >> 1 & 1) + 100 * (flags >> 2 & 1) + 4 * (flags >> 3 & 1)
-            s.table = name.decode()
+            if flags & 2:
+                s.table_bytes = int.from_bytes(data[p : p + 4])
+                p += 4
+            if flags & 4:
+                s.hundredths = data[p : p + 100]
+                p += 100
+            if flags & 8:
+                s.quality = int.from_bytes(data[p : p + 4])
+                p += 4
+            s.table, s.table_at = name.decode(), at
             if p + 24 <= at + h.length and data[p : p + 4].isalnum():
                 gap = int.from_bytes(data[p + 21 : p + 24])
                 s.delay, s.padding = gap >> 12, gap & 0xFFF
             return True
-    if data[at + 36 : at + 40] == b"VBRI" and at + 54 <= at + h.length:
-        s.table, s.table_frames = "VBRI", int.from_bytes(data[at + 50 : at + 54])
+    if h.layer == 3 and data[at + 36 : at + 40] == b"VBRI" and 54 <= h.length:
+        s.table, s.table_at = "VBRI", at
+        _, _, s.quality, s.table_bytes, s.table_frames = struct.unpack(">HHHII", data[at + 40 : at + 54])
+        if 62 <= h.length:
+            n, s.scale, size, s.per_entry = struct.unpack(">HHHH", data[at + 54 : at + 62])
+            if 1 <= size <= 4 and 62 + n * size <= h.length:
+                s.entries = [int.from_bytes(data[p : p + size]) for p in range(at + 62, at + 62 + n * size, size)]
         return True
     return False
 
@@ -230,13 +322,22 @@ def read(data: bytes) -> Stream:
     while n := _id3v2(data, at, s):
         at += n
         s.tag_bytes += n
-    like = None
+    like, base = None, 0
     while at < end:
         h = header(data, at)
-        if h and like == h.like:
-            if at + h.length > end:
-                s.truncated = True
-                break
+        if h and not h.length and base:
+            h = _sized(h, base)
+        if h and h.length and like == h.like:
+            after = at + h.length
+            if after != end and not _alike(h, header(data, after)):
+                # A chain that begins before this frame would end shows that its header is none.
+                to = _sync(data, at + 1, end)
+                if to < min(after, end):
+                    s.junk, s.resyncs, at = s.junk + to - at, s.resyncs + 1, to
+                    continue
+                if after > end:
+                    s.truncated = True
+                    break
         else:
             n = _id3v2(data, at, s)
             if n:
@@ -244,9 +345,7 @@ def read(data: bytes) -> Stream:
                 s.tag_bytes += n
                 continue
             to = _sync(data, at, end)
-            if like is None and to < end and to == at:
-                h = header(data, at)
-            else:
+            if not (like is None and to < end and to == at):
                 # A frame that is cut off by the end of the stream is no junk.
                 if to == end and h and like is not None and h.like == like:
                     s.truncated = True
@@ -256,7 +355,10 @@ def read(data: bytes) -> Stream:
                 at = to
                 if at >= end:
                     break
-                h = header(data, at)
+            h = header(data, at)
+            if not h.length:
+                base = _free(data, at, end, h)
+                h = _sized(h, base)
             like = h.like
         if s.frames or s.table or not _info(data, at, h, s):
             s.frames.append((at, h))
@@ -265,6 +367,13 @@ def read(data: bytes) -> Stream:
     for place, h in s.frames:
         if h.protected and h.covered >= 0 and 6 + h.covered <= h.length:
             by.setdefault(h.covered, []).append(place)
+    for place, h in s.frames:
+        if h.protected and h.layer == 2:
+            body = data[place + 6 : place + h.length]
+            bits = covered_bits(h, body)
+            if bits >= 0:
+                s.checked += 1
+                s.bad += crc_bits(data[place + 2 : place + 4] + body[: bits + 7 >> 3], 16 + bits) != int.from_bytes(data[place + 4 : place + 6])
     raw = np.frombuffer(data, np.uint8)
     for covered, places in by.items():
         p = np.array(places)[:, None]
@@ -275,6 +384,25 @@ def read(data: bytes) -> Stream:
     return s
 
 
+def seek_table(s: Stream) -> tuple[list[int] | None, bool | None]:
+    """Offsets that the first frame's table gives, and whether they are those of the frames found."""
+    if not s.frames or (s.hundredths is None and not s.entries):
+        return None, None
+    place = np.array([p for p, _ in s.frames] + [s.frames[-1][0] + s.frames[-1][1].length])
+    longest = int(np.diff(place).max())
+    if s.entries:
+        toc = place[0] + np.r_[0, np.cumsum(np.array(s.entries, np.int64) * s.scale)]
+        at = np.minimum(np.arange(len(toc)) * s.per_entry, len(s.frames))
+        # Each entry is rounded to the scale.
+        near = np.abs(toc - place[at]) <= np.arange(len(toc)) * max(0, s.scale - 1)
+    else:
+        size = s.table_bytes or int(place[-1] - s.table_at)
+        toc = s.table_at + np.frombuffer(s.hundredths, np.uint8).astype(np.int64) * size // 256
+        at = np.arange(len(toc)) * len(s.frames) // 100
+        near = np.abs(toc - place[at]) <= size // 256 + 1 + longest
+    return toc.tolist(), bool(near.all())
+
+
 def _row(doc: int, data: bytes | None) -> dict:
     s = read(data or b"")
     out = {"doc_id": doc, "frames": len(s.frames), "samples": 0, "duration": 0.0, "title": s.tags.get("title"), "artist": s.tags.get("artist"), "info_table": s.table, "info_frames": s.table_frames, "delay": s.delay, "padding": s.padding}
@@ -288,6 +416,9 @@ def _row(doc: int, data: bytes | None) -> dict:
         seconds = sum(x.samples / x.rate for _, x in s.frames) - (total - samples) / h.rate if len({x.rate for _, x in s.frames}) > 1 else samples / h.rate
         length = sum(x.length for _, x in s.frames)
         out |= {"version": _VERSION[h.version], "layer": h.layer, "sample_rate": h.rate, "channels": h.channels, "samples": samples, "duration": seconds, "mode": "cbr" if len(rates) == 1 else "vbr"}
+        toc, same = seek_table(s)
+        found = s.frames[-1][0] + s.frames[-1][1].length - (s.table_at if s.table in ("Xing", "Info") else s.frames[0][0])
+        out |= {"info_bytes": s.table_bytes, "bytes_agree": None if s.table_bytes is None else s.table_bytes == found, "quality": s.quality, "toc": toc, "toc_agrees": same}
         out |= {"bitrate": length * 8 / 1000 / (total / h.rate), "info_agrees": None if s.table_frames is None else s.table_frames == len(s.frames)}
     return out
 
@@ -295,7 +426,7 @@ def _row(doc: int, data: bytes | None) -> dict:
 def parse(media: DataFrame, key: str = "doc_id", audio: str = "audio") -> DataFrame:
     """PARSED for each row of a table with a key and a binary column."""
     names = [x.split()[0] for x in PARSED.split(", ")]
-    kinds = {"doc_id": pa.int64(), "version": pa.string(), "layer": pa.int32(), "sample_rate": pa.int32(), "channels": pa.int32(), "frames": pa.int32(), "samples": pa.int64(), "duration": pa.float64(), "mode": pa.string(), "bitrate": pa.float64(), "title": pa.string(), "artist": pa.string(), "info_table": pa.string(), "info_frames": pa.int32(), "info_agrees": pa.bool_(), "delay": pa.int32(), "padding": pa.int32(), "crc_checked": pa.int32(), "crc_bad": pa.int32(), "resyncs": pa.int32(), "junk_bytes": pa.int64(), "tag_bytes": pa.int64(), "truncated": pa.bool_(), "seek": pa.list_(pa.int64())}
+    kinds = {"doc_id": pa.int64(), "version": pa.string(), "layer": pa.int32(), "sample_rate": pa.int32(), "channels": pa.int32(), "frames": pa.int32(), "samples": pa.int64(), "duration": pa.float64(), "mode": pa.string(), "bitrate": pa.float64(), "title": pa.string(), "artist": pa.string(), "info_table": pa.string(), "info_frames": pa.int32(), "info_agrees": pa.bool_(), "info_bytes": pa.int64(), "bytes_agree": pa.bool_(), "quality": pa.int32(), "toc": pa.list_(pa.int64()), "toc_agrees": pa.bool_(), "delay": pa.int32(), "padding": pa.int32(), "crc_checked": pa.int32(), "crc_bad": pa.int32(), "resyncs": pa.int32(), "junk_bytes": pa.int64(), "tag_bytes": pa.int64(), "truncated": pa.bool_(), "seek": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,16 +455,22 @@ def render(doc: int, text: str, source: str) -> bytes:
     version, layer = (3, 2, 3, 0, 3)[seed[0] % 5], (3, 3, 3, 1, 2)[seed[1] % 5]
     protected, vbr, mode, rate = seed[2] % 3 == 0, seed[3] % 2 == 0, (0, 1, 3)[seed[4] % 3], seed[5] % 3
     base = 5 + seed[6] % 5
+    # One stream in eight is of free format, of frames of its own length.
+    own = 400 + 4 * seed[6] if seed[4] % 8 == 7 else 0
     data, out, p, k, damage = text.encode(), [], 0, 0, seed[7] % 4 == 0
+    # A frame alone would not tell its length.
+    own = own if len(data) > 2 * own else 0
     frames: list[bytes] = []
     while p < len(data) or not frames:
-        head = frame_header(version, layer, protected, base + (k * 7 % 3 if vbr else 0), rate, k % 5 == 0 and 1, mode)
+        head = frame_header(version, layer, protected, 0 if own else base + (k * 7 % 3 if vbr else 0), rate, k % 5 == 0 and 1, mode)
         h = _read(int.from_bytes(head[1:]))
+        h = _sized(h, own) if own else h
         room = h.length - 4 - 2 * protected
         body = data[p : p + room].ljust(room, b"\0")
         p += room
         if protected:
-            sum_ = int(crc(np.frombuffer(head[2:] + body[: max(0, h.covered)], np.uint8)[None])[0])
+            bits = covered_bits(h, body) if h.layer == 2 else 8 * h.covered
+            sum_ = crc_bits(head[2:] + body, 16 + max(0, bits))
             if damage and k % 50 == 7:
                 sum_ ^= 0x5A5A
             head += sum_.to_bytes(2)
@@ -347,10 +484,18 @@ def render(doc: int, text: str, source: str) -> bytes:
     if layer == 3 and seed[1] & 64:
         head = frame_header(version, 3, False, base + 4, rate, 0, mode)
         h = _read(int.from_bytes(head[1:]))
+        at = np.r_[0, np.cumsum([len(f) for f in out])]
+        place = at[:-1][[f is not None and f[:2] != b"\xff\xfb" or len(f) > 40 for f in out]]
+        whole = int(at[-1])
         if seed[1] & 32 and h.length > 200:
-            first = (head + b"\0" * h.side + (b"Xing" if vbr else b"Info") + struct.pack(">II", 1, len(frames)) + b"LAVC" + b"\0" * 17 + (576 << 12 | 100).to_bytes(3)).ljust(h.length, b"\0")
+            size = whole + h.length
+            toc = bytes(min(255, (int(place[i * len(frames) // 100]) + h.length) * 256 // size) for i in range(100))
+            first = (head + b"\0" * h.side + (b"Xing" if vbr else b"Info") + struct.pack(">III", 15, len(frames), size) + toc + struct.pack(">I", 78) + b"LAVC" + b"\0" * 17 + (576 << 12 | 100).to_bytes(3)).ljust(h.length, b"\0")
         else:
-            first = (head + b"\0" * 32 + b"VBRI" + struct.pack(">HHHII", 1, 0, 50, sum(map(len, frames)), len(frames))).ljust(h.length, b"\0")
+            per = max(1, -(-len(frames) // 40))
+            steps = np.diff(np.r_[place[::per], whole]).tolist() if 62 + 2 * (len(place[::per])) <= h.length and not own else []
+            scale = max(1, -(-max(steps, default=1) // 65_535))
+            first = (head + b"\0" * 32 + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, whole, len(frames), len(steps), scale, 2, per) + b"".join(struct.pack(">H", x // scale) for x in steps)).ljust(h.length, b"\0")
     tag = _id3(f"document {doc}", source) if seed[2] & 64 else b""
     tail = (b"TAG" + f"document {doc}".encode().ljust(30, b"\0") + source.encode()[:30].ljust(30, b"\0")).ljust(128, b"\0") if seed[3] & 64 else b""
     return tag + first + b"".join(out) + tail
