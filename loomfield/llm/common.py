@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["discard", "free_shuffles", "materialise", "one_row", "release", "shared_dir", "table", "texts", "tokenizer"]
+__all__ = ["discard", "free_shuffles", "materialise", "one_row", "release", "shared_dir", "table", "texts", "tokenizer", "write_bytes"]
 
 
 def discard(df: DataFrame) -> None:
@@ -20,6 +20,15 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    for a in range(0, len(data), 1 << 22):
+        out.write(bytearray(data[a : a + (1 << 22)]))
+    out.close()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver drop shuffle files whose plans are gone, instead of waiting for its next collection."""
     import gc

@@ -11,25 +11,27 @@ is no straggler); all texts of a batch advance together, one symbol a step, in n
 
 Labelled text: at most PER_LANGUAGE bytes in whole documents for each language, those of
 least hash. Ties go to the language first in the alphabet. A text without letters has no language and
-is rejected; so is one whose best bits exceed the limit, MARGIN times the largest of held-out labelled
-documents that are as long. Null texts count as empty. Repeated rows each get their verdict. With no labelled text
+is rejected; so is one whose best bits exceed the limit: from 200 symbols on MARGIN times the largest of held-out labelled
+documents, for shorter ones NEAR times the largest of pieces of these that are as long. Null texts count as empty. Repeated rows each get their verdict. With no labelled text
 every document is rejected (language null). Extra columns are ignored, in `accept` passed through.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import release
+from .common import shared_dir, write_bytes
 
 #: Bounds of the labelled sample for each language: bytes of symbols and documents looked at.
 PER_LANGUAGE, DOCUMENTS = 48_000, 60
@@ -37,6 +39,8 @@ PER_LANGUAGE, DOCUMENTS = 48_000, 60
 LENGTHS = (300, 6_000)
 BLOCK = 1024
 MARGIN = 1.7
+#: Lengths of held-out pieces for which limits are fitted, and how far a text may be beyond the worst of them. A short text's bits vary, so its limit is near what chance gives.
+SHORT, NEAR = (1, 2, 5, 10, 20, 50, 100), 1.15
 
 _LETTER = tv.WORD.copy()
 _LETTER[48:58] = False
@@ -172,34 +176,44 @@ class Parser:
         return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
-def forget() -> None:
-    """Drop the tables at the end of a task; making them again takes a second, keeping them a hundred megabytes in every worker."""
-    _parsers.clear()
-    release()
+_tables: dict[str, np.ndarray] = {}
 
 
 @dataclass
 class Model:
-    """Labelled text by language and the limit of bits by length; small, so it travels with the tasks."""
+    """Labelled text by language and the limit of bits by length. The tables are made once, on the driver; `publish` writes them to a file that every machine gets, and tasks map it."""
 
     texts: dict[str, bytes]
     limits: list[tuple[int, float]] = field(default_factory=list)
+    made: Parser | None = None
+    file: str | None = None
 
     def parser(self) -> Parser:
-        key = hashlib.sha256(repr(sorted(self.texts.items())).encode()).hexdigest()
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser.of(self.texts)
-        return _parsers[key]
+        if self.made is None:
+            self.made = Parser.of(self.texts)
+        if self.file is None or len(self.made.table):
+            return self.made
+        if self.file not in _tables:
+            _tables.clear()
+            _tables[self.file] = np.memmap(SparkFiles.get(self.file), np.int32, "r")
+        return replace(self.made, table=_tables[self.file])
+
+    def publish(self, spark: SparkSession) -> Model:
+        """A model to travel with the tasks: without its tables, which lie in a file."""
+        parser = self.parser()
+        if not len(parser.table):
+            return self
+        name = f"language-{uuid.uuid4().hex}"
+        path = os.path.join(shared_dir(spark), name)
+        write_bytes(spark, path, parser.table.tobytes())
+        spark.sparkContext.addFile(path)
+        return Model(self.texts, self.limits, replace(parser, table=np.zeros(0, np.int32)), name)
 
     def limit(self, lens: np.ndarray) -> np.ndarray:
-        out = np.full(len(lens), np.inf)
-        for least, most in self.limits:
-            out = np.where(lens >= least, most, out)
-        return out
+        """Of texts of these lengths; between two lengths that were fitted, by the line between them."""
+        if not self.limits:
+            return np.full(len(lens), np.inf)
+        return np.interp(lens, *zip(*sorted(self.limits), strict=True))
 
 
 @dataclass
@@ -252,16 +266,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, documents: int = DO
         texts[lang] = b"\0".join(kept)
     model = Model(texts)
     if held:
-        found = judge(model, np.frombuffer(b"".join(held), np.uint8), np.r_[0, np.cumsum([len(x) for x in held])])
-        worst = float(found.bits.max())
-        # A shorter text has fewer long matches to average over: below 200 symbols only what matches nowhere is rejected.
-        model.limits = [(200, MARGIN * worst)]
+        worst = lambda parts: float(judge(model, np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(x) for x in parts])]).bits.max())
+        model.limits = [(200, MARGIN * worst(held))]
+        for n in SHORT:
+            pieces = [part[a : a + n] for part in held for a in range(0, len(part) - n + 1, n)]
+            if pieces:
+                model.limits.append((n, max(NEAR * worst(pieces), model.limits[0][1])))
     return model
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
     """One row of SCHEMA for each document."""
     names = sorted(model.texts)
+    model = model.publish(docs.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +289,6 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
                 mean = np.where(v.phrases > 0, v.symbols / np.maximum(1, v.phrases), 0.0)
                 cols = [batch.column(0).slice(lo, hi - lo), language, pa.array(v.phrases), pa.array(v.symbols), pa.array(v.bits), pa.array(v.margin), pa.array(mean), pa.array(v.accepted)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "language", "phrases", "symbols", "bits", "margin", "mean_match", "accepted"])
-        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(parse, SCHEMA)
 
@@ -280,6 +296,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
 def accept(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that have an accepted language, with all their columns."""
     place = docs.columns.index("text")
+    model = model.publish(docs.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,6 +304,5 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
             mask = [judge(model, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).accepted for lo, hi in tv.slices(off)]
             if mask:
                 yield batch.filter(pa.array(np.concatenate(mask)))
-        forget()
 
     return docs.mapInArrow(parse, docs.schema)

@@ -47,3 +47,17 @@ def test_edges(spark, sf):
     assert x.detect(edges.empty(spark), model).count() == 0 and x.accept(edges.empty(spark), model).count() == 0
     none = x.train(edges.empty(spark))
     assert not any(r.accepted for r in x.detect(docs, none).collect())
+
+
+def test_short_texts(spark, sf):
+    """Junk of any length is rejected, cuts of labelled text are not."""
+    import random
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = x.train(docs.where("doc_id % 2 = 0"))
+    r = random.Random(3)
+    junk = [(k, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for k, n in enumerate([20, 30, 60, 100, 150, 190, 250] * 30)]
+    assert x.detect(spark.createDataFrame(junk, "doc_id long, text string"), model).where("accepted").count() <= 4
+    texts = [t.text for t in docs.where("doc_id % 2 = 1 and length(text) > 400 and text rlike '^[^0-9$]*$'").orderBy("doc_id").limit(80).collect()]
+    cuts = [(k, t[a : a + n]) for k, t in enumerate(texts) for a, n in ((7, 12), (50, 30), (100, 80), (150, 150))]
+    assert x.detect(spark.createDataFrame(cuts, "doc_id long, text string"), model).where("not accepted").count() <= 0.03 * len(cuts)
