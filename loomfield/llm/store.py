@@ -4,7 +4,7 @@ A rolling hash over WINDOW ids cuts each document's id stream where its low bits
 ids at the earliest and MOST at the latest; so an insertion changes the chunks around it only. A
 chunk's address is the BLAKE2b digest of its little-endian ids, 16 or 32 bits wide by the size of the vocabulary.
 Each distinct chunk is stored once. A document's recipe is the row of its digests, with the Merkle root
-over them; `manifest` carries the tree on over documents up to one root for the corpus.
+over them; `manifest` carries the tree on over documents up to one root for the corpus, stored with them.
 
 `verify` recomputes every stored chunk's digest and every recipe's root, and looks up every digest of
 every recipe: a document is verified if all its chunks are there, intact, and as long as it in sum, which proves its
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free_shuffles, release, shared_dir, texts
+from .common import free_shuffles, materialise, release, shared_dir, texts
 from .pieces import SLICE, Pieces, encoder
 
 WINDOW, LEAST, MOST, BITS = 32, 64, 1024, 8
 DIGEST = 16
 #: Digests that a task remembers as sent; beyond, it may send a chunk again, which is dropped later.
 REMEMBERED = 500_000
+#: Documents in a bucket of the manifest, about, and how many bits of a node's number a level takes away.
+BUCKET, FANOUT = 2_048, 10
 
 _P = 0xA0761D6478BD642F
 _P_INVERSE = pow(_P, -1, 2**64)
@@ -152,6 +154,7 @@ def cut(docs: DataFrame, model: Pieces) -> DataFrame:
 class Store:
     chunks: DataFrame  # digest, n, payload
     recipes: DataFrame  # doc_id, n_tokens, recipe, root
+    tree: DataFrame  # height, number, documents, root
 
 
 def build(docs: DataFrame, model: Pieces) -> Store:
@@ -164,7 +167,8 @@ def build(docs: DataFrame, model: Pieces) -> Store:
     unique.write.partitionBy("chunk").option("compression", "zstd").parquet(path)
     free_shuffles(docs.sparkSession)
     held = docs.sparkSession.read.schema(_CUT + ", chunk boolean").parquet(path)
-    return Store(held.where("chunk").select("digest", "n", "payload"), held.where("not chunk").select("doc_id", "n_tokens", "recipe", "root"))
+    recipes = held.where("not chunk").select("doc_id", "n_tokens", "recipe", "root")
+    return Store(held.where("chunk").select("digest", "n", "payload"), recipes, manifest(recipes))
 
 
 def _intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +180,12 @@ def _intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [split(x.as_py()) for x in batch.column("recipe")]
-        roots = [merkle(p) == r.as_py() for p, r in zip(parts, batch.column("root"), strict=True)]
-        cols = [batch.column("doc_id"), batch.column("n_tokens"), batch.column("root"), batch.column("recipe"), pa.array(parts, pa.list_(pa.binary())), pa.array(roots, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "root", "recipe", "digests", "rooted"])
+        roots = [merkle(p) for p in parts]
+        cols = [batch.column("doc_id"), batch.column("n_tokens"), batch.column("root"), batch.column("recipe"), pa.array(parts, pa.list_(pa.binary())), pa.array(roots, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "root", "recipe", "digests", "made"])
 
 
-_UNPACKED = "doc_id long, n_tokens int, root binary, recipe binary, digests array<binary>, rooted boolean"
+_UNPACKED = "doc_id long, n_tokens int, root binary, recipe binary, digests array<binary>, made binary"
 
 
 def _steps(recipes: DataFrame) -> DataFrame:
@@ -189,14 +193,31 @@ def _steps(recipes: DataFrame) -> DataFrame:
 
 
 def verify(store: Store) -> DataFrame:
-    """doc_id, n_tokens, n_chunks, recipe, root (hexadecimal), verified; for each recipe."""
+    """doc_id, n_tokens, n_chunks, recipe, root and corpus_root (hexadecimal), verified; for each recipe.
+
+    Verified is a document whose chunks are all there, intact, and as long as it in sum, whose recipe has its root, and in whose bucket of the manifest the
+    roots made anew from all recipes are the bucket's; and none if the manifest's upper levels don't follow from its lowest.
+    """
     held = store.chunks.select("digest", "n", "payload").mapInArrow(_intact, "digest binary, n int, intact boolean")
     steps = _steps(store.recipes)
     wanted = steps.select("doc_id", "root", F.explode("digests").alias("digest")).join(held, "digest", "left")
     seen = wanted.groupBy("doc_id", "root").agg(F.count("*").alias("c"), F.sum("n").alias("length"), F.min(F.coalesce("intact", F.lit(False))).alias("intact"))
     out = steps.join(seen, ["doc_id", "root"], "left")
-    whole = (F.size("digests") == F.coalesce("c", F.lit(0))) & (F.coalesce("length", F.lit(0)) == F.col("n_tokens")) & F.coalesce("intact", F.lit(True)) & F.col("rooted")
-    return out.select("doc_id", "n_tokens", F.size("digests").alias("n_chunks"), "recipe", F.lower(F.hex("root")).alias("root"), whole.alias("verified"))
+    whole = (F.size("digests") == F.coalesce("c", F.lit(0))) & (F.coalesce("length", F.lit(0)) == F.col("n_tokens")) & F.coalesce("intact", F.lit(True)) & (F.col("made") == F.col("root"))
+    buckets = buckets_for(store.recipes.count())
+    lowest = store.tree.where("height = 0")
+    top = store.tree.orderBy(F.desc("height")).first()
+    level, height = lowest, 0
+    while height < top.height:
+        height += 1
+        level = _parents(level, height)
+    again = level.first()
+    sound = again is not None and again.root == top.root
+    known = lowest.select("number", F.col("root").alias("known"))
+    made = leaves(steps.select("doc_id", F.col("made").alias("root")), buckets).select("number", F.col("root").alias("anew"))
+    good = known.join(made, "number").where("known = anew").select("number", F.lit(sound).alias("listed"))
+    out = out.withColumn("number", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).join(good, "number", "left")
+    return out.select("doc_id", "n_tokens", F.size("digests").alias("n_chunks"), "recipe", F.lower(F.hex("root")).alias("root"), F.lit(top.root).alias("corpus_root"), (whole & F.coalesce("listed", F.lit(False))).alias("verified"))
 
 
 def reconstruct(store: Store, model: Pieces) -> DataFrame:
@@ -214,11 +235,33 @@ def reconstruct(store: Store, model: Pieces) -> DataFrame:
     return store.recipes.select("doc_id", "root").join(parts, ["doc_id", "root"], "left").mapInArrow(ids, "doc_id long, root binary, ids array<int>")
 
 
-def manifest(recipes: DataFrame, buckets: int = 4096) -> DataFrame:
-    """bucket, documents, root: the roots of the documents of each bucket hashed in order of doc_id and root; bucket -1 is the corpus, over all buckets. The two levels keep each group small."""
-    leaf = recipes.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", F.lower(F.hex("root")).alias("root"))
-    level = leaf.groupBy("bucket").agg(F.count("*").alias("documents"), F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("rows"))
-    level = level.select("bucket", "documents", F.sha2(F.concat_ws("|", F.transform("rows", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["root"]))), 256).alias("root"))
-    top = level.agg(F.sum("documents").alias("documents"), F.sort_array(F.collect_list(F.struct("bucket", "root"))).alias("rows"))
-    top = top.select(F.lit(-1).alias("bucket"), F.coalesce("documents", F.lit(0)).alias("documents"), F.sha2(F.concat_ws("|", F.transform("rows", lambda x: x["root"])), 256).alias("root"))
-    return level.unionByName(top)
+def _parents(level: DataFrame, height: int) -> DataFrame:
+    """The nodes above: those whose numbers differ in the last FANOUT bits only are one, their roots hashed in order."""
+    up = level.groupBy(F.shiftright("number", FANOUT).alias("number")).agg(F.sum("documents").alias("documents"), F.sort_array(F.collect_list(F.struct("number", "root"))).alias("rows"))
+    return up.select(F.lit(height).alias("height"), "number", "documents", F.sha2(F.concat_ws("|", F.transform("rows", lambda x: x["root"])), 256).alias("root"))
+
+
+def leaves(recipes: DataFrame, buckets: int) -> DataFrame:
+    """Lowest level of the manifest: the roots of the documents of each bucket, hashed in order of doc_id and root. The buckets' number is a power of two and bounds the groups."""
+    leaf = recipes.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("number"), "doc_id", F.lower(F.hex("root")).alias("root"))
+    level = leaf.groupBy("number").agg(F.count("*").alias("documents"), F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("rows"))
+    return level.select(F.lit(0).alias("height"), "number", "documents", F.sha2(F.concat_ws("|", F.transform("rows", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["root"]))), 256).alias("root"))
+
+
+def buckets_for(n: int) -> int:
+    """Buckets of some thousand of n documents at most."""
+    return 1 << max(0, (n // BUCKET).bit_length())
+
+
+def manifest(recipes: DataFrame, buckets: int | None = None) -> DataFrame:
+    """height, number, documents, root: a tree over the documents, from buckets of them (height 0) in steps of 2^FANOUT to one node for the corpus, the highest."""
+    buckets = buckets or buckets_for(recipes.count())
+    level = materialise(leaves(recipes, buckets))
+    out, height, width = level, 0, buckets
+    while width > 1 or not height:
+        height, width = height + 1, width >> FANOUT
+        level = materialise(_parents(level, height))
+        out = out.unionByName(level)
+    if level.isEmpty():
+        return recipes.sparkSession.createDataFrame([(height, 0, 0, hashlib.sha256(b"").hexdigest())], "height int, number long, documents long, root string")
+    return out

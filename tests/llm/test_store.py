@@ -35,9 +35,9 @@ def test_damage_is_seen(spark, model):
     first = s.recipes.where("doc_id = 1").first()
     bad = store.split(first.recipe)[0]
     broken = s.chunks.withColumn("payload", F.when(F.col("digest") == F.lit(bytes(bad)), F.concat(F.substring("payload", 1, 2), F.substring("payload", 5, 9999), F.lit(b"\0\0"))).otherwise(F.col("payload")))
-    assert {r.doc_id: r.verified for r in store.verify(store.Store(broken, s.recipes)).collect()} == {1: False, 2: True}
+    assert {r.doc_id: r.verified for r in store.verify(store.Store(broken, s.recipes, s.tree)).collect()} == {1: False, 2: True}
     gone = s.chunks.where(F.col("digest") != F.lit(bytes(bad)))
-    assert {r.doc_id: r.verified for r in store.verify(store.Store(gone, s.recipes)).collect()} == {1: False, 2: True}
+    assert {r.doc_id: r.verified for r in store.verify(store.Store(gone, s.recipes, s.tree)).collect()} == {1: False, 2: True}
 
 
 def test_cuts_keep_their_bounds():
@@ -48,7 +48,7 @@ def test_cuts_keep_their_bounds():
 
 def test_manifest_follows_the_content(spark, model):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string")
-    root = lambda d: store.manifest(store.build(d, model).recipes, 8).where("bucket = -1").first().root
+    root = lambda d: store.manifest(store.build(d, model).recipes, 8).orderBy(F.desc("height")).first().root
     assert root(docs) == root(docs.repartition(3)) != root(docs.where("doc_id < 19"))
 
 
@@ -59,3 +59,21 @@ def test_edges(spark, model):
     assert {r.doc_id: r.n_chunks for r in rows}[1] == 0
     assert store.verify(store.build(edges.empty(spark), model)).count() == 0
     assert store.manifest(store.build(edges.empty(spark), model).recipes).count() == 1
+
+
+def test_a_manifest_that_does_not_fit_is_seen(spark, model, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET", 2)
+    monkeypatch.setattr(store, "FANOUT", 2)
+    docs = spark.createDataFrame([(i, f"text number {i} " * 40) for i in range(40)], "doc_id long, text string")
+    s = store.build(docs, model)
+    rows = store.verify(s).collect()
+    assert all(r.verified for r in rows) and len({r.corpus_root for r in rows}) == 1
+    heights = {r.height: r.n for r in s.tree.groupBy("height").agg(F.count("*").alias("n")).collect()}
+    assert max(heights) >= 2 and heights[max(heights)] == 1
+    assert s.tree.orderBy(F.desc("height")).first().documents == 40
+    other = s.tree.withColumn("root", F.when((F.col("height") == 0) & (F.col("number") == 1), F.lit("0" * 64)).otherwise(F.col("root")))
+    assert not any(r.verified for r in store.verify(store.Store(s.chunks, s.recipes, other)).collect())
+    first = s.recipes.where("doc_id = 3").first()
+    swapped = s.recipes.where("doc_id <> 3").unionByName(s.recipes.where("doc_id = 4").withColumn("doc_id", F.lit(3).cast("long")))
+    bad = {r.doc_id for r in store.verify(store.Store(s.chunks, swapped, s.tree)).collect() if not r.verified}
+    assert 3 in bad and len(bad) < 40 and first is not None
