@@ -1,8 +1,8 @@
 """Operator 4: secrets, by a character convolutional network over every candidate and its context.
 
 Candidates are ASCII runs of at least RUN letters, digits, +, /, _ and - that hold a letter and a digit (`run`), values
-of six or more characters assigned to a name such as token or password (`assigned`), and headers of
-private key blocks (`block`). Each is read with BEFORE bytes before and AFTER bytes after it, in
+of six or more characters assigned to a name such as token or password (`assigned`), and private
+key blocks from the header to the end line, or to the last line of base64 where there is none (`block`). Each is read with BEFORE bytes before and AFTER bytes after it, in
 windows that move on over a long one, of which the most suspect counts.
 
 The network (byte embedding, two convolutions, maxima over the window, one output) is trained here in
@@ -51,6 +51,21 @@ _RUN[[ord(c) for c in "+/_-"]] = True
 _NAME = re.compile(rb"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?)[\"']?\s{0,2}$", re.I)
 _VALUE = re.compile(rb"\s{0,2}[\"'`]?([^\s\"'`<>,;]{6,})")
 _BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(rb"-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
+#: Lines of a key without an end, and what is between its header and its end: armour headers, then lines of base64; line ends may be written as escapes.
+_LINES = re.compile(rb"(?:(?:\\[rn]|\s){1,4}[A-Za-z0-9+/=]{16,})*(?:(?:\\[rn]|\s){1,4}[A-Za-z0-9+/]{1,15}={1,2})?")
+_BODY = re.compile(rb"(?:(?:\\[rn]|\s)*[A-Za-z-]{1,30}: [^\r\n\\]{0,80})*(?:(?:\\[rn]|\s)*[A-Za-z0-9+/=]{1,4096})*(?:\\[rn]|\s)*")
+
+
+def _block_end(data: bytes, header: int, row: int) -> int:
+    """Where a private key whose header ends at `header` ends, in a text that ends at `row`: after its end line, or its last line of base64."""
+    m = _END.search(data, header, row)
+    if m:
+        body = data[header : m.start()]
+        # Prose matches as well, but has few long stretches.
+        if _BODY.fullmatch(body) and sum(len(x) for x in re.findall(rb"[A-Za-z0-9+/=]{16,}", body)) >= 0.5 * len(body.strip()):
+            return m.end()
+    return _LINES.match(data, header, row).end()
 
 
 def candidates(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -82,10 +97,16 @@ def candidates(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, in
             m = _VALUE.match(data, p + 1, int(off[r + 1]))
             if m:
                 assigned.append(m.span(1))
+    blocks: list[tuple[int, int]] = []
     for m in _BLOCK.finditer(data):
         r = int(np.searchsorted(off, m.start(), side="right")) - 1
         if m.end() <= off[r + 1]:
-            spans[m.span()] = 2
+            blocks.append((m.start(), _block_end(data, m.end(), int(off[r + 1]))))
+    if blocks:
+        # What is within a key is part of it.
+        within = lambda a, b: any(x <= a and b <= y for x, y in blocks)
+        spans = {x: k for x, k in spans.items() if not within(*x)} | {x: 2 for x in blocks}
+        assigned = [x for x in assigned if not within(*x)]
     out = [(a, b, k) for (a, b), k in spans.items() if not any(a < y and x < b for x, y in assigned)] if assigned else [(a, b, k) for (a, b), k in spans.items()]
     out += [(a, b, 1) for a, b in sorted(set(assigned))]
     return [(int(np.searchsorted(off, a, side="right")) - 1, a, b, k) for a, b, k in sorted(out)]
