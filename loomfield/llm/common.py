@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["discard", "free_shuffles", "materialise", "one_row", "release", "shared_dir", "table", "texts", "tokenizer", "write_bytes"]
+__all__ = ["discard", "free_shuffles", "materialise", "one_row", "shared_dir", "table", "texts", "tokenizer", "write_bytes"]
 
 
 def discard(df: DataFrame) -> None:
@@ -37,17 +37,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release() -> None:
-    """Give a Python worker's free memory back to the machine: it is used again for the next stage, beside others."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import release, texts
+from .common import texts
 
 TERMS, SKETCH, RANK = 8192, 256, 64
 PASSAGE, BLOCK = 32, 8
@@ -43,6 +43,8 @@ ITEMS_AT_ONCE = 200_000
 EXACT = 16
 #: Items of a class that are bounded at a time, and tables of such items that a task keeps.
 TOGETHER, KEPT = 256, 64
+#: Bytes of text whose counts are added to the sketch at a time.
+FIT_SLICE = 1 << 20
 #: First step of the sum over tasks, so that no group holds the sketch of very many of them.
 FAN_IN = 32
 
@@ -56,7 +58,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     passages = 0
     for batch in batches:
         raw, off = tv.strings(batch.column(0))
-        for lo, hi in tv.slices(off):
+        for lo, hi in tv.slices(off, FIT_SLICE):
             w = tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             if not len(w.h):
                 continue
@@ -370,7 +372,6 @@ def _finder(items: Items, space: Space, doc: int, text: int):
                 row, item, cosine, share, reply = search(items, space, w)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(items.ids[item]), pa.array(cosine), pa.array(share), pa.array(reply)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
-        release()
 
     return find
 
@@ -408,7 +409,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, hi in tv.slices(off):
                     mask[search(items, space, tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))[0] + lo] = False
                 yield batch.filter(pa.array(mask))
-            release()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import discard, free_shuffles, materialise, one_row, release, texts
+from .common import discard, free_shuffles, materialise, one_row, texts
 
 SHINGLE = 5
 #: Containment from which a document belongs to a larger one.
@@ -138,7 +138,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             binary = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer((np.arange(len(sig) + 1) * 4 * HASHES).astype(np.int32)), pa.py_buffer(sig.tobytes())])
             ids = batch.column(0).slice(lo, hi - lo).filter(pa.array(some))
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts[some].astype(np.int32)), pa.array(tv.signed(f1)), pa.array(tv.signed(f2)), binary], ["doc_id", "n", "f1", "f2", "sig"])
-    release()
 
 
 def _sigs(col: pa.Array) -> np.ndarray:
@@ -165,7 +164,6 @@ def _keys(bands: dict[int, tuple[int, int]]):
                 key = np.concatenate(keys, axis=1)
                 width = key.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(tv.signed(key.ravel())), pa.array(np.repeat(part.column(0).to_numpy(), width)), pa.array(np.repeat(part.column(1).to_numpy(), width))], ["key", "doc_id", "n"])
-        release()
 
     return emit
 
@@ -205,7 +203,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.r_[0, np.cumsum(counts)] * 4
             col = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(value.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), col], ["id", "shingles"])
-    release()
 
 
 def _contain(t: float):
@@ -219,7 +216,6 @@ def _contain(t: float):
             value = np.array(out)
             keep = pa.array(value >= t)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("q", "x", "nx")] + [pa.array(value).filter(keep)], ["q", "x", "nx", "containment"])
-        release()
 
     return exact
 
@@ -236,7 +232,6 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, counts = shingles(tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
             nth = np.arange(len(value)) - np.repeat(np.cumsum(counts) - counts, counts)
             yield pa.RecordBatch.from_arrays([pa.array(tv.signed(value[nth < SAMPLE]))], ["key"])
-    release()
 
 
 def _filter(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -273,7 +268,6 @@ def index(docs: DataFrame, n: int) -> DataFrame:
                 held = (table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                 sums = np.r_[0, np.cumsum(held)][np.r_[0, np.cumsum(counts)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int32)), tv.as_list(tv.signed(value[held]), np.diff(sums), pa.int64())], ["doc_id", "n", "keys"])
-        release()
 
     return materialise(docs.mapInArrow(emit, "doc_id long, n int, keys array<long>").where("n > 0"))
 

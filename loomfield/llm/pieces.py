@@ -14,7 +14,7 @@ is that of a search over the whole text's lattice, whatever its length.
 
 Alternatives are edits of the best ids: at, drop and ids, with `at` counted in the best ids. Equal scores
 stand in the order in which they are found; the set of scores is exact. Decoding joins the pieces' bytes. Null and empty texts have no ids, no
-alternatives and score 0. A text's U+2581 counts as the blank it stands for, so it decodes as a blank. Repeated rows each get their result; extra columns are ignored; an
+alternatives and score 0. A model's normaliser is applied first, and its dummy prefix is as the model says; decoding then gives the normalised text. A text's U+2581 counts as the blank it stands for, so it decodes as a blank. Repeated rows each get their result; extra columns are ignored; an
 empty table gives an empty one.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .common import release, texts
+from .common import texts
 
 #: Added to the rank of a merge model's piece.
 ZIPF = 10.0
@@ -56,11 +56,21 @@ class Pieces:
     byte_ids: list[int]
     size: int
     prefix: bool = True
+    #: The model, if its normaliser changes texts, and whether it squeezes blanks.
+    rules: tuple[bytes, bool] | None = None
 
     @staticmethod
     def load(path: str, zipf: float | None = None) -> Pieces:
         import sentencepiece
 
+        with open(path, "rb") as f:
+            proto = f.read()
+        spec: dict[int, int | bytes] = {}
+        for field, value in _fields(proto):
+            if field == 3 and isinstance(value, bytes):
+                spec |= dict(_fields(value))
+        squeeze = bool(spec.get(4, 1))
+        rules = (proto, squeeze) if squeeze or spec.get(2) else None
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         bytes_ = [-1] * 256
@@ -77,7 +87,32 @@ class Pieces:
         if zipf is not None:
             normal = [(t, i, -float(np.log(-s + zipf))) for t, i, s in normal]
         unknown = next((i for i in range(n) if sp.is_unknown(i)), 0)
-        return Pieces(normal, [unknown if x < 0 else x for x in bytes_], n)
+        return Pieces(normal, [unknown if x < 0 else x for x in bytes_], n, bool(spec.get(3, 1)), rules)
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}[key & 7] if key & 7 != 2 else varint()
+        yield key >> 3, data[at : at + size]
+        at += size
 
 
 class Encoder:
@@ -115,6 +150,20 @@ class Encoder:
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.byte_ids = np.array(model.byte_ids, np.int32)
         self.known = _nothing()
+        self.normaliser = None
+        if model.rules:
+            import sentencepiece
+
+            proto, squeeze = model.rules
+            self.normaliser = sentencepiece.SentencePieceNormalizer(model_proto=proto, add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=squeeze)
+
+    def prepared(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts as the model's normaliser leaves them."""
+        if self.normaliser is None:
+            return raw, off
+        data = raw.tobytes()
+        rows = [self.normaliser.normalize(data[a:b].decode()).replace("▁", " ").encode() for a, b in zip(off, off[1:], strict=False)]
+        return np.frombuffer(b"".join(rows), np.uint8), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
 
     def forward(self, s: str) -> list[list[tuple[int, float]]]:
         """Arcs (start, piece or -1, score) into each place of s."""
@@ -303,6 +352,7 @@ class Encoder:
         return u, np.flatnonzero(new), at
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> Encoded:
+        raw, off = self.prepared(raw, off)
         u, start, at = self.parts(raw, off)
         size = np.diff(np.r_[start, len(u)])
         x = tv.mix(u.astype(tv.U) + tv.U(1))
@@ -418,7 +468,7 @@ _encoders: dict[int, Encoder] = {}
 
 def encoder(model: Pieces) -> Encoder:
     """The encoder of a model, made once in each process."""
-    key = hash((model.size, model.prefix, tuple(model.byte_ids), tuple(model.pieces)))
+    key = hash((model.size, model.prefix, model.rules, tuple(model.byte_ids), tuple(model.pieces)))
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(model)
@@ -449,7 +499,7 @@ def encode(docs: DataFrame, model: Pieces, n: int = N_BEST) -> DataFrame:
         for batch in batches:
             raw_all, off_all = tv.strings(batch.column(1))
             for lo, hi in tv.slices(off_all, SLICE):
-                raw, off = raw_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo]
+                raw, off = enc.prepared(raw_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo])
                 e = enc.encode(raw, off)
                 at = e.offsets()
                 other = alternatives(enc, e, n, known)
@@ -462,7 +512,6 @@ def encode(docs: DataFrame, model: Pieces, n: int = N_BEST) -> DataFrame:
                     pa.array(_same(enc, e.ids, at, raw, off)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "score", "alternatives", "round_trip"])
-        release()
 
     return texts(docs).mapInArrow(run, ENCODED)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free_shuffles, materialise, release, shared_dir, texts
+from .common import materialise, shared_dir, texts
 from .pieces import SLICE, Pieces, encoder
 
 WINDOW, LEAST, MOST, BITS = 32, 64, 1024, 8
@@ -145,7 +145,6 @@ def cut(docs: DataFrame, model: Pieces) -> DataFrame:
                     _binary(nothing * k + [x[2] for x in chunks]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "recipe", "root", "digest", "n", "payload"])
-        release()
 
     return texts(docs).mapInArrow(run, _CUT)
 
@@ -165,7 +164,6 @@ def build(docs: DataFrame, model: Pieces) -> Store:
     unique = rows.withColumn("chunk", F.col("digest").isNotNull()).withColumn("key", key).dropDuplicates(["chunk", "key"]).drop("key")
     path = os.path.join(shared_dir(docs.sparkSession), f"store-{uuid.uuid4().hex}")
     unique.write.partitionBy("chunk").option("compression", "zstd").parquet(path)
-    free_shuffles(docs.sparkSession)
     held = docs.sparkSession.read.schema(_CUT + ", chunk boolean").parquet(path)
     recipes = held.where("not chunk").select("doc_id", "n_tokens", "recipe", "root")
     return Store(held.where("chunk").select("digest", "n", "payload"), recipes, manifest(recipes))

@@ -25,7 +25,7 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 #: Bytes of text handled at a time: bounds the memory of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 

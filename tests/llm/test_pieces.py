@@ -96,3 +96,21 @@ def test_edges(spark):
     for r in x.decode(out, model).collect():
         assert r.text == (text[r.doc_id] or "").replace("▁", " ")
     assert x.encode(edges.empty(spark), model).count() == 0
+
+
+def test_a_normaliser_and_no_prefix(spark, tmp_path):
+    """The given model with another normaliser: no dummy prefix, blanks squeezed."""
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        proto = f.read()
+    path = tmp_path / "m.model"
+    path.write_bytes(proto + bytes([0x1A, 4, 0x18, 0, 0x20, 1]))
+    model = x.Pieces.load(str(path))
+    assert not model.prefix and model.rules is not None
+    texts = ["  two  blanks and   more ", "plain text", "", "   ", "é  ünï"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = x.encode(df, model)
+    assert all(r.round_trip for r in coded.collect())
+    back = {r.doc_id: r.text for r in x.decode(coded, model).collect()}
+    assert [back[k] for k in range(5)] == ["two blanks and more", "plain text", "", "", "é ünï"]
+    same = x.Pieces.load(tokenizer("piece_bpe_32k.model"))
+    assert same.prefix and same.rules is None
