@@ -6,7 +6,7 @@ a removed one only gives its own away. One narrow projection: no shuffle and no
 
 Null keys become the key of an empty string prefixed by 'null'; equal keys always share a shard.
 Shards with weight 0 or less get nothing. Ties go to the lower shard number. An empty table gives an
-empty one. Columns of the input that clash with the output names are not read.
+empty one. A column of the input that has the name of the shard column is kept as NAME_given; `reshard` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -38,7 +38,12 @@ def shard(key: Column, weights: Mapping[int, float]) -> Column:
 
 
 def assign(df: DataFrame, key: str, weights: Mapping[int, float] | None = None, into: str = "shard") -> DataFrame:
-    """df with the column `into`."""
+    """df with the column `into`; one of that name in df becomes `into`_given."""
+    name = f"{into}_given"
+    while into in df.columns and name in df.columns:
+        name += "_"
+    df = df.withColumnRenamed(into, name)
+    key = name if key == into else key
     return df.withColumn(into, shard(key_of(F.col(key)), weights or WEIGHTS))
 
 

@@ -28,3 +28,13 @@ def test_edges(spark, tmp_path):
     assert x.reshard(edges.empty(spark), x.WEIGHTS, x.grown()).count() == 0
     x.write_shards(docs.drop("shard"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (None, "c", 9)], "doc_id long, shard string, shard_given int")
+    out = x.assign(df, "doc_id")
+    assert out.columns == ["doc_id", "shard_given_", "shard_given", "shard"] and sorted(r.shard_given_ for r in out.collect()) == ["a", "b", "c"]
+    by_shard = {r.shard_given_: r["shard"] for r in x.assign(df, "shard").collect()}
+    assert by_shard == {k: n for k, n in ((r.k, r.n) for r in df.select(df.shard.alias("k"), x.shard(x.key_of(df.shard), x.WEIGHTS).alias("n")).collect())}
+    x.write_shards(df, str(tmp_path / "s"))
+    assert sorted(r.shard_given_ for r in spark.read.parquet(str(tmp_path / "s")).collect()) == ["a", "b", "c"]
