@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomfield.llm import decontam, langid, neardup, pieces, secrets
-from loomfield.llm.common import shared_dir, table, tokenizer
+from loomfield.llm.common import discard, shared_dir, table, tokenizer
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done, docs = docs, spark.read.parquet(path)
+        if name != STAGES[0][0]:
+            discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -7,16 +7,27 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MANY = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ŋ": "ng", "Ŋ": "NG", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "€": "EUR", "™": "tm", "½": "1/2", "¼": "1/4", "¾": "3/4"}
+_MANY = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ŋ": "ng", "Ŋ": "NG", "ĳ": "ij", "Ĳ": "IJ", "…": "...", "€": "EUR", "™": "tm", "½": "1/2", "¼": "1/4", "¾": "3/4", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 _ONE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ĸ": "k", "ŧ": "t", "Ŧ": "T", "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "‐": "-", "×": "x", "·": ".", " ": " ", "«": "<", "»": ">"}
 
+#: Greek and Cyrillic letters, lower case; the upper ones follow.
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+_CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяєіїґўђјљњћџ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia ie i yi g u dj j lj nj c dz".split(), strict=True))
+for _letter, _latin in (_GREEK | _CYRILLIC).items():
+    for _a, _b in ((_letter, _latin), (_letter.upper(), _latin.capitalize())):
+        if len(_a) == 1:
+            (_ONE if len(_b) == 1 else _MANY).setdefault(_a, _b)
+
 
 def _folds() -> tuple[str, str, str]:
     """Letters that become one ASCII letter, what they become, and marks that vanish."""
     one = dict(_ONE)
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
+    # Latin, Greek and Cyrillic with marks, letters in circles, of full width and for mathematics, digits of other scripts.
+    for code in [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x660, 0x66A), *range(0x6F0, 0x6FA), *range(0x966, 0x970), *range(0x1E00, 0x2000), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0x2460, 0x2500), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]:
         c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        base = "".join(one.get(x, x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(base) == 1 and base.isdigit() and not base.isascii():
+            base = str(unicodedata.digit(base))
         if c not in _MANY and c not in one and len(base) == 1 and base.isascii():
             one[c] = base
     return "".join(one), "".join(one.values()), "".join(map(chr, range(0x300, 0x370)))
@@ -27,9 +38,12 @@ _PUNCT = r"[!-/:-@\[-`{-~]+"
 
 
 def ascii_fold(c: Column) -> Column:
-    """Latin letters without marks, ligatures spelled out; other scripts stay as they are. All in the JVM."""
+    """Latin letters without marks, ligatures spelled out, Greek and Cyrillic in Latin letters, digits of other scripts; what else there is stays. All in the JVM."""
+    spelled = c
     for a, b in _MANY.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    # Most texts have nothing to be spelled out.
+    c = F.when(c.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(c)
     return F.translate(c, _FROM + _MARKS, _TO)
 
 

@@ -14,10 +14,13 @@ from ..operators import text_search, vector_search
 from ..schema import DataError
 from ..sources import items as sources
 from ..sources import tensors
-from .embedders import PROVIDERS, Hashing, Served
+from ..storage import exists, shared_dir, write_file
+from .embedders import PROVIDERS, Clip, Hashing, Images, Sentences, Served
 from .service import KINDS, Engine
 
 DEFAULTS = {"metric": "cosine-normalized", "precision": "bfloat16", "connectivity": 16, "expansion_add": 128, "expansion_search": 64}
+#: Vectors from which on an index has cells.
+MANY = 10_000
 SERVER = {"host": "127.0.0.1", "port": 8080, "cors": False, "max_input_size": "100MB"}
 
 
@@ -69,8 +72,16 @@ def model(spec: dict):
     if spec["type"] == "hashing":
         return Hashing(dims or 64)
     if spec["type"] == "vllm":
-        return Served(spec["endpoint"], spec["model"], dims or spec["dims"], spec.get("max_input_len"), spec.get("batch_size", 16))
-    raise DataError(f"models of type {spec['type']} need libraries that aren't here")
+        return Served(spec["endpoint"], spec["model"], dims or spec.get("dims"), spec.get("max_input_len"), spec.get("batch_size", 16))
+    kind = {"sentence-transformer": Sentences, "huggingface-image": Images, "open-clip": Clip}[spec["type"]]
+    return kind(spec["model"], dims, spec.get("device", "cpu"), spec.get("batch_size", 16))
+
+
+def guarded(fields: DataFrame, modality: str) -> DataFrame:
+    """fields (with a type), failing when read if one is of a type that a model of this modality doesn't take."""
+    takes = {"text": ["text"], "image": ["image", "image-inline"]}.get(modality, ["text", "image", "image-inline"])
+    wrong = F.raise_error(F.concat(F.lit(f"a model for {modality} can't embed a field of type "), F.col("type"), F.lit(" of "), F.col("identifier"))).cast("boolean")
+    return fields.where(F.when(F.col("type").isin(takes), F.lit(True)).otherwise(wrong))
 
 
 @dataclass
@@ -92,17 +103,16 @@ class Pipeline:
             raise DataError("either a query or a path")
         if source["type"] == "sparql":
             return sources.read_results(self.spark, source["path"], source.get("format"), source["default_field_type"])
-        import tempfile
         import urllib.parse
+        import uuid
 
         from ..sources.remote import ACCEPT, fetch
 
         fmt = source.get("format", "json")
         body = fetch(source["endpoint"] + "?" + urllib.parse.urlencode({"query": source["query"]}), (source.get("headers") or {}) | {"Accept": ACCEPT[fmt]})
-        folder = source.get("staging") or tempfile.mkdtemp()
-        path = os.path.join(folder, f"answer.{fmt}")
-        with open(path, "wb") as f:
-            f.write(body)
+        # Into the shared folder, from which all executors read.
+        path = os.path.join(source.get("staging") or shared_dir(self.spark), f"answer-{uuid.uuid4().hex}.{fmt}")
+        write_file(self.spark, path, body)
         return sources.read_results(self.spark, path, fmt, source["default_field_type"])
 
     def items(self, name: str) -> DataFrame:
@@ -111,15 +121,28 @@ class Pipeline:
     def embed(self) -> dict[str, int]:
         out = {}
         for e in self.config.embeddings:
-            f = item_ops.fields(self.items(e["data"])).select("id", "field_idx", "value")
-            out[e["name"]] = vector_search.write_embedded(f, model(self._by("models", e["model"])), e["output"], self.spark)
+            embed = model(self._by("models", e["model"]))
+            f = guarded(item_ops.fields(self.items(e["data"])), embed.modality).select("id", "field_idx", "value")
+            out[e["name"]] = vector_search.write_embedded(f, embed, e["output"], self.spark)
         return out
 
     def index(self) -> None:
         for i in self.config.indices:
-            if i["type"] in ("keyword", "fuzzy", "full-text") and (self.force or not os.path.exists(i["output"])):
+            if i["type"] in ("keyword", "fuzzy", "full-text") and (self.force or not exists(self.spark, os.path.join(i["output"], "figures"))):
                 words = text.plain_tokens if i["type"] == "full-text" else text.tokens
                 text_search.build(self.items(i["data"]), words).save(i["output"], "overwrite")
+            elif i["type"] not in ("keyword", "fuzzy", "full-text") and (self.force or not exists(self.spark, os.path.join(i["output"], "figures"))):
+                options = DEFAULTS | (i.get("params") or {})
+                v = self._vectors(i)
+                few = v.limit(MANY + 1).count() <= MANY
+                vector_search.index_table(v, i["output"], options["metric"], options["precision"], cells=not few and options["precision"] != "binary")
+
+    def _vectors(self, i: dict) -> DataFrame:
+        made = any(e["name"] == i["embedding_data"] for e in self.config.embeddings)
+        source = self._by("embeddings", i["embedding_data"])["output"] if made else i["embedding_data"]
+        if source.endswith(".safetensors"):
+            return tensors.read_vectors(self.spark, source)[0].withColumnRenamed("pos", "field_idx")
+        return self.spark.read.parquet(source)
 
     def engines(self) -> list[Engine]:
         out = []
@@ -128,14 +151,9 @@ class Pipeline:
             if i["type"] in ("keyword", "fuzzy", "full-text"):
                 out.append(Engine(i["name"], i["type"], text_search.TextIndex.load(self.spark, i["output"]), self.items(i["data"]), description=i.get("description", "")))
                 continue
-            source = self._by("embeddings", i["embedding_data"])["output"] if any(e["name"] == i["embedding_data"] for e in self.config.embeddings) else i["embedding_data"]
-            if source.endswith(".safetensors"):
-                v = tensors.read_vectors(self.spark, source)[0].withColumnRenamed("pos", "field_idx")
-            else:
-                v = self.spark.read.parquet(source)
             embed = model(self._by("models", i["model"])) if "model" in i else None
             items = self.items(i["data"]) if "data" in i else None
-            out.append(Engine(i["name"], i["type"], vector_search.build(v, options["metric"], options["precision"]), items, embed, i.get("description", ""), options))
+            out.append(Engine(i["name"], i["type"], vector_search.load_table(self.spark, i["output"]), items, embed, i.get("description", ""), options))
         return out
 
     def run(self) -> list[Engine]:

@@ -35,6 +35,12 @@ class Engine:
     description: str = ""
     options: dict = field(default_factory=dict)
 
+    def takes(self, what: str) -> None:
+        """An error if queries of this modality can't be embedded by the index's model, or searched for by its words."""
+        has = "text" if self.kind in ("keyword", "fuzzy", "full-text") else getattr(self.embed, "modality", "text")
+        if has not in (what, "multimodal"):
+            raise BadRequest(f"index {self.name} takes {has}, no {what}")
+
     def by_text(self, queries: DataFrame, params: Params, allow: DataFrame | None = None) -> DataFrame:
         if self.kind in ("keyword", "fuzzy", "full-text"):
             f = {"keyword": text_search.keyword, "fuzzy": text_search.fuzzy, "full-text": text_search.full_text}[self.kind]
@@ -99,6 +105,8 @@ def request(spark: SparkSession, engine: Engine, body: str | dict, allow: DataFr
         mode = q.get("modality")
         if mode is not None and mode not in MODALITIES:
             raise BadRequest(f"unknown modality {mode}")
+        if kind == "value" and mode in ("text", "image", "image-base64"):
+            engine.takes("image" if mode.startswith("image") else "text")
         if kind == "identifier" or (kind == "value" and mode == "iri"):
             names.append((k, value))
         elif kind == "embedding":

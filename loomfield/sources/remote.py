@@ -33,10 +33,11 @@ def wait(attempt: int, retry_after: str | None) -> float:
         return BACKOFF * 2**attempt
 
 
-def fetch(url: str, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> bytes:
+def fetch(url: str, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep, data: bytes | None = None, timeout: float = 60) -> bytes:
+    """The answer to a GET, or to a POST of data; tried again where the server is busy."""
     for attempt in range(RETRIES + 1):
         try:
-            with opener(urllib.request.Request(url, headers=headers or {}), timeout=60) as answer:
+            with opener(urllib.request.Request(url, data, headers=headers or {}), timeout=timeout) as answer:
                 return answer.read()
         except urllib.error.HTTPError as e:
             if not should_retry(e.code) or attempt == RETRIES:

@@ -129,3 +129,18 @@ def test_prefixes_of_several_lengths(spark):
     inputs = spark.createDataFrame([("hel",), ("w",), ("worlds",), ("",), (None,), ("hello",)], "input string")
     assert sorted(r.input for r in keys.contains_prefix(k, inputs).collect()) == ["", "hel", "hello", "w"]
     assert keys.size(k).first()[:] == (3, False) and keys.size(k.limit(0)).first()[:] == (0, True)
+
+
+def test_vectors_of_a_file_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    from loomfield.sources import tensors
+
+    monkeypatch.setattr(tensors, "PART", 10 * 4 * 5)
+    x = np.random.default_rng(0).standard_normal((37, 5)).astype(np.float32)
+    path = str(tmp_path / "v.safetensors")
+    tensors.write_tensors(path, {"embedding": x, "id": (np.arange(37) // 2).astype(np.uint32)}, {"model": "m"})
+    df, meta = tensors.read_vectors(spark, path)
+    rows = df.orderBy("id", "pos").collect()
+    assert meta == {"model": "m"} and [(r.id, r.pos) for r in rows] == [(k // 2, k % 2) for k in range(37)]
+    assert np.array_equal(np.array([r.embedding for r in rows], np.float32), x)
+    tensors.write_tensors(path, {"embedding": x[:0]})
+    assert tensors.read_vectors(spark, path)[0].count() == 0
