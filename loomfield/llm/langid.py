@@ -181,7 +181,7 @@ _tables: dict[str, np.ndarray] = {}
 
 @dataclass
 class Model:
-    """Labelled text by language and the limit of bits by length. The tables are made once, on the driver; `publish` writes them to a file that every machine gets, and tasks map it."""
+    """Labelled text by language and the limit of bits by length. The tables are made once, on the driver; `publish` writes them to a file in the shared folder, and tasks map it."""
 
     texts: dict[str, bytes]
     limits: list[tuple[int, float]] = field(default_factory=list)
@@ -195,7 +195,9 @@ class Model:
             return self.made
         if self.file not in _tables:
             _tables.clear()
-            _tables[self.file] = np.memmap(SparkFiles.get(self.file), np.int32, "r")
+            # A shared folder that is a file system of the machine is mapped as it is; of another one, each executor has fetched its copy.
+            local = self.file.removeprefix("file://") if self.file.startswith(("file:/", "/")) else SparkFiles.get(os.path.basename(self.file))
+            _tables[self.file] = np.memmap(local.removeprefix("file:"), np.int32, "r")
         return replace(self.made, table=_tables[self.file])
 
     def publish(self, spark: SparkSession) -> Model:
@@ -203,11 +205,11 @@ class Model:
         parser = self.parser()
         if not len(parser.table):
             return self
-        name = f"language-{uuid.uuid4().hex}"
-        path = os.path.join(shared_dir(spark), name)
+        path = os.path.join(shared_dir(spark), f"language-{uuid.uuid4().hex}")
         write_bytes(spark, path, parser.table.tobytes())
-        spark.sparkContext.addFile(path)
-        return Model(self.texts, self.limits, replace(parser, table=np.zeros(0, np.int32)), name)
+        if not path.startswith(("file:/", "/")):
+            spark.sparkContext.addFile(path)
+        return Model(self.texts, self.limits, replace(parser, table=np.zeros(0, np.int32)), path)
 
     def limit(self, lens: np.ndarray) -> np.ndarray:
         """Of texts of these lengths; between two lengths that were fitted, by the line between them."""
