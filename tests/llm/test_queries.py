@@ -37,3 +37,11 @@ def test_stages_take_hard_rows(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == edges.documents(spark).columns
     assert docs.count() > 0
+
+
+def test_stages_take_an_empty_table(spark, sf):
+    docs = edges.empty(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == edges.empty(spark).columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 0
