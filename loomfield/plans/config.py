@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ..operators import text_search, vector_search
 from ..schema import DataError
 from ..sources import items as sources
 from ..sources import tensors
-from ..storage import exists, shared_dir, write_file
+from ..sources.remote import EndpointSource
+from ..storage import exists, shared_dir
 from .embedders import PROVIDERS, Clip, Hashing, Images, Sentences, Served
 from .service import KINDS, Engine
 
@@ -103,16 +105,14 @@ class Pipeline:
             raise DataError("either a query or a path")
         if source["type"] == "sparql":
             return sources.read_results(self.spark, source["path"], source.get("format"), source["default_field_type"])
-        import urllib.parse
-        import uuid
-
-        from ..sources.remote import ACCEPT, fetch
-
+        # An executor asks the endpoint and writes its answer to the shared folder, from which all read.
         fmt = source.get("format", "json")
-        body = fetch(source["endpoint"] + "?" + urllib.parse.urlencode({"query": source["query"]}), (source.get("headers") or {}) | {"Accept": ACCEPT[fmt]})
-        # Into the shared folder, from which all executors read.
+        self.spark.dataSource.register(EndpointSource)
+        asked = self.spark.read.format(EndpointSource.name()).option("url", source["endpoint"]).option("query", source["query"]).option("format", fmt)
+        for name, value in (source.get("headers") or {}).items():
+            asked = asked.option(f"header.{name}", value)
         path = os.path.join(source.get("staging") or shared_dir(self.spark), f"answer-{uuid.uuid4().hex}.{fmt}")
-        write_file(self.spark, path, body)
+        asked.load().select("body").write.text(path)
         return sources.read_results(self.spark, path, fmt, source["default_field_type"])
 
     def items(self, name: str) -> DataFrame:

@@ -34,11 +34,3 @@ def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-
-def write_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """A file of these bytes, on whatever file system the path names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
-    for a in range(0, len(data), 1 << 22):
-        out.write(bytearray(data[a : a + (1 << 22)]))
-    out.close()

@@ -145,3 +145,33 @@ def test_other_scripts(spark):
     cases = {"Москва": "moskva", "Щука ёж": "shchuka ezh", "Αθήνα": "athena", "ＡＢＣ ٣٤": "abc 34", "Größe ﬁn": "grosse fin", "日本": "日本"}
     rows = spark.createDataFrame(list(cases.items()), "a string, b string").select("a", text.normalize(F.col("a")).alias("got"), "b").collect()
     assert {r.a: r.got for r in rows} == cases
+
+
+def test_an_endpoint_is_read_by_an_executor(spark, tmp_path):
+    import http.server
+
+    asked = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers["X-Key"], self.headers["Accept"]))
+            rows = [{"id": {"type": "uri", "value": f"http://e/Q{k}"}, "value": {"type": "literal", "value": f"text {k}"}} for k in (1, 1, 2)]
+            body = json.dumps({"head": {"vars": ["id", "value"]}, "results": {"bindings": rows}}, indent=1).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, format, *args):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer) as listening:
+        threading.Thread(target=listening.serve_forever, daemon=True).start()
+        source = {"type": "sparql-query", "endpoint": f"http://127.0.0.1:{listening.server_address[1]}/q", "query": "SELECT *", "headers": {"X-Key": "k"}, "default_field_type": "text"}
+        c = Config.of({"datasets": [{"name": "d", "output": str(tmp_path / "d"), "source": source}]})
+        pipeline = Pipeline(spark, c)
+        assert pipeline.data() == {"d": True}
+        listening.shutdown()
+    rows = pipeline.items("d").orderBy("id").collect()
+    assert [(r.identifier, [f.value for f in r.fields]) for r in rows] == [("http://e/Q1", ["text 1", "text 1"]), ("http://e/Q2", ["text 2"])]
+    assert asked and all(a == ("/q?query=SELECT+%2A", "k", "application/sparql-results+json") for a in asked)
