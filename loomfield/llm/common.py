@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["discard", "free_shuffles", "materialise", "one_row", "shared_dir", "table", "texts", "tokenizer", "write_bytes"]
+__all__ = ["discard", "free_shuffles", "lean", "materialise", "one_row", "shared_dir", "table", "texts", "tokenizer", "write_bytes"]
 
 
 def discard(df: DataFrame) -> None:
@@ -37,6 +38,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow stage whose worker gives its free memory back to the machine at the end of each task: the worker stays for further tasks, beside the JVM's heap."""
+
+    def stage(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return stage
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

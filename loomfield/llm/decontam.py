@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import texts
+from .common import lean, texts
 
 TERMS, SKETCH, RANK = 8192, 256, 64
 PASSAGE, BLOCK = 32, 8
@@ -116,7 +116,7 @@ class Space:
 
 def fit(docs: DataFrame, rank: int = RANK) -> Space:
     """Latent space of all documents."""
-    parts = texts(docs).select("text").mapInArrow(_statistics, "part int, counts binary")
+    parts = texts(docs).select("text").mapInArrow(lean(_statistics), "part int, counts binary")
     some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).groupBy("part", "salt").applyInArrow(_add, "part int, counts binary")
     rows = {r.part: _unpack(bytes(r.counts)) for r in some.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()}
     if not rows:
@@ -388,7 +388,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, space: Space | None = No
     space = space or fit(docs)
     found = None
     for rows in _chunks(benchmark):
-        part = texts(docs).mapInArrow(_finder(Items.of(rows, space), space, 0, 1), FOUND)
+        part = texts(docs).mapInArrow(lean(_finder(Items.of(rows, space), space, 0, 1)), FOUND)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], FOUND)
@@ -410,5 +410,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     mask[search(items, space, tv.words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))[0] + lo] = False
                 yield batch.filter(pa.array(mask))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lean(keep), docs.schema)
     return docs

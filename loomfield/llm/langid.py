@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import shared_dir, write_bytes
+from .common import lean, shared_dir, write_bytes
 
 #: Bounds of the labelled sample for each language: bytes of symbols and documents looked at.
 PER_LANGUAGE, DOCUMENTS = 48_000, 60
@@ -292,7 +292,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [batch.column(0).slice(lo, hi - lo), language, pa.array(v.phrases), pa.array(v.symbols), pa.array(v.bits), pa.array(v.margin), pa.array(mean), pa.array(v.accepted)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "language", "phrases", "symbols", "bits", "margin", "mean_match", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(parse, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(parse), SCHEMA)
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
@@ -307,4 +307,4 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
             if mask:
                 yield batch.filter(pa.array(np.concatenate(mask)))
 
-    return docs.mapInArrow(parse, docs.schema)
+    return docs.mapInArrow(lean(parse), docs.schema)

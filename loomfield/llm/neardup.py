@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import discard, free_shuffles, materialise, one_row, texts
+from .common import discard, free_shuffles, lean, materialise, one_row, texts
 
 SHINGLE = 5
 #: Containment from which a document belongs to a larger one.
@@ -249,7 +249,7 @@ def _filter(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
         return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([np.packbits(some, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in docs.mapInArrow(place, "part int, slot int").groupBy("part").applyInArrow(gather, "part int, bits binary").toLocalIterator():
+    for r in docs.mapInArrow(lean(place), "part int, slot int").groupBy("part").applyInArrow(gather, "part int, bits binary").toLocalIterator():
         out[r.part << (PART - 3) : (r.part + 1) << (PART - 3)] = np.frombuffer(bytes(r.bits), np.uint8)
     return out, bits
 
@@ -269,7 +269,7 @@ def index(docs: DataFrame, n: int) -> DataFrame:
                 sums = np.r_[0, np.cumsum(held)][np.r_[0, np.cumsum(counts)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int32)), tv.as_list(tv.signed(value[held]), np.diff(sums), pa.int64())], ["doc_id", "n", "keys"])
 
-    return materialise(docs.mapInArrow(emit, "doc_id long, n int, keys array<long>").where("n > 0"))
+    return materialise(docs.mapInArrow(lean(emit), "doc_id long, n int, keys array<long>").where("n > 0"))
 
 
 def sought(held: DataFrame, t: float = T, found: DataFrame | None = None) -> DataFrame:
@@ -302,14 +302,14 @@ def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFram
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    return materialise(docs.mapInArrow(_sign, _SIGNED))
+    return materialise(docs.mapInArrow(lean(_sign), _SIGNED))
 
 
 def candidates(reps: DataFrame, t: float = T) -> DataFrame:
     """Pairs q, x with nq, nx: q may be contained in x, which is larger or of the same size and smaller id."""
     bands = {d: b for d, b in ensemble(t).items() if d <= FARTHEST}
     by = Window.partitionBy("key").orderBy(F.desc("n"), "doc_id")
-    keyed = reps.select("doc_id", "n", "sig").mapInArrow(lambda it: _keys(bands)(b.select(["doc_id", "n", "sig"]) for b in it), "key long, doc_id long, n int")
+    keyed = reps.select("doc_id", "n", "sig").mapInArrow(lean(lambda it: _keys(bands)(b.select(["doc_id", "n", "sig"]) for b in it)), "key long, doc_id long, n int")
     seen = keyed.select("key", "doc_id", "n", F.struct("doc_id", "n").alias("d"))
     seen = seen.withColumn("hub", F.first("d").over(by)).withColumn("next", F.lag("d").over(by)).where(F.col("next").isNotNull())
     pairs = seen.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), (F.col("key").bitwiseAND(7)).alias("r"), F.explode(F.array_distinct(F.array("hub", "next"))).alias("x"))
@@ -324,9 +324,9 @@ def candidates(reps: DataFrame, t: float = T) -> DataFrame:
 def contained(docs: DataFrame, likely: DataFrame, t: float) -> DataFrame:
     """Of pairs (q, x, nq, nx) those of containment t at least, by whole sets: q, x, nx, containment."""
     ids = likely.select(F.explode(F.array("q", "x")).alias("doc_id")).distinct()
-    sets = materialise(only(docs, ids).mapInArrow(_sets, "id long, shingles binary"))
+    sets = materialise(only(docs, ids).mapInArrow(lean(_sets), "id long, shingles binary"))
     checked = likely.join(sets.select(F.col("id").alias("q"), F.col("shingles").alias("q_set")), "q").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("x_set")), "x")
-    return checked.select("q", "x", "nx", "q_set", "x_set").mapInArrow(_contain(t), "q long, x long, nx int, containment double")
+    return checked.select("q", "x", "nx", "q_set", "x_set").mapInArrow(lean(_contain(t)), "q long, x long, nx int, containment double")
 
 
 def groups(docs: DataFrame, t: float = T) -> DataFrame:
@@ -341,7 +341,7 @@ def groups(docs: DataFrame, t: float = T) -> DataFrame:
     free_shuffles(spark)
     side = sigs.select("doc_id", "n", "sig").mapInArrow(_short, "doc_id long, n int, sig binary").drop("n")
     both = pairs.join(side.select(F.col("doc_id").alias("q"), F.col("sig").alias("q_sig")), "q").join(side.select(F.col("doc_id").alias("x"), F.col("sig").alias("x_sig")), "x")
-    likely = materialise(both.select("q", "x", "nq", "nx", "q_sig", "x_sig").mapInArrow(_estimate(t), "q long, x long, nq int, nx int"))
+    likely = materialise(both.select("q", "x", "nq", "nx", "q_sig", "x_sig").mapInArrow(lean(_estimate(t)), "q long, x long, nq int, nx int"))
     discard(pairs)
     free_shuffles(spark)
     found = materialise(contained(docs, likely, t))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .common import texts
+from .common import lean, texts
 
 #: Added to the rank of a merge model's piece.
 ZIPF = 10.0
@@ -513,7 +513,7 @@ def encode(docs: DataFrame, model: Pieces, n: int = N_BEST) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "score", "alternatives", "round_trip"])
 
-    return texts(docs).mapInArrow(run, ENCODED)
+    return texts(docs).mapInArrow(lean(run), ENCODED)
 
 
 def decode(encoded: DataFrame, model: Pieces) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import texts
+from .common import lean, texts
 
 RUN, LONGEST_KEY = 16, 40
 BEFORE, VALUE, AFTER, STRIDE = 32, 72, 8, 48
@@ -381,7 +381,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value_sha256", pa.string()), ("probability", pa.float64()), ("secret", pa.bool_())]))
 
-    return texts(docs).mapInArrow(run, FOUND)
+    return texts(docs).mapInArrow(lean(run), FOUND)
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
@@ -418,4 +418,4 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
                 arrays[size] = pa.compute.replace_with_mask(batch.column(size), pa.array(where), pa.array([len(t) for t in texts_], batch.column(size).type))
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

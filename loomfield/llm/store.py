@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialise, shared_dir, texts
+from .common import lean, materialise, shared_dir, texts
 from .pieces import SLICE, Pieces, encoder
 
 WINDOW, LEAST, MOST, BITS = 32, 64, 1024, 8
@@ -146,7 +146,7 @@ def cut(docs: DataFrame, model: Pieces) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "recipe", "root", "digest", "n", "payload"])
 
-    return texts(docs).mapInArrow(run, _CUT)
+    return texts(docs).mapInArrow(lean(run), _CUT)
 
 
 @dataclass

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import discard, materialise, one_row
+from .common import discard, lean, materialise, one_row
 
 LEAST, GRAM = 50, 8
 #: Words of a block of documents (or of one longer document), entries of a piece that is passed on, and rows of a sorted part that are handled at a time.
@@ -349,7 +349,7 @@ def first_pairs(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     source = one_row(docs)
     size = source.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = max(1, (int(size) // BUCKET_BYTES).bit_length())
-    sent = source.mapInArrow(_send(bits, gram), _SENT)
+    sent = source.mapInArrow(lean(_send(bits, gram)), _SENT)
     held = materialise(sent.groupBy("bucket").applyInArrow(_hold(bits), _SENT.removeprefix("bucket int, ")))
     pairs = materialise(held.groupBy("block").applyInArrow(_first_pairs(offsets(gram)[0]), _PAIR))
     discard(held)
@@ -360,7 +360,7 @@ def reranked(pairs: DataFrame) -> tuple[DataFrame, Seams]:
     """A round's sort: suffixes packed by part of the order and bucket of documents, and how the parts hang together. pairs, a materialised table, is dropped."""
     buckets = max(1, -(-pairs.count() // BUCKET_ROWS))
     order = ["a", "b", "doc", "place"]
-    ranked = materialise(pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rerank(buckets), _RANKED))
+    ranked = materialise(pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_rerank(buckets)), _RANKED))
     discard(pairs)
     return ranked, Seams(ranked.where("bucket = -1").select("part", "ranks").collect())
 
