@@ -122,3 +122,29 @@ def test_edges(spark):
     assert set(out) == {4, 5, 6} and [tuple(p) for p in out[5].removable] == [(67, 72)] and [tuple(p) for p in out[6].removable] == [(0, 72)]
     assert not out[4].across and out[5].across and out[6].across
     assert x.passages(edges.empty(spark)).count() == 0
+
+
+def test_suffixes_are_packed_and_no_shuffle_files_stay(spark, monkeypatch):
+    """Tables between the rounds hold pieces, not a row for each suffix, and hand on no more than what is left."""
+    rows, stored = [], x.materialise
+
+    def counted(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(x, "materialise", counted)
+    docs = {k: " ".join(f"word{i}" for i in range(3000)) for k in range(6)}
+    got = found(spark, docs)
+    assert len(rows) == 1 + len(x.offsets()) and max(rows) < 200
+    assert all(len(got[k][0]) == 3000 and len(got[k][1]) == (3000 if k else 0) for k in docs)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_parts_of_the_order_are_those_of_a_plain_sort():
+    """Cuts within one pair of ranks, too."""
+    r = random.Random(3)
+    rows = sorted({(r.randint(0, 3), r.randint(0, 2), r.randint(-4, 9), r.randint(0, 99)) for _ in range(2000)})
+    cuts = sorted(r.sample(rows, 40))
+    columns = lambda t: tuple(np.array(c, k) for c, k in zip(zip(*t, strict=True), (tv.U, tv.U, np.int64, np.int64), strict=True))
+    assert x._part(columns(rows), columns(cuts)).tolist() == [sum(c <= row for c in cuts) for row in rows]
