@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Scores that agree to so many decimals are equal in an order: how a sum is split up must not decide which of two hits is first. FINE: in a cut of candidates that are scored anew.
+DIGITS, FINE = 9, 12
+
 
 @dataclass(frozen=True)
 class Params:
@@ -42,9 +46,14 @@ def allowed(df: DataFrame, allow: DataFrame | None) -> DataFrame:
     return df if allow is None else df.join(allow.select("id").distinct(), "id", "left_semi")
 
 
-def cut(scored: DataFrame, most: int) -> DataFrame:
+def level(score: Column | np.ndarray, digits: int = DIGITS) -> Column | np.ndarray:
+    """What scores are ordered by."""
+    return (np if isinstance(score, np.ndarray) else F).rint(score * 10.0**digits)
+
+
+def cut(scored: DataFrame, most: int, digits: int = DIGITS) -> DataFrame:
     """The best `most` fields of each query."""
-    by = Window.partitionBy("q_id").orderBy(F.desc("score"), "id", F.desc("field_idx"))
+    by = Window.partitionBy("q_id").orderBy(level(F.col("score"), digits).desc(), "id", F.desc("field_idx"))
     return scored.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
 
 
@@ -62,7 +71,7 @@ def finish(scored: DataFrame, params: Params, check_min: bool = True) -> DataFra
 
 
 def top(best: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
+    by = Window.partitionBy("q_id").orderBy(level(F.col("score")).desc(), "id")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .ranking import Params, allowed, best_fields, budget, cut, finish, merge_neighbors
+from .ranking import DIGITS, FINE, Params, allowed, best_fields, budget, cut, finish, level, merge_neighbors
 
 #: Query vectors that travel with the tasks; of more, as of the vectors, so many are a block.
 QUERIES_AT_ONCE = 2_048
@@ -51,7 +51,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64)
 
 
-def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least: float | None, names: np.ndarray, apart: bool, items: bool):
+def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least: float | None, names: np.ndarray, apart: bool, items: bool, digits: int = DIGITS):
     """For each row of scores s, under its name, the best `most` of the columns (rows and fields, in order of rows, the last field first); items: the best column of each row number only."""
     if items and len(rows):
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
@@ -68,14 +68,14 @@ def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least:
             ok &= rows != names[k]
         pick = np.flatnonzero(ok)
         if len(pick) > most:
-            pick = pick[np.argsort(-s[k][pick], kind="stable")[:most]]
+            pick = pick[np.argsort(-level(s[k][pick], digits), kind="stable")[:most]]
         out.append((np.full(len(pick), k), pick))
     who, pick = (np.concatenate(z) for z in zip(*out, strict=True))
     field = fields[who, pick] if fields.ndim == 2 else fields[pick]
     return pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(rows[pick]), pa.array(field.astype(np.int32)), pa.array(s[who, pick])], ["q_id", "id", "field_idx", "score"])
 
 
-def _scorer(metric: str, precision: str, most: int, least: float | None, apart: bool, items: bool):
+def _scorer(metric: str, precision: str, most: int, least: float | None, apart: bool, items: bool, digits: int = DIGITS):
     """Candidates of a block of queries in a block of vectors; apart: queries of one name are one, by their best score."""
 
     def run(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, fields: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -86,7 +86,7 @@ def _scorer(metric: str, precision: str, most: int, least: float | None, apart:
             by = np.argsort(ids, kind="stable")
             starts = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
             s, names = np.maximum.reduceat(s[by], starts, axis=0), ids[by][starts]
-        return _best(s, rows[order], fields[order], most, least, names, apart, items)
+        return _best(s, rows[order], fields[order], most, least, names, apart, items, digits)
 
     return run
 
@@ -114,7 +114,8 @@ def scored(index: VectorIndex, queries: DataFrame, params: Params, allow: DataFr
     again = bool(params.rerank and index.precision != "float32")
     items = (params.exact or apart) and not again
     most = params.k if items else budget(params, index.max_fields, index.avg_fields) if not (params.exact or apart) else int(np.ceil(params.k * (params.rerank or 1))) * max(1, index.max_fields)
-    score = _scorer(index.metric, index.precision, most, params.min_score, apart, items)
+    digits = FINE if again else DIGITS
+    score = _scorer(index.metric, index.precision, most, params.min_score, apart, items, digits)
     queries = queries.select("q_id", "embedding")
     first = queries.limit(QUERIES_AT_ONCE + 1).collect()
     if not first:
@@ -141,7 +142,7 @@ def scored(index: VectorIndex, queries: DataFrame, params: Params, allow: DataFr
     if apart:
         # Vectors of one item may lie in several blocks of queries.
         out = out.groupBy("q_id", "id", "field_idx").agg(F.max("score").alias("score"))
-    return cut(best_fields(out) if items else out, most)
+    return cut(best_fields(out) if items else out, most, digits)
 
 
 def rescored(candidates: DataFrame, index: VectorIndex, queries: DataFrame) -> DataFrame:

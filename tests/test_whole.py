@@ -7,7 +7,7 @@ import pytest
 from loomfield import catalog
 from loomfield.functions import text
 from loomfield.operators import keys, text_search, vector_search
-from loomfield.operators.ranking import Params
+from loomfield.operators.ranking import Params, merge_neighbors
 from loomfield.schema import number
 from loomfield.sources import items as src
 from pyspark.sql import functions as F
@@ -144,3 +144,15 @@ def test_vectors_of_a_file_are_read_by_ranges(spark, tmp_path, monkeypatch):
     assert np.array_equal(np.array([r.embedding for r in rows], np.float32), x)
     tensors.write_tensors(path, {"embedding": x[:0]})
     assert tensors.read_vectors(spark, path)[0].count() == 0
+
+
+def test_scores_that_agree_to_nine_decimals_are_in_order_of_ids(spark):
+    e = 1e-11
+    v = spark.createDataFrame([(3, 0, [1.0, e]), (1, 0, [1.0, -e]), (2, 0, [1.0, 0.0]), (9, 0, [0.5, 0.0])], VECTORS)
+    q = spark.createDataFrame([(7, [1.0, 1.0]), (7, [1.0, 0.5]), (8, [1.0, 1.0])], "q_id long, embedding array<float>")
+    index = vector_search.build(v, "inner-product")
+    show = lambda df: sorted((x.q_id, x["rank"], x.id) for x in df.collect())
+    assert show(merge_neighbors(vector_search.scored(index, q, Params(2, exact=True)), 2)) == [(7, 1, 1), (7, 2, 2), (8, 1, 1), (8, 2, 2)]
+    assert show(vector_search.search(index, q.where("q_id = 8"), Params(3, exact=True))) == [(8, 1, 1), (8, 2, 2), (8, 3, 3)]
+    near = merge_neighbors(spark.createDataFrame([(1, 5, 0, 0.5 + e), (1, 4, 0, 0.5)], "q_id long, id long, field_idx int, score double"), 2)
+    assert show(near) == [(1, 1, 4), (1, 2, 5)]
