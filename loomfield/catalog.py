@@ -46,7 +46,7 @@ def _queries(spark: SparkSession, *texts: str) -> DataFrame:
 
 
 def _hits(df: DataFrame) -> DataFrame:
-    return df.select("q_id", "id", F.round("score", 6).alias("score"), "rank")
+    return df.select("q_id", "id", vectors.rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 # -- items
@@ -431,7 +431,7 @@ def merge_neighbor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("SELECT id, list_transform(t, lambda x: round((x / n)::FLOAT::DOUBLE, 5)) AS v FROM (SELECT vec_id AS id, embedding[:16]::DOUBLE[] AS t, sqrt(list_inner_product(embedding[:16]::DOUBLE[], embedding[:16]::DOUBLE[])) AS n FROM embeddings)")
 def vec_truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.transform(vectors.truncated(F.col("embedding"), 16), lambda x: F.round(x.cast("double"), 5)).alias("v"))
+    return e.select(F.col("vec_id").alias("id"), F.transform(vectors.truncated(F.col("embedding"), 16), lambda x: vectors.rounded(x, 5)).alias("v"))
 
 
 def vec_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:

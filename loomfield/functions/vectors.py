@@ -61,6 +61,13 @@ def truncated(a: Column, dims: int | None = None, normalized: bool = True) -> Co
     return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n).cast("float"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals; what is below 0 and comes to 0 keeps its sign, as in SQL."""
+    x = x.cast("double")
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def quantized(x: np.ndarray, precision: str) -> np.ndarray:
     """What a representation keeps of the rows of x, as float64; signs (0 and 1) for binary."""
     if precision == "float16":

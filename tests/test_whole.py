@@ -156,3 +156,16 @@ def test_scores_that_agree_to_nine_decimals_are_in_order_of_ids(spark):
     assert show(vector_search.search(index, q.where("q_id = 8"), Params(3, exact=True))) == [(8, 1, 1), (8, 2, 2), (8, 3, 3)]
     near = merge_neighbors(spark.createDataFrame([(1, 5, 0, 0.5 + e), (1, 4, 0, 0.5)], "q_id long, id long, field_idx int, score double"), 2)
     assert show(near) == [(1, 1, 4), (1, 2, 5)]
+
+
+def test_rounded_values_have_the_signs_of_sql(spark, tmp_path):
+    import compare
+
+    x = np.random.default_rng(0).standard_normal((50, 64)).astype(np.float32)
+    x[:, 3] = [-1e-6, 1e-6, 0.0, -0.0, -4e-5] * 10
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = compare.connect(str(tmp_path))
+    for name, column in (("vec_truncate_normalize", "v"), ("vec_ip", "score")):
+        got = sorted(str(sorted(r.asDict().items())) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("id", column).collect())
+        assert got == sorted(str(sorted(zip(("id", column), r))) for r in db.execute(f"SELECT id, {column} FROM ({catalog.ORACLES[name]})").fetchall())
+        assert name == "vec_ip" or "-0.0" in str(got)
