@@ -86,15 +86,42 @@ def quantized(x: np.ndarray, precision: str) -> np.ndarray:
     return x.astype(np.float64)
 
 
-def scores(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Scores of each row of q with each of x."""
+def _score(name: str, s: np.ndarray, qq: np.ndarray, xx: np.ndarray, dims: int) -> np.ndarray:
+    """Scores by products and squared lengths."""
     if name == "l2":
-        d = np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T))
-        return 1 / (1 + d)
+        return 1 / (1 + np.maximum(0, qq + xx - 2 * s))
     if name == "hamming":
-        return 1 - (q.sum(1)[:, None] + x.sum(1)[None] - 2 * (q @ x.T)) / max(1, q.shape[1])
-    s = q @ x.T
+        return 1 - (qq + xx - 2 * s) / max(1, dims)
     if name == "cosine":
-        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+        n = np.sqrt(qq) * np.sqrt(xx)
         return np.where(n == 0, 0.0, s / np.where(n == 0, 1, n))
     return s - 1 if name == "inner-product" else s
+
+
+def scores(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of each row of q with each of x."""
+    return _score(name, q @ x.T, (q * q).sum(1)[:, None], (x * x).sum(1)[None], q.shape[1])
+
+
+def paired(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of each row of q with the same row of x."""
+    return _score(name, np.einsum("ij,ij->i", q, x), (q * q).sum(1), (x * x).sum(1), q.shape[1])
+
+
+def rough(name: str, x: np.ndarray, query: bool) -> np.ndarray:
+    """Rows in single precision, of queries and of vectors, whose products grow with the score."""
+    if name in ("l2", "hamming"):
+        x = np.c_[2 * x, np.ones(len(x))] if query else np.c_[x, -(x * x).sum(1)]
+    elif name == "cosine":
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(n == 0, 1, n)
+    return np.ascontiguousarray(x, np.float32)
+
+
+def needed(name: str, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The product of rough rows that a score of each row of q takes."""
+    if name == "l2":
+        return np.where(score > 0, (q * q).sum(1) + 1 - 1 / np.where(score > 0, score, 1), -np.inf)
+    if name == "hamming":
+        return q.sum(1) - (1 - score) * max(1, q.shape[1])
+    return score + 1 if name == "inner-product" else score

@@ -8,14 +8,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..storage import materialise
 from .ranking import DIGITS, FINE, Params, allowed, best_fields, budget, cut, finish, level, merge_neighbors
 
-#: Query vectors that travel with the tasks; of more, as of the vectors, so many are a block.
+#: Query vectors that travel with the tasks; of more, so many are a block.
 QUERIES_AT_ONCE = 2_048
+#: Vectors that a block of queries is shown at a time, queries of which the products are taken at a time, pairs that are scored in double at a time, hits that stay in memory.
+PACK, STEP, PAIRS, KEPT = 2_048, 256, 1 << 14, 2_000_000
 _SCORED = "q_id long, id long, field_idx int, score double"
 
 
@@ -51,7 +56,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64)
 
 
-def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least: float | None, names: np.ndarray, apart: bool, items: bool, digits: int = DIGITS):
+def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least: float | None, names: np.ndarray, apart: bool, items: bool, digits: int = DIGITS) -> tuple[np.ndarray, ...]:
     """For each row of scores s, under its name, the best `most` of the columns (rows and fields, in order of rows, the last field first); items: the best column of each row number only."""
     if items and len(rows):
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
@@ -72,73 +77,205 @@ def _best(s: np.ndarray, rows: np.ndarray, fields: np.ndarray, most: int, least:
         out.append((np.full(len(pick), k), pick))
     who, pick = (np.concatenate(z) for z in zip(*out, strict=True))
     field = fields[who, pick] if fields.ndim == 2 else fields[pick]
-    return pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(rows[pick]), pa.array(field.astype(np.int32)), pa.array(s[who, pick])], ["q_id", "id", "field_idx", "score"])
+    return who, rows[pick], field, s[who, pick]
 
 
-def _scorer(metric: str, precision: str, most: int, least: float | None, apart: bool, items: bool, digits: int = DIGITS):
-    """Candidates of a block of queries in a block of vectors; apart: queries of one name are one, by their best score."""
+class _Top:
+    """The best `most` of the vectors that a block of queries is shown, some at a time; apart: queries of one name are one, by their best score, and no item is its own hit; items: one vector of each item.
 
-    def run(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, fields: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((-fields, rows))
-        s = V.scores(metric, V.quantized(q, precision), V.quantized(x, precision))[:, order]
-        names = ids
+    Products are taken in single precision first. Pairs that may be among the best, by a bound of the error, are scored in double, so the hits are those of double precision.
+    """
+
+    def __init__(self, metric: str, precision: str, ids: np.ndarray, q: np.ndarray, most: int, least: float | None, apart: bool, items: bool, digits: int = DIGITS) -> None:
+        self.metric, self.precision, self.most, self.least, self.apart, self.items, self.digits = metric, precision, most, least, apart, items, digits
+        self.names, self.of = ids, np.arange(len(ids))
         if apart:
             by = np.argsort(ids, kind="stable")
-            starts = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-            s, names = np.maximum.reduceat(s[by], starts, axis=0), ids[by][starts]
-        return _best(s, rows[order], fields[order], most, least, names, apart, items, digits)
-
-    return run
-
-
-def _blocks(df: DataFrame, *ids: str) -> DataFrame:
-    """Rows with an embedding, so many at a time, packed into one row: n, bytes of each id column (64 bits) and of the vectors (double)."""
-    n = max(1, -(-df.count() // QUERIES_AT_ONCE))
+            q = q[by]
+            self.names, self.of = np.unique(ids[by], return_inverse=True)
+        self.q = V.quantized(q, precision)
+        self.near = V.rough(metric, self.q, True)
+        self.long = np.linalg.norm(self.near.astype(np.float64), axis=1)
+        #: Score of the last of `most` hits of each name, once there are so many.
+        self.floor = np.full(len(self.names), -np.inf)
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
+        self.more: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, rows: np.ndarray, fields: np.ndarray, x: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Vectors with their items and fields. only: the queries (not apart) that look at them."""
+        order = np.lexsort((-fields, rows))
+        rows, fields, x = rows[order], fields[order].astype(np.int64), V.quantized(x[order], self.precision)
+        y = V.rough(self.metric, x, False)
+        slack = (y.shape[1] + 8) * 2.0**-23 * np.linalg.norm(y.astype(np.float64), axis=1).max()
+        every = np.arange(len(self.q)) if only is None else only
+        new = False
+        for a in range(0, len(every), STEP):
+            w = every[a : a + STEP]
+            fresh = np.isneginf(self.floor[self.of[w]])
+            if fresh.any():
+                new = True
+                self._dense(w[fresh], rows, fields, x)
+                w = w[~fresh]
+            if len(w):
+                self._sparse(w, rows, fields, x, y, slack)
+        if new or sum(len(m[0]) for m in self.more) > 1_024 + len(self.kept[0]) // 4:
+            self._merge()
+
+    def _dense(self, w: np.ndarray, rows: np.ndarray, fields: np.ndarray, x: np.ndarray) -> None:
+        s, of = V.scores(self.metric, self.q[w], x), self.of[w]
+        if self.apart:
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            s, of = np.maximum.reduceat(s, starts, axis=0), of[starts]
+        who, *rest = _best(s, rows, fields, self.most, self.least, self.names[of], self.apart, self.items, self.digits)
+        self.more.append((of[who], *rest))
+
+    def _sparse(self, w: np.ndarray, rows: np.ndarray, fields: np.ndarray, x: np.ndarray, y: np.ndarray, slack: float) -> None:
+        floor = self.floor[self.of[w]]
+        least = floor if self.least is None else np.maximum(floor, self.least)
+        t = V.needed(self.metric, self.q[w], least - 1e-8)
+        t = (t - slack * self.long[w] - 2.0**-22 * np.abs(t)).astype(np.float32)
+        # What is no number stays in.
+        hit = np.flatnonzero(~(self.near[w] @ y.T < t[:, None]))
+        if not len(hit):
+            return
+        r, c = np.divmod(hit, len(rows))
+        if self.apart:
+            other = rows[c] != self.names[self.of[w[r]]]
+            r, c = r[other], c[other]
+        if len(r) > len(w) * len(rows) // 8:
+            return self._dense(w, rows, fields, x)
+        for a in range(0, len(r), PAIRS):
+            k, z = r[a : a + PAIRS], c[a : a + PAIRS]
+            s = V.paired(self.metric, self.q[w[k]], x[z])
+            ok = ~(level(s, self.digits) < level(floor[k], self.digits))
+            if self.least is not None:
+                ok &= s >= self.least
+            self.more.append((self.of[w[k[ok]]], rows[z[ok]], fields[z[ok]], s[ok]))
+
+    def _merge(self) -> None:
+        name, rows, fields, s = (np.concatenate(z) for z in zip(self.kept, *self.more, strict=True))
+        self.more = []
+        if self.items or self.apart:
+            one = (rows, name) if self.items else (fields, rows, name)
+            by = np.lexsort((fields, -s, *one))
+            first = np.zeros(len(by), bool)
+            first[:1] = True
+            for key in one:
+                first[1:] |= key[by][1:] != key[by][:-1]
+            by = by[first]
+            name, rows, fields, s = name[by], rows[by], fields[by], s[by]
+        by = np.lexsort((-fields, rows, -level(s, self.digits), name))
+        starts = np.searchsorted(name[by], np.arange(len(self.names)))
+        place = np.arange(len(by)) - starts[name[by]]
+        last = by[place == self.most - 1]
+        self.floor[name[last]] = np.fmax(self.floor[name[last]], s[last])
+        by = by[place < self.most]
+        self.kept = name[by], rows[by], fields[by], s[by]
+
+    def full(self) -> bool:
+        """Whether what is kept should leave before the rest is seen."""
+        return len(self.kept[0]) + sum(len(m[0]) for m in self.more) > KEPT
+
+    def batch(self) -> pa.RecordBatch:
+        self._merge()
+        name, rows, fields, s = self.kept
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(self.names[name]), pa.array(rows), pa.array(fields.astype(np.int32)), pa.array(s)], ["q_id", "id", "field_idx", "score"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for a in range(0, b.num_rows, most):
+            yield b.slice(a, most)
+
+
+def _store(df: DataFrame, *ids: str) -> tuple[list[str], str]:
+    """Write df's rows in the shared folder, up to PACK in one: n, and the bytes of the id columns (64 bits) and of the vectors. Rows in one have the same value of `cell`, if that is the first of ids. The files' addresses, and the numbers' type."""
+    width = "<f8" if df.schema["embedding"].dataType.elementType.typeName() == "double" else "<f4"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches, PACK):
+            cells = b.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(cells[1:] != cells[:-1]) + 1 if ids[0] == "cell" else np.zeros(0, np.int64), b.num_rows].astype(int)
+            parts = [b.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            cols = [pa.array([np.ascontiguousarray(p.column(k).to_numpy(), "<i8").tobytes() for p in parts], pa.binary()) for k in range(len(ids))]
+            x = pa.array([_matrix(p.column(len(ids))).astype(width).tobytes() for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([p.num_rows for p in parts], pa.int32()), *cols, x], ["n", *ids, "x"])
+
+    packed = df.select(*ids, "embedding").mapInArrow(pack, "n int, " + "".join(f"{c} binary, " for c in ids) + "x binary")
+    return sorted(materialise(packed).inputFiles()), width
+
+
+def _stored(files: list[str], width: str, *ids: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """What _store wrote, row by row: a column for each of ids, and the vectors."""
+    for uri in files:
+        fs, path = FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for b in ParquetFile(f, buffer_size=1 << 20, pre_buffer=False).iter_batches(batch_size=1):
+                n = b.column("n")[0].as_py()
+                yield (*(np.frombuffer(b.column(c)[0].as_buffer(), "<i8") for c in ids), np.frombuffer(b.column("x")[0].as_buffer(), width).reshape(n, -1))
+
+
+def _asked(queries: DataFrame, top, few, many) -> DataFrame:
+    """Candidates of queries (q_id, embedding) by top(ids, vectors), a _Top. Up to QUERIES_AT_ONCE queries travel with the tasks over the vectors: few(ids, vectors) is these. Of more, each task
+    takes blocks and shows each of them all vectors, which many(top) does piece by piece from files; nothing but a block, a piece and the hits is in memory."""
+    queries = queries.select("q_id", "embedding")
+    spark = queries.sparkSession
+    first = queries.limit(QUERIES_AT_ONCE + 1).collect()
+    if not first:
+        return spark.createDataFrame([], _SCORED)
+    if len(first) <= QUERIES_AT_ONCE:
+        return few(np.array([r.q_id for r in first], np.int64), np.array([r.embedding for r in first], np.float64))
+    show, at_once = many(), QUERIES_AT_ONCE
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-queries.count() // at_once))
 
-    def pack(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("embedding").combine_chunks())
-        cols = [pa.array([group.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ids]
-        return pa.table([pa.array([len(x)], pa.int32()), *cols, pa.array([x.tobytes()], pa.binary())], names=["n", *ids, "x"])
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches, at_once):
+            t = top(b.column(0).to_numpy(), _matrix(b.column(1)))
+            for _ in show(t):
+                if t.full():
+                    yield t.batch()
+            yield t.batch()
 
-    keyed = df.select(*ids, "embedding").withColumn("_block", F.pmod(F.xxhash64(*ids, "embedding"), F.lit(n)))
-    return keyed.groupBy("_block").applyInArrow(pack, "n int, " + "".join(f"{c} binary, " for c in ids) + "x binary")
+    return queries.repartition(parts).mapInArrow(over, _SCORED)
 
 
 def scored(index: VectorIndex, queries: DataFrame, params: Params, allow: DataFrame | None = None, apart: bool = False) -> DataFrame:
-    """Candidates of queries (q_id, embedding), the best of each part of the vectors. apart: all vectors of a q_id are one query, by the best score, and no item is a candidate of its own.
-
-    Up to QUERIES_AT_ONCE queries travel with the tasks over the vectors. More are packed in blocks, as are the vectors, and each pair of
-    blocks is scored by one task: every row is read for every block of queries, but no row is paired with a row by Spark.
-    """
-    source = allowed(index.vectors, allow)
+    """Candidates of queries (q_id, embedding), the best of each part of the vectors. apart: all vectors of a q_id are one query, by the best score, and no item is a candidate of its own."""
+    source = allowed(index.vectors, allow).select("id", "field_idx", "embedding")
     again = bool(params.rerank and index.precision != "float32")
     items = (params.exact or apart) and not again
     most = params.k if items else budget(params, index.max_fields, index.avg_fields) if not (params.exact or apart) else int(np.ceil(params.k * (params.rerank or 1))) * max(1, index.max_fields)
     digits = FINE if again else DIGITS
-    score = _scorer(index.metric, index.precision, most, params.min_score, apart, items, digits)
-    queries = queries.select("q_id", "embedding")
-    first = queries.limit(QUERIES_AT_ONCE + 1).collect()
-    if not first:
-        return queries.sparkSession.createDataFrame([], _SCORED)
-    if len(first) <= QUERIES_AT_ONCE:
-        ids, q = np.array([r.q_id for r in first], np.int64), np.array([r.embedding for r in first], np.float64)
+    metric, precision, least = index.metric, index.precision, params.min_score
 
+    def top(ids: np.ndarray, q: np.ndarray) -> _Top:
+        return _Top(metric, precision, ids, q, most, least, apart, items, digits)
+
+    def few(ids: np.ndarray, q: np.ndarray) -> DataFrame:
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    yield score(ids, q, b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)))
+            t = top(ids, q)
+            for b in _pieces(batches, PACK):
+                t.add(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)))
+                if t.full():
+                    yield t.batch()
+            yield t.batch()
+
+        return source.mapInArrow(over, _SCORED)
+
+    def many():
+        files, width = _store(source, "id", "field_idx")
 
-        out = source.select("id", "field_idx", "embedding").mapInArrow(over, _SCORED)
-    else:
+        def show(t: _Top) -> Iterator[None]:
+            for rows, fields, x in _stored(files, width, "id", "field_idx"):
+                yield t.add(rows, fields, x)
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    ids, rows, fields = (np.frombuffer(r[c], "<i8") for c in ("q_id", "id", "field_idx"))
-                    yield score(ids, np.frombuffer(r["q"]).reshape(r["m"], -1), rows, fields, np.frombuffer(r["x"]).reshape(r["n"], -1))
+        return show
 
-        left = _blocks(queries, "q_id").select("q_id", F.col("n").alias("m"), F.col("x").alias("q"))
-        out = left.crossJoin(_blocks(source, "id", "field_idx")).mapInArrow(pairs, _SCORED)
+    out = _asked(queries, top, few, many)
     if apart:
         # Vectors of one item may lie in several blocks of queries.
         out = out.groupBy("q_id", "id", "field_idx").agg(F.max("score").alias("score"))
@@ -236,32 +373,51 @@ def invert(index: VectorIndex, cells: int | None = None, sample: int = 20_000, r
 
 
 def search_inverted(inv: Inverted, queries: DataFrame, params: Params = Params(), probes: int | None = None, allow: DataFrame | None = None) -> DataFrame:
-    """Approximate hits: an equi-join of queries and vectors on the probed cells, many queries and vectors of a cell at a time; a cell's vectors are spread over the executors by a salt."""
-    c, m = inv.centroids, inv.index.metric
+    """Approximate hits: each block of queries meets the cells that some of its queries probe, and in a cell these queries only."""
+    c, m, precision = inv.centroids, inv.index.metric, inv.index.precision
     probes = min(probes or inv.probes, len(c))
+    source = allowed(inv.cells, allow).select("cell", "id", "field_idx", "embedding")
 
-    @F.pandas_udf("array<int>")
-    def near(v):
-        import pandas as pd
+    def looked(x: np.ndarray) -> np.ndarray:
+        """Whether a query looks at a cell."""
+        out = np.zeros((len(x), len(c)), bool)
+        np.put_along_axis(out, np.argsort(_far(_unit(x, m), c, m), axis=1)[:, :probes], True, axis=1)
+        return out
 
-        x = _unit(np.array(v.tolist(), np.float64), m)
-        return pd.Series(list(np.argsort(_far(x, c, m), axis=1)[:, :probes].astype(np.int32)))
+    def top(ids: np.ndarray, q: np.ndarray) -> _Top:
+        t = _Top(m, precision, ids, q, params.k, params.min_score, False, True)
+        t.looked = looked(q)
+        return t
 
-    salts = 8
-    q = queries.select("q_id", F.col("embedding").alias("q"), F.explode(near("embedding")).alias("cell")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    v = allowed(inv.cells, allow).withColumn("salt", F.pmod(F.xxhash64("id", "field_idx"), F.lit(salts)).cast("int"))
-    score = _scorer(m, inv.index.precision, params.k, params.min_score, False, True)
+    def add(t: _Top, cell: int, rows: np.ndarray, fields: np.ndarray, x: np.ndarray) -> None:
+        only = np.flatnonzero(t.looked[:, cell])
+        if len(only):
+            t.add(rows, fields, x, only)
 
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("q_id", pa.int64()), ("id", pa.int64()), ("field_idx", pa.int32()), ("score", pa.float64()))})
-        ids, x = left.column("q_id").to_numpy(), _matrix(left.column("q").combine_chunks())
-        rows, fields, y = right.column("id").to_numpy(), right.column("field_idx").to_numpy(), _matrix(right.column("embedding").combine_chunks())
-        parts = [score(ids[a : a + QUERIES_AT_ONCE], x[a : a + QUERIES_AT_ONCE], rows, fields, y) for a in range(0, len(ids), QUERIES_AT_ONCE)]
-        return pa.Table.from_batches(parts)
+    def few(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = top(ids, q)
+            for b in _pieces(batches, PACK):
+                cells, rows, fields = (b.column(k).to_numpy() for k in range(3))
+                x, by = _matrix(b.column(3)), np.argsort(cells, kind="stable")
+                for part in np.split(by, np.flatnonzero(np.diff(cells[by])) + 1):
+                    add(t, cells[part[0]], rows[part], fields[part], x[part])
+                if t.full():
+                    yield t.batch()
+            yield t.batch()
 
-    found = q.groupBy("cell", "salt").cogroup(v.groupBy("cell", "salt")).applyInArrow(both, _SCORED)
-    return finish(found, params)
+        return source.mapInArrow(over, _SCORED)
+
+    def many():
+        files, width = _store(source.repartitionByRange("cell", "id").sortWithinPartitions("cell"), "cell", "id", "field_idx")
+
+        def show(t: _Top) -> Iterator[None]:
+            for cell, rows, fields, x in _stored(files, width, "cell", "id", "field_idx"):
+                yield add(t, cell[0], rows, fields, x)
+
+        return show
+
+    return finish(_asked(queries, top, few, many), params)
 
 
 def write_embedded(fields: DataFrame, embed, path: str, spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from loomfield import catalog
-from loomfield.functions import text
+from loomfield.functions import text, vectors
 from loomfield.operators import keys, text_search, vector_search
 from loomfield.operators.ranking import Params, merge_neighbors
 from loomfield.schema import number
@@ -169,3 +169,87 @@ def test_rounded_values_have_the_signs_of_sql(spark, tmp_path):
         got = sorted(str(sorted(r.asDict().items())) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("id", column).collect())
         assert got == sorted(str(sorted(zip(("id", column), r))) for r in db.execute(f"SELECT id, {column} FROM ({catalog.ORACLES[name]})").fetchall())
         assert name == "vec_ip" or "-0.0" in str(got)
+
+
+def pruned(metric, precision, ids, q, rows, fields, x, most, least, apart, items):
+    """Hits by _Top, in pieces of 64 vectors."""
+    t = vector_search._Top(metric, precision, ids, q, most, least, apart, items)
+    for a in range(0, len(x), 64):
+        t.add(rows[a : a + 64], fields[a : a + 64], x[a : a + 64])
+    return sorted((i, r, f, round(s, 9)) for i, r, f, s in zip(*(c.to_pylist() for c in t.batch().columns), strict=True))
+
+
+def plainly(metric, precision, ids, q, rows, fields, x, most, least, apart, items):
+    """The same from all scores."""
+    s = vectors.scores(metric, vectors.quantized(q, precision), vectors.quantized(x, precision))
+    out = []
+    for name in np.unique(ids) if apart else range(len(q)):
+        best = s[ids == name].max(0) if apart else s[name]
+        hits = [(i, f, b) for i, f, b in zip(rows, fields, best, strict=True) if (least is None or b >= least) and not (apart and i == name)]
+        if items:
+            hits = [max((h for h in hits if h[0] == i), key=lambda h: (h[2], -h[1])) for i in {h[0] for h in hits}]
+        hits = sorted(hits, key=lambda h: (-np.rint(h[2] * 1e9), h[0], -h[1]))[:most]
+        out += [(int(name if apart else ids[name]), int(i), int(f), round(b, 9)) for i, f, b in hits]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric,precision", [("cosine", "float32"), ("cosine-normalized", "bfloat16"), ("inner-product", "float16"), ("l2", "float32"), ("cosine", "int8"), ("hamming", "binary")])
+@pytest.mark.parametrize("apart,items", [(False, False), (False, True), (True, True)])
+def test_rough_products_lose_no_hit(monkeypatch, metric, precision, apart, items):
+    r = np.random.default_rng(7)
+    monkeypatch.setattr(vector_search, "STEP", 16)
+    x = r.standard_normal((1_000, 16))
+    x[:5], x[700:720], x[300] = 0, x[200], 40 * x[200]
+    q = np.r_[x[::25], np.zeros((1, 16))] * (1 + (metric == "l2"))
+    rows = r.permutation(1_000) // 4 if items else np.arange(1_000)
+    fields = np.arange(1_000)
+    ids = rows[::25].tolist() + [3]
+    for most, least in ((3, None), (7, 0.3)):
+        args = (metric, precision, np.array(ids), q, rows, fields, x, most, least, apart, items)
+        assert pruned(*args) == plainly(*args)
+
+
+def test_few_pairs_are_scored_in_double(monkeypatch):
+    r = np.random.default_rng(8)
+    seen = []
+    for f in ("scores", "paired"):
+        monkeypatch.setattr(vectors, f, lambda m, q, x, f=getattr(vectors, f), all_=f == "scores": seen.append(len(q) * (len(x) if all_ else 1)) or f(m, q, x))
+    x = r.standard_normal((20_000, 32))
+    t = vector_search._Top("cosine", "float32", np.arange(400) // 40, x[:400], 5, None, True, True)
+    for a in range(0, len(x), 1_000):
+        t.add(np.arange(a, a + 1_000) % 13, np.arange(a, a + 1_000), x[a : a + 1_000])
+    assert t.batch().num_rows == 50 and sum(seen) < 400 * len(x) / 8
+
+
+def test_blocks_of_queries_and_vectors_meet_in_no_row(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, 0, r.standard_normal(8).tolist()) for i in range(120)], VECTORS)
+    monkeypatch.setattr(vector_search, "QUERIES_AT_ONCE", 16)
+    for precision, metric in (("binary", "hamming"), ("bfloat16", "cosine-normalized")):
+        out = vector_search.scored(vector_search.build(v, metric, precision), v.select(F.col("id").alias("q_id"), "embedding"), Params(3, exact=True))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and out.count() == 360
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_probed_cells_are_searched_whole(spark, monkeypatch, many):
+    r = np.random.default_rng(9)
+    x = r.standard_normal((600, 8)).astype(np.float32)
+    index = vector_search.build(spark.createDataFrame([(i // 2, i % 2, x[i].tolist()) for i in range(600)], VECTORS), "l2")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)], "q_id long, embedding array<float>")
+    if many:
+        monkeypatch.setattr(vector_search, "QUERIES_AT_ONCE", 16)
+    inv = vector_search.invert(index, 12)
+    found = vector_search.search_inverted(inv, q, Params(4, exact=True), probes=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+    far = vector_search._far(x.astype(np.float64), inv.centroids, "l2")
+    cell, probed = far.argmin(1), np.argsort(far[:40], axis=1)[:, :5]
+    s = vectors.scores("l2", x[:40].astype(np.float64), x.astype(np.float64))
+    want = []
+    for k in range(40):
+        best: dict = {}
+        for i in np.flatnonzero(np.isin(cell, probed[k])):
+            best[i // 2] = max(best.get(i // 2, -1.0), s[k, i])
+        want += [(k, n + 1, i, round(b, 6)) for n, (i, b) in enumerate(sorted(best.items(), key=lambda z: (-z[1], z[0]))[:4])]
+    assert sorted((h.q_id, h["rank"], h.id, round(h.score, 6)) for h in found.collect()) == want
