@@ -35,23 +35,28 @@ def _folds() -> tuple[str, str, str]:
 
 _FROM, _TO, _MARKS = _folds()
 _PUNCT = r"[!-/:-@\[-`{-~]+"
+_RAGGED = rf"(?:^|\s){_PUNCT[:-1]}|{_PUNCT[:-1]}(?:\s|$)|[:/()\[\]]"
 
 
 def ascii_fold(c: Column) -> Column:
     """Latin letters without marks, ligatures spelled out, Greek and Cyrillic in Latin letters, digits of other scripts; what else there is stays. All in the JVM."""
-    spelled = c
+    given, spelled = c, c
     for a, b in _MANY.items():
         spelled = F.replace(spelled, F.lit(a), F.lit(b))
     # Most texts have nothing to be spelled out.
     c = F.when(c.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(c)
-    return F.translate(c, _FROM + _MARKS, _TO)
+    # Of ASCII, nothing changes.
+    return F.when(F.octet_length(given) == F.length(given), given).otherwise(F.translate(c, _FROM + _MARKS, _TO))
 
 
 def tokens(c: Column) -> Column:
     """Words of a text, in order, as indices hold them."""
-    words = F.filter(F.split(F.lower(ascii_fold(c)), r"\s+"), lambda w: w != "")
+    c = F.lower(ascii_fold(c))
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
     trimmed = F.transform(words, lambda w: F.coalesce(F.nullif(F.regexp_replace(w, f"^{_PUNCT}|{_PUNCT}$", ""), F.lit("")), w))
-    return F.filter(F.flatten(F.transform(trimmed, lambda w: F.split(w, r"[:/()\[\]]"))), lambda w: w != "")
+    parts = F.filter(F.flatten(F.transform(trimmed, lambda w: F.split(w, r"[:/()\[\]]"))), lambda w: w != "")
+    # Most short texts have no word with punctuation at an end or a sign that words are split at.
+    return F.when((F.octet_length(c) == F.length(c)) & ~c.rlike(_RAGGED), words).otherwise(parts)
 
 
 def normalize(c: Column) -> Column:

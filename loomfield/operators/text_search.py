@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import require_text
+from ..storage import materialise
 from . import assignment
 from .items import fields, stats
 from .ranking import Params, allowed, budget, cut, finish
@@ -22,6 +23,8 @@ K1, B = 1.2, 0.75
 BROADCAST_WORDS = 200_000
 #: Words of a batch of queries up to which they are a filter of the scan.
 PUSHED_WORDS = 1_000
+#: Characters of a field up to which its words are compared with each other, and bytes of items for each core up to which they are spread.
+SHORT, SPLIT = 256, 16 << 20
 #: Distances of keywords for which the edit distance is bounded by a literal.
 BOUNDS = 32
 
@@ -37,6 +40,8 @@ class TextIndex:
     #: Fields that have a word, and their words on average; counted when they are asked for first.
     docs: int | None = None
     mean: float | None = None
+    #: word, id, field_idx, length, pos, where the postings are made as they are read.
+    words: DataFrame | None = None
 
     def lengths(self) -> tuple[int, float]:
         if self.docs is None:
@@ -59,11 +64,35 @@ class TextIndex:
         return TextIndex(spark.read.parquet(os.path.join(path, "postings")), spark.read.parquet(os.path.join(path, "vocabulary")), f.max_fields, f.avg_fields, f.docs, f.mean)
 
 
+def _once(each: DataFrame) -> DataFrame:
+    """Postings of short fields (id, field_idx, t): a word's occurrences are counted where it stands, without an exchange."""
+    n = F.transform("t", lambda w, i: F.size(F.filter(F.slice("t", F.lit(1), i), lambda x: x == w)))
+    n = F.when(F.size(F.array_distinct("t")) == F.size("t"), F.transform("t", lambda w: F.lit(0))).otherwise(n)
+    rows = each.withColumn("t", F.arrays_zip(F.col("t").alias("word"), n.alias("occurrence")))
+    rows = rows.select("id", "field_idx", F.size("t").alias("length"), F.posexplode("t").alias("pos", "x"))
+    return rows.select("x.word", "id", "field_idx", "x.occurrence", "length", "pos")
+
+
+def words_of(items: DataFrame, words=text.tokens) -> DataFrame:
+    """word, id, field_idx, length, pos."""
+    each = fields(require_text(_spread(items))).select("id", "field_idx", words(F.col("value")).alias("t"))
+    return each.select("id", "field_idx", F.size("t").alias("length"), F.posexplode("t").alias("pos", "word")).select("word", "id", "field_idx", "length", "pos")
+
+
 def postings(items: DataFrame, words=text.tokens) -> DataFrame:
-    each = fields(require_text(items)).select("id", "field_idx", words(F.col("value")).alias("t"))
-    rows = each.select("id", "field_idx", F.size("t").alias("length"), F.posexplode("t").alias("pos", "word"))
+    value = fields(require_text(_spread(items)))
+    short = F.length("value") <= SHORT
+    each = value.where(short).select("id", "field_idx", words(F.col("value")).alias("t"))
+    rows = value.where(~short).select("id", "field_idx", words(F.col("value")).alias("t")).select("id", "field_idx", F.size("t").alias("length"), F.posexplode("t").alias("pos", "word"))
     by = Window.partitionBy("id", "field_idx", "word").orderBy("pos")
-    return rows.select("word", "id", "field_idx", (F.row_number().over(by) - 1).alias("occurrence"), "length", "pos")
+    return _once(each).unionByName(rows.select("word", "id", "field_idx", (F.row_number().over(by) - 1).alias("occurrence"), "length", "pos"))
+
+
+def _spread(items: DataFrame) -> DataFrame:
+    """items, over all cores if they are so few bytes that their files would be read by a few."""
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    size = int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return items.repartition(2 * cores, "id") if size < cores * SPLIT else items
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
@@ -74,7 +103,7 @@ def vocabulary(post: DataFrame) -> DataFrame:
 def build(items: DataFrame, words=text.tokens) -> TextIndex:
     post = postings(items, words)
     s = stats(items).first()
-    return TextIndex(post, vocabulary(post), int(s.max_fields), float(s.avg_fields))
+    return TextIndex(post, vocabulary(post), int(s.max_fields), float(s.avg_fields), words=words_of(items, words))
 
 
 def query_words(queries: DataFrame, words=text.tokens) -> DataFrame:
@@ -116,7 +145,8 @@ def fuzzy_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def _assigned(index: TextIndex, queries: DataFrame, matches, params: Params, allow: DataFrame | None) -> DataFrame:
     words = query_words(queries)
-    hit = words.join(matches(words, index.vocabulary), "kw")
+    # Stored, so that the vocabulary is made once.
+    hit = materialise(words.join(matches(words, index.vocabulary), "kw"))
     found = allowed(index.postings, allow).join(_small(hit), "word")
     most = words.agg(F.max("n").alias("n")).first().n or 0
     scored = assignment.field_scores(found, most)
@@ -158,7 +188,8 @@ def full_text(index: TextIndex, queries: DataFrame, params: Params = Params(), a
     """Hits by BM25 over fields; build the index with plain_tokens.
 
     A clause is a word or a phrase; its matches in a field are counted once, scored by the summed weights of its words, and a field is a hit if it has
-    all required clauses, no excluded one, and one that isn't excluded. Postings are read for the words of the queries only.
+    all required clauses, no excluded one, and one that isn't excluded. Postings are read for the words of the queries only; where the index is
+    made as it is read, texts are cut into words once, and what concerns the queries is stored.
     """
     clauses = queries.select("q_id", F.posexplode(_clauses("query")).alias("cl", "c")).select("q_id", "cl", "c.sign", "c.words").distinct()
     # Words said twice count once.
@@ -167,12 +198,22 @@ def full_text(index: TextIndex, queries: DataFrame, params: Params = Params(), a
     words = [r.word for r in asked.select("word").distinct().limit(PUSHED_WORDS + 1).collect()]
     if not words:
         return queries.sparkSession.createDataFrame([], "q_id long, id long, field_idx int, score double, rank int")
+    post = index.postings if index.words is None else index.words
     if len(words) <= PUSHED_WORDS:
-        post = index.postings.where(F.col("word").isin(words))
+        of_queries = F.col("word").isin(words)
     else:
-        post = index.postings.join(_small(asked.select("word").distinct()), "word", "left_semi")
+        post = post.join(_small(asked.select("word").distinct().withColumn("_asked", F.lit(True))), "word", "left")
+        of_queries = F.col("_asked").isNotNull()
+    if index.words is not None:
+        # The first word of each field is kept for the fields' number and length.
+        post = materialise(post.where(of_queries | (F.col("pos") == 0)).withColumn("_asked", of_queries))
+        if index.docs is None:
+            index.docs, index.mean = TextIndex(post, post, 0, 0).lengths()
+        of_queries = F.col("_asked")
+    post = post.where(of_queries).drop("_asked")
     docs, mean = index.lengths()
-    df = post.where("occurrence = 0").groupBy("word").agg(F.count("*").alias("df"))
+    once = post.where("occurrence = 0") if index.words is None else post.select("word", "id", "field_idx").distinct()
+    df = once.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "word").groupBy("q_id", "cl").agg(F.sum(idf).alias("weight"))
     hits = allowed(post, allow).join(_small(asked), "word")

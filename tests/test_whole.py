@@ -253,3 +253,47 @@ def test_probed_cells_are_searched_whole(spark, monkeypatch, many):
             best[i // 2] = max(best.get(i // 2, -1.0), s[k, i])
         want += [(k, n + 1, i, round(b, 6)) for n, (i, b) in enumerate(sorted(best.items(), key=lambda z: (-z[1], z[0]))[:4])]
     assert sorted((h.q_id, h["rank"], h.id, round(h.score, 6)) for h in found.collect()) == want
+
+
+def test_occurrences_of_short_and_long_fields(spark):
+    r = np.random.default_rng(11)
+    texts = [" ".join(r.choice(["a", "b", "c", "dd"], n)) for n in (1, 2, 3, 40, 120, 700)] + ["", "x", "é é É", "(a) a/a b."]
+    items = src.from_rows(spark, [{"identifier": str(k), "fields": [t, "b b"]} for k, t in enumerate(texts)])
+    got = sorted((x.id, x.field_idx, x.pos, x.word, x.occurrence, x.length) for x in text_search.postings(items).collect())
+    want = []
+    words = {(x.id, n): x.t for n in (0, 1) for x in items.select("id", text.tokens(F.col("fields")[n]["value"]).alias("t")).collect()}
+    for (i, f), t in words.items():
+        want += [(i, f, p, w, t[:p].count(w), len(t)) for p, w in enumerate(t)]
+    assert got == sorted(want) and max(x[2] for x in got) == 699
+    assert sorted(x[:4] + x[5:] for x in got) == sorted((x.id, x.field_idx, x.pos, x.word, x.length) for x in text_search.words_of(items).collect())
+    short = spark.createDataFrame([(1, 0, ["a", "b", "a"])], "id long, field_idx int, t array<string>")
+    rows = text_search._once(short)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.pos, x.word, x.occurrence, x.length) for x in rows.collect()) == [(0, "a", 0, 3), (1, "b", 0, 3), (2, "a", 1, 3)]
+
+
+def test_tokens_of_plain_and_ragged_texts(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    texts = ["".join(r.choice(list("aB1#'/:(-. \t\né \u0085™"), 9)) for _ in range(3_000)] + ["", "...", "Brand#7", "a-b", "-", "#x y# z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = [x.w for x in df.select(text.tokens(F.col("t")).alias("w")).collect()]
+    monkeypatch.setattr(text, "_RAGGED", "")
+    assert fast == [x.w for x in df.select(text.tokens(F.col("t")).alias("w")).collect()] and fast[-4:] == [["brand#7"], ["a-b"], ["-"], ["x", "y", "z"]]
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    monkeypatch.setattr(text_search, "SPLIT", 0)
+    items = src.from_rows(spark, [{"identifier": str(k), "fields": [t]} for k, t in enumerate(["alpha beta", "beta gamma beta", "gamma delta"])])
+    q = spark.createDataFrame([(0, "beta"), (1, '"gamma beta"')], "q_id long, query string")
+    index = text_search.build(items, text.plain_tokens)
+    out = text_search.full_text(index, q, Params(exact=True))
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString() and (index.docs, round(index.mean, 3)) == (3, 2.333)
+    want = sorted(tuple(x) for x in out.select("q_id", "id", F.round("score", 9)).collect())
+    monkeypatch.setattr(text_search, "PUSHED_WORDS", 1)
+    for again in (text_search.build(items, text.plain_tokens), text_search.TextIndex(index.postings, index.vocabulary, 1, 1.0)):
+        assert want == sorted(tuple(x) for x in text_search.full_text(again, q, Params(exact=True)).select("q_id", "id", F.round("score", 9)).collect())
+    index = text_search.build(items)
+    found = text_search.keyword(index, q.where("q_id = 0"), Params(exact=True))
+    # The vocabulary and its prefixes were made before; only the postings are left in the plan, of short and of long fields.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 4 and "Generate explode" not in plan and found.count() == 2
